@@ -23,5 +23,14 @@ def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op8_suffix_repeats": op8_suffix_repeats, "op9_simhash": op9_simhash}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm import mixing
+
+    mixed = mixing.mixed_documents(table(spark, sf_dir, "documents"))
+    sources = mixing.source_table(mixed).withColumnRenamed("source", "s")
+    out = mixed.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("s")))  # one row per source, held under MOST_PATTERNS
+    return out.select("doc_id", F.col("__wl_size").alias("size"), "source_size", "target", (F.col("__wl_size") * F.col("__wl_copies")).alias("taken"))
+
+
+QUERIES = {"op10_mixing": op10_mixing, "op8_suffix_repeats": op8_suffix_repeats, "op9_simhash": op9_simhash}
 ORACLE_SQL: dict[str, str] = {}
