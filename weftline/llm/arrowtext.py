@@ -38,3 +38,43 @@ def texts(column: pa.Array) -> Iterator[bytes]:
     view, at = raw.tobytes(), at.tolist()
     for a, b in zip(at, at[1:]):
         yield view[a:b]
+
+
+_POWER = 0x5851F42D4C957F2D
+_INVERSE = pow(_POWER, -1, 1 << 64)
+
+
+def _powers(base: int, n: int, kept: dict[int, np.ndarray] = {}) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) mod 2 ** 64; one table per base is kept."""
+    if len(kept.get(base, ())) < n:
+        steps = np.full(max(n, PIECE_BYTES + 1), base, dtype=np.uint64)
+        steps[0] = 1
+        kept[base] = np.multiply.accumulate(steps)
+    return kept[base][:n]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective scramble of 64-bit values."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def words(at: np.ndarray, raw: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash, first word of each row and the total) of the maximal runs of word bytes.
+
+    is_word is a table of 256 booleans. A run ends with its row. The hash depends on
+    the run's bytes only.
+    """
+    n = len(raw)
+    inside = np.zeros(n + 2, dtype=bool)
+    inside[1:-1] = is_word[raw]
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[at[at <= n]] = True
+    opens = inside[1:] & (~inside[:-1] | edge)
+    closes = inside[:-1] & (~inside[1:] | edge)
+    starts, ends = np.flatnonzero(opens), np.flatnonzero(closes)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_POWER, n), out=sums[1:])
+    hashes = mixed((sums[ends] - sums[starts]) * _powers(_INVERSE, n + 1)[starts])
+    return starts, ends, hashes, np.searchsorted(starts, at)

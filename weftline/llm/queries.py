@@ -32,5 +32,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__wl_size").alias("size"), "source_size", "target", (F.col("__wl_size") * F.col("__wl_copies")).alias("taken"))
 
 
-QUERIES = {"op10_mixing": op10_mixing, "op8_suffix_repeats": op8_suffix_repeats, "op9_simhash": op9_simhash}
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm import decontaminate
+
+    return decontaminate.contaminations(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op5_decontamination": op5_decontamination, "op10_mixing": op10_mixing, "op8_suffix_repeats": op8_suffix_repeats, "op9_simhash": op9_simhash}
 ORACLE_SQL: dict[str, str] = {}
