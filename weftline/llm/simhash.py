@@ -203,8 +203,9 @@ def fingerprint_components(prints: DataFrame, radius: int = RADIUS, hot_bucket:
     dealt = dealt.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("t", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    grouped = dealt.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j")
-    links = grouped.mapInArrow(_links_of_groups(radius), "u long, v long")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by number: small in bytes, long to compare
+    grouped = dealt.repartition(tasks, "t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j")
+    links = materialize(grouped.mapInArrow(_links_of_groups(radius), "u long, v long"), "links")
     return connected_components(links)
 
 
