@@ -11,12 +11,17 @@ occurrences of each other. Columns other than doc_id and text play no part.
    consecutive windows of one anchor make a block, and each window is in one block.
 2. Blocks with equal bytes are repeated as a whole; counting (anchor, block hash)
    with map-side sums settles them, however many copies there are.
-3. Anchors with several different blocks keep one of each block. Their bytes are put
-   in suffix order (`suffixes.suffix_array`), where suffixes that share `length`
-   bytes stand side by side, and neighbours are compared byte for byte.
+3. Anchors with several different blocks keep one of each block. Their windows are
+   cut into cells by distance to the anchor, `CELL` windows wide. All windows of a cell
+   contain its core, the bytes that they have in common, so a window can only be
+   repeated where the core is; cells with equal cores are written as the few bytes
+   left of the core, one symbol for the core and the few bytes right of it. These
+   strings are put in suffix order (`suffixes.suffix_array`), where suffixes that
+   share `CELL` symbols, that is `length` bytes, stand side by side.
 4. Repeated windows return to their texts as byte ranges and are merged.
 
-Blocks are compared by 128-bit hashes; texts are told apart by doc_id and a 64-bit hash.
+Blocks are told apart by a 64-bit hash beside their anchor's, cores by 128 bits, texts
+by doc_id and a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -26,17 +31,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from weftline.llm.arrowtext import pieces
+from weftline.llm.arrowtext import pieces, texts
 from weftline.llm.suffixes import suffix_array
 from weftline.runtime import materialize, small_batches
 
 LENGTH = 400
 GRAM = 32
 PLACE_BITS = 20
-SORTED_BYTES = 1 << 18
+CELL = 16
+SORTED_SYMBOLS = 1 << 18
+PLACE_SIZE = 12  # bits of a block's reference: windows lowest, the anchor's place in the block next, the first window above
 
 _FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 _SYMBOL = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,120 +94,155 @@ def blocks(at: np.ndarray, raw: np.ndarray, length: int = LENGTH) -> Iterator[tu
 
 
 def _block_rows(length: int):
-    fields = [("k1", pa.int64()), ("k2", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.binary())]
-    out = pa.schema(fields)
+    out = pa.schema([(c, pa.int64()) for c in ("k1", "k2", "ref", "a", "b")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
             for first, _, at, raw in pieces(batch.column(2)):
                 whole = raw.tobytes()
-                for row, s, n, a, _place in blocks(at, raw, length):
-                    b = [digest(whole[x:y]) for x, y in zip(s.tolist(), (s + n - 1 + length).tolist())]
-                    arrays = [k1[first + row], k2[first + row], s - at[row], n.astype(np.int32), a.view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array(b, pa.binary())], schema=out)
+                for row, s, n, a, place in blocks(at, raw, length):
+                    b = [digest(whole[x:y], z) for x, y, z in zip(s.tolist(), (s + n - 1 + length).tolist(), (place - s).tolist())]
+                    arrays = [k1[first + row], k2[first + row], (s - at[row]) << 2 * PLACE_SIZE | (place - s) << PLACE_SIZE | n, a.view(np.int64), np.array(b, dtype=np.uint64).view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, arrays)], schema=out)
 
-    return run, "k1 long, k2 long, s long, n int, a long, b binary"
+    return run, "k1 long, k2 long, ref long, a long, b long"
+
+
+def packed(text: Column) -> Column:
+    """Text as compressed bytes, for the way through a shuffle."""
+
+    @arrow_udf("binary")
+    def of(column: pa.Array) -> pa.Array:
+        press = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
+        return pa.array([press(x) for x in texts(column)], pa.binary())
+
+    return of(text)
 
 
 def _cut_blocks(length: int):
-    """(k1, k2, text, refs) to (a, b, bytes of the block)."""
-    out = pa.schema([("a", pa.int64()), ("b", pa.binary()), ("part", pa.binary())])
+    """(text, refs) to (a, b, anchor's place in the block, bytes of the block)."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("place", pa.int64()), ("part", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress, low = zstandard.ZstdDecompressor().decompress, (1 << PLACE_SIZE) - 1
         for batch in batches:
-            a, b, part = [], [], []
+            a, b, place, part = [], [], [], []
             for text, refs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = text.encode()
+                raw = unpress(text)
                 for r in refs:
+                    s, n = r["ref"] >> 2 * PLACE_SIZE, r["ref"] & low
                     a.append(r["a"])
                     b.append(r["b"])
-                    part.append(raw[r["s"] : r["s"] + r["n"] - 1 + length])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary()), pa.array(part, pa.binary())], schema=out)
+                    place.append(r["ref"] >> PLACE_SIZE & low)
+                    part.append(raw[s : s + n - 1 + length])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(place, pa.int64()), pa.array(part, pa.binary())], schema=out)
 
     return run
 
 
-def repeated_windows(parts: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """For each part, the runs (first, last) of window starts whose bytes also start elsewhere in the parts."""
-    symbols: list[int] = []
-    owner_at, whole = [], bytearray()
-    for p in parts:
-        owner_at.append(len(symbols))
-        symbols.extend(x + 1 for x in p)
-        symbols.append(0)
-        whole += p + b"\0"
-    valid = bytearray(len(symbols))
-    for at, p in zip(owner_at, parts):
-        if len(p) >= length:
-            valid[at : at + len(p) - length + 1] = b"\1" * (len(p) - length + 1)
-    text, hit = bytes(whole), np.zeros(len(symbols), dtype=bool)
-    last = -1
-    for i in suffix_array(symbols):
-        if not valid[i]:
-            last = -1
-            continue
-        if last >= 0 and text[i : i + length] == text[last : last + length]:
-            hit[i] = hit[last] = True
-        last = i
-    found = []
-    for at, p in zip(owner_at, parts):
-        own = np.flatnonzero(np.diff(np.r_[False, hit[at : at + len(p)], False].astype(np.int8)))
-        found.append([(int(x), int(y) - 1) for x, y in zip(own[::2], own[1::2])])
-    return found
+class CellSorter:
+    """Collects cells of blocks, group by group, and finds their repeated windows in suffix order."""
+
+    def __init__(self, length: int = LENGTH, cell: int = CELL) -> None:
+        self.length, self.cell = length, cell
+        self.cells: dict[tuple, dict[tuple[bytes, bytes], list]] = {}
+        self.symbols = 0
+
+    def add(self, group: int, place: int, part: bytes, tag: object) -> None:
+        """A block's bytes with the anchor at `place`; tag comes back with its repeated windows."""
+        length, cell, last = self.length, self.cell, len(part) - self.length
+        for g in range((place - last) // cell, place // cell + 1):
+            core, end = place - g * cell, place - (g * cell + cell - 1) + length
+            low, high = max(0, core - cell + 1), min(last, core)
+            key = group, g, xxhash.xxh3_128_digest(part[core:end])
+            sides = part[low:core], part[end : high + length]
+            self.cells.setdefault(key, {}).setdefault(sides, []).append((tag, low, high))
+            self.symbols += len(sides[0]) + len(sides[1]) + 2
+
+    def settle(self) -> list[tuple[object, int, int]]:
+        """(tag, first, last) runs of repeated windows of all that was added, which is then forgotten."""
+        found, strings, owners = [], [], []
+        for n, by_sides in enumerate(self.cells.values()):
+            for sides, tags in by_sides.items():
+                if len(tags) > 1:
+                    found += tags
+                if len(by_sides) > 1:
+                    owners.append((len(strings), sides, tags))
+                    strings += [x + 1 for x in sides[0]]
+                    strings.append(257 + n)
+                    strings += [x + 1 for x in sides[1]]
+                    strings.append(0)
+        hit, width = bytearray(len(strings)), self.cell
+        valid = bytearray(len(strings))
+        for at, sides, _ in owners:
+            count = len(sides[0]) + len(sides[1]) + 2 - width
+            valid[at : at + count] = b"\1" * count
+        last = -1
+        for i in suffix_array(strings):
+            if not valid[i]:
+                last = -1
+                continue
+            if last >= 0 and strings[i : i + width] == strings[last : last + width]:
+                hit[i] = hit[last] = 1
+            last = i
+        for at, sides, tags in owners:
+            size = len(sides[0]) + len(sides[1]) + 2 - width
+            i = hit.find(1, at, at + size)
+            while i >= 0:
+                j = hit.find(0, i, at + size)
+                j = at + size if j < 0 else j
+                found += [(tag, low + i - at, low + j - 1 - at) for tag, low, _ in tags]
+                i = hit.find(1, j, at + size)
+        self.cells, self.symbols = {}, 0
+        return found
 
 
 def _sorted_groups(length: int):
-    """Rows (a, b, part) in order of a, to (a, b, runs of repeated windows)."""
-    run_type = pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())]))
-    out = pa.schema([("a", pa.int64()), ("b", pa.binary()), ("runs", run_type)])
+    """Rows (a, b, place, part) in order of a, to (a, b, first, last) runs of repeated windows."""
+    out = pa.schema([(c, pa.int64()) for c in ("a", "b", "x", "y")])
 
-    def settle(rows: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        runs = repeated_windows([r[2] for r in rows], length)
-        kept = [(r[0], r[1], [{"x": x, "y": y} for x, y in f]) for r, f in zip(rows, runs) if f]
-        if kept:
-            a, b, f = zip(*kept)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary()), pa.array(f, run_type)], schema=out)
+    def settled(sorter: CellSorter) -> Iterator[pa.RecordBatch]:
+        if found := sorter.settle():
+            rows = np.array([(*tag, x, y) for tag, x, y in found], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(rows.T)], schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, bytes]] = []
-        weight = 0
+        sorter, before = CellSorter(length), None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[:2] == held[-1][:2]:
+            for a, b, place, part in zip(*(c.to_pylist() for c in batch.columns)):
+                if (a, b) == before:
                     continue
-                if weight >= SORTED_BYTES and row[0] != held[-1][0]:
-                    yield from settle(held)
-                    held, weight = [], 0
-                held.append(row)
-                weight += len(row[2])
-        if held:
-            yield from settle(held)
+                if sorter.symbols >= SORTED_SYMBOLS and a != before[0]:
+                    yield from settled(sorter)
+                sorter.add(a, place, part, (a, b))
+                before = a, b
+        yield from settled(sorter)
 
     return run
 
 
 def repeated_ranges(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     """(k1, k2, ranges) of keyed(k1, k2, text): start and end of byte ranges to remove, unmerged."""
-    small_batches(keyed.sparkSession)
-    rows = _block_rows(length)
-    found = materialize(keyed.select("k1", "k2", "text").mapInArrow(*rows), "blocks")
-    distinct = found.groupBy("a", "b").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "s", "n")).alias("r"))
-    distinct = materialize(
-        distinct.join(distinct.groupBy("a").agg(F.count("*").alias("kinds"), F.sum("copies").alias("all")).filter("`all` > 1"), "a")
-        .select("a", "b", "copies", "kinds", "r.*"), "distinct",
-    )
-    wanted = distinct.filter("kinds > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b", "s", "n")).alias("refs"))
-    parts = keyed.join(wanted, ["k1", "k2"]).select("text", "refs").mapInArrow(_cut_blocks(length), "a long, b binary, part binary")
-    parts = parts.repartition("a").sortWithinPartitions("a", "b")  # equal rows bring equal bodies; they stand side by side and one is used
-    near = parts.mapInArrow(_sorted_groups(length), "a long, b binary, runs array<struct<x: long, y: long>>")
-    whole = distinct.filter("copies > 1").select("a", "b", F.lit(None).cast("array<struct<x: long, y: long>>").alias("runs"))
+    spark = keyed.sparkSession
+    small_batches(spark)
+    found = materialize(keyed.select("k1", "k2", "text").mapInArrow(*_block_rows(length)), "blocks")
+    distinct = found.groupBy("a", "b").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "ref")).alias("r"))
+    anchors = distinct.groupBy("a").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).filter("total > 1")
+    distinct = materialize(distinct.join(anchors.drop("total"), "a").select("a", "b", "copies", "kinds", "r.*"), "distinct")
+    wanted = distinct.filter("kinds > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b", "ref")).alias("refs"))
+    parts = keyed.select("k1", "k2", packed(F.col("text")).alias("text")).join(wanted, ["k1", "k2"]).select("text", "refs")
+    parts = parts.mapInArrow(_cut_blocks(length), "a long, b long, place long, part binary")
+    # equal rows bring equal bodies; they stand side by side and one is used
+    parts = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a").sortWithinPartitions("a", "b")
+    near = parts.mapInArrow(_sorted_groups(length), "a long, b long, x long, y long").groupBy("a", "b").agg(F.collect_list(F.struct("x", "y")).alias("runs"))
     near = near.join(distinct.filter("copies = 1").select("a", "b"), ["a", "b"])
-    marks = whole.unionByName(near)
-    hits = found.join(marks, ["a", "b"]).select(
-        "k1", "k2", F.explode(F.when(F.col("runs").isNull(), F.array(F.struct(F.lit(0).cast("long").alias("x"), (F.col("n") - 1).cast("long").alias("y")))).otherwise(F.col("runs"))).alias("w"), "s"
-    )
+    whole = distinct.filter("copies > 1").select("a", "b", F.lit(None).cast("array<struct<x: long, y: long>>").alias("runs"))
+    marks = materialize(whole.unionByName(near), "marks")
+    first, count = F.shiftright("ref", 2 * PLACE_SIZE), F.col("ref").bitwiseAND(F.lit((1 << PLACE_SIZE) - 1))
+    every = F.array(F.struct(F.lit(0).cast("long").alias("x"), (count - 1).alias("y")))
+    hits = found.join(marks, ["a", "b"]).select("k1", "k2", first.alias("s"), F.explode(F.coalesce("runs", every)).alias("w"))
     hits = hits.select("k1", "k2", F.struct((F.col("s") + F.col("w.x")).alias("x"), (F.col("s") + F.col("w.y") + length).alias("y")).alias("range"))
     return hits.groupBy("k1", "k2").agg(F.collect_set("range").alias("ranges"))
 
@@ -216,10 +260,11 @@ def merged(ranges: list[dict]) -> list[tuple[int, int]]:
 def _removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", span), ("kept", pa.binary())])
+    unpress = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         sizes, spans, kept = [], [], []
         for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            raw = (text or "").encode()
+            raw = unpress(text)
             gone = merged(ranges or [])
             edges = [0, *(z for x in gone for z in x), len(raw)]
             sizes.append(len(raw))
@@ -235,5 +280,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("k1"), F.xxhash64("text").alias("k2"))
     ranges = repeated_ranges(keyed, length)
-    joined = keyed.join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "ranges")
+    joined = keyed.withColumn("text", packed(F.col("text"))).join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(_removal, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
