@@ -8,6 +8,39 @@ from pyspark.sql import functions as F
 from weftline.runtime import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm import quality
+
+    return quality.quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _op1_sql() -> str:
+    from weftline.llm import quality as q
+
+    rate, rules = q.ALPHA / len(q.RULES), q.RULES
+    measures = ", ".join(f"case when n_words > 0 then cast({text.replace('/', '* 1.0 /', 1)} as double) end as m_{r}" for r, (text, _) in rules.items())
+    tests = " union all ".join(
+        f"select stratum, '{r}' as rule, {i} as place, cast({c} as double) as c, count(*) as n, count(*) filter (m_{r} > {c}) as k from good group by stratum" for r, (_, cs) in rules.items() for i, c in enumerate(cs)
+    )
+    fails = " or ".join(f"coalesce(m_{r} > (select c from cutoff x where x.stratum = m.stratum and x.rule = '{r}'), false)" for r in rules)
+    return rf"""
+with t as (select row_number() over () as row, doc_id, coalesce(lang, '') as stratum, coalesce(text, '') as text from documents),
+w as (select row, list_filter(regexp_split_to_array(text, '[ 	-]+'), lambda x: x <> '') as w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) as l,
+   length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as n_symbols, length(regexp_replace(text, '[^A-Z]+', '', 'g')) as n_capitals, length(regexp_replace(text, '[ 	-]+', '', 'g')) as word_chars from t),
+g as (select row, i, array_to_string(w[i:i + 4], ' ') as g from (select row, w, unnest(range(1, len(w) - 3)) as i from w where len(w) >= 5)),
+d as (select row, i from (select row, i, count(*) over (partition by row, g) as c from g) where c > 1),
+r as (select row, sum(least(5, coalesce(next - i, 5))) as n from (select row, i, lead(i) over (partition by row order by i) as next from d) group by row),
+f as (select t.row, doc_id, stratum, cast(len(w) as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines,
+   cast(coalesce(r.n, 0) as bigint) as n_repeat_words, len(l) as n_lines, n_capitals from t join w on t.row = w.row left join r on r.row = t.row),
+m as (select *, (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed, {measures} from f),
+labelled as (select m.* from m join (select doc_id from labels where quality is not null group by doc_id having max(quality) = 1) using (doc_id)),
+good as (select * from labelled where not base_failed),
+tests as ({tests}),
+tried as (select *, case when k > n * {rate!r} then 1.0 else (select sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({rate!r}) + (n - i) * ln(1 - {rate!r}))) from range(0, k + 1) x(i)) end <= {q.DELTA!r} / ({len(rules)} * (select count(distinct stratum) from labelled)) as ok from tests),
+cutoff as (select stratum, rule, max_by(c, place) as c from (select *, bool_and(ok) over (partition by stratum, rule order by place) as going from tried) where going group by stratum, rule)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({fails}) as kept from m"""
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm import simhash
 
@@ -38,5 +71,5 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminations(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op5_decontamination": op5_decontamination, "op10_mixing": op10_mixing, "op8_suffix_repeats": op8_suffix_repeats, "op9_simhash": op9_simhash}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_quality": op1_quality, "op5_decontamination": op5_decontamination, "op10_mixing": op10_mixing, "op8_suffix_repeats": op8_suffix_repeats, "op9_simhash": op9_simhash}
+ORACLE_SQL: dict[str, str] = {"op1_quality": _op1_sql()}
