@@ -25,8 +25,11 @@ def _op1_sql() -> str:
     fails = " or ".join(f"coalesce(m_{r} > (select c from cutoff x where x.stratum = m.stratum and x.rule = '{r}'), false)" for r in rules)
     return rf"""
 with t as (select row_number() over () as row, doc_id, coalesce(lang, '') as stratum, coalesce(text, '') as text from documents),
-w as (select row, list_filter(regexp_split_to_array(text, '[ 	-]+'), lambda x: x <> '') as w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) as l,
-   length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as n_symbols, length(regexp_replace(text, '[^A-Z]+', '', 'g')) as n_capitals, length(regexp_replace(text, '[ 	-]+', '', 'g')) as word_chars from t),
+w as (select row, list_filter(regexp_split_to_array(text, '[ 	-
+]+'), lambda x: x <> '') as w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) as l,
+   length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as n_symbols, length(regexp_replace(text, '[^A-Z]+', '', 'g')) as n_capitals, length(regexp_replace(text, '[ 	-
+]+', '', 'g')) as word_chars from t),
 g as (select row, i, array_to_string(w[i:i + 4], ' ') as g from (select row, w, unnest(range(1, len(w) - 3)) as i from w where len(w) >= 5)),
 d as (select row, i from (select row, i, count(*) over (partition by row, g) as c from g) where c > 1),
 r as (select row, sum(least(5, coalesce(next - i, 5))) as n from (select row, i, lead(i) over (partition by row order by i) as next from d) group by row),
@@ -48,6 +51,20 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm import licenses
+
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    every = F.flatten("places")
+    phrase = F.filter(F.array(*[F.when(F.size(F.get("places", F.lit(i))) > 0, F.lit(label)) for i, (_, label) in enumerate(licenses.PHRASES)]), lambda x: x.isNotNull())
+    text = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    best = F.coalesce(F.array_max(F.transform("spans", lambda x: x["score"])), F.lit(0.0))
+    return found.select(
+        "doc_id", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
+        text(phrase).alias("base_labels"), text(F.concat(phrase, F.transform("spans", lambda x: x["label"]))).alias("labels"), F.when(F.size(every) > 0, F.lit(1.0)).otherwise(best).alias("score"),
+    )
+
+
 def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm import repeats
 
@@ -71,5 +88,5 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminations(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op5_decontamination": op5_decontamination, "op10_mixing": op10_mixing, "op8_suffix_repeats": op8_suffix_repeats, "op9_simhash": op9_simhash}
+QUERIES = {"op1_quality": op1_quality, "op5_decontamination": op5_decontamination, "op10_mixing": op10_mixing, "op3_licenses": op3_licenses, "op8_suffix_repeats": op8_suffix_repeats, "op9_simhash": op9_simhash}
 ORACLE_SQL: dict[str, str] = {"op1_quality": _op1_sql()}
