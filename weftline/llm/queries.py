@@ -65,6 +65,15 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm import language
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    network = language.fit(docs.filter(~language.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
+    found = language.identify(docs.select("doc_id", "text"), network)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm import repeats
 
@@ -88,5 +97,5 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminations(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op5_decontamination": op5_decontamination, "op10_mixing": op10_mixing, "op3_licenses": op3_licenses, "op8_suffix_repeats": op8_suffix_repeats, "op9_simhash": op9_simhash}
+QUERIES = {"op1_quality": op1_quality, "op5_decontamination": op5_decontamination, "op10_mixing": op10_mixing, "op3_licenses": op3_licenses, "op6_language": op6_language, "op8_suffix_repeats": op8_suffix_repeats, "op9_simhash": op9_simhash}
 ORACLE_SQL: dict[str, str] = {"op1_quality": _op1_sql()}
