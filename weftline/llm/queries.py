@@ -74,6 +74,14 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm import brown
+    from weftline.llm.language import held_out
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out(F.col("doc_id"), 7).alias("held"), "text")
+    return brown.score(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm import repeats
 
@@ -97,5 +105,5 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminations(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op5_decontamination": op5_decontamination, "op10_mixing": op10_mixing, "op3_licenses": op3_licenses, "op6_language": op6_language, "op8_suffix_repeats": op8_suffix_repeats, "op9_simhash": op9_simhash}
+QUERIES = {"op1_quality": op1_quality, "op5_decontamination": op5_decontamination, "op10_mixing": op10_mixing, "op3_licenses": op3_licenses, "op6_language": op6_language, "op7_brown": op7_brown, "op8_suffix_repeats": op8_suffix_repeats, "op9_simhash": op9_simhash}
 ORACLE_SQL: dict[str, str] = {"op1_quality": _op1_sql()}
