@@ -76,6 +76,16 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm import toxicity
+    from weftline.llm.language import held_out
+
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(~held_out(F.col("doc_id"))))
+    found = toxicity.scored(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm import language
 
@@ -116,5 +126,5 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminations(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op5_decontamination": op5_decontamination, "op10_mixing": op10_mixing, "op2_pii": op2_pii, "op3_licenses": op3_licenses, "op6_language": op6_language, "op7_brown": op7_brown, "op8_suffix_repeats": op8_suffix_repeats, "op9_simhash": op9_simhash}
+QUERIES = {"op1_quality": op1_quality, "op5_decontamination": op5_decontamination, "op10_mixing": op10_mixing, "op2_pii": op2_pii, "op3_licenses": op3_licenses, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op7_brown": op7_brown, "op8_suffix_repeats": op8_suffix_repeats, "op9_simhash": op9_simhash}
 ORACLE_SQL: dict[str, str] = {"op1_quality": _op1_sql()}
