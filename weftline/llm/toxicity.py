@@ -9,7 +9,7 @@ own weight and sharpened by a power.
 
 Landmarks are words of the training texts: those that mark toxic ones best and do not
 resemble each other too much, and a few ordinary ones. A sentence holds, for each landmark, the largest kernel value among its
-words; the Nystrom map (inverse root of the landmarks' own kernel matrix) turns this
+words (every text has an empty sentence besides); the Nystrom map (inverse root of the landmarks' own kernel matrix) turns this
 into coordinates, and a linear SVM separates sentences. Only texts are labelled, so a
 toxic text is trained on through its worst sentence, chosen anew in every round, and
 a clean text through its worst sentence likewise. A text's score is a logistic
@@ -37,13 +37,15 @@ from pyspark.sql import functions as F
 from weftline.llm.arrowtext import pieces, words
 from weftline.runtime import small_batches
 
-SPAN, DECAY, POWER = 6, 0.75, 3
+SPAN, DECAY, POWER = 5, 0.75, 3
+FLOOR = 0.4
 LANDMARKS, PLAIN = 40, 8
 LEAST_LIFT, ALIKE = 1.0, 0.9
 PER_CLASS, LONGEST = 1200, 20_000
-ROUNDS, STEPS, COST = 4, 400, 20.0
+ROUNDS, STEPS, COST = 4, 1500, 200.0
 THRESHOLD = 0.3
 PIECE = 2 << 20
+TRAIN_TEXTS = 200
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _IN_WORD = np.array([b not in _SPACE for b in range(256)])
@@ -90,26 +92,41 @@ class Landmarks:
         for k, word in enumerate(chosen):
             for x, v in features(word).items():
                 self.columns[x, k] = v / own_weight(word)
-        square = np.array([self.of_words(w, np.array([0]), np.array([len(w)]))[0] for w in chosen], dtype=float)
+        self.known = self.columns.any(axis=1)
+        square = np.array([self.of_words(w, np.array([0]), np.array([len(w)]))[1][0] for w in chosen], dtype=float)
         values, vectors = np.linalg.eigh((square + square.T) / 2 + 1e-3 * np.eye(len(chosen)))
         self.root = (vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
 
-    def of_words(self, raw: bytes | np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Kernel of each word with each landmark; words are byte ranges in order that do not overlap."""
+    def of_words(self, raw: bytes | np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the words that count, their kernel values by landmark); words are byte ranges in order that do not overlap.
+
+        The share of a word's weight that lies in triples of any landmark bounds its
+        kernel; words below FLOOR count as unlike all landmarks.
+        """
         raw = np.frombuffer(raw, np.uint8) if isinstance(raw, bytes) else raw
         size = end - start
         owner = np.repeat(np.arange(len(size)), size)
         offset = np.cumsum(size) - size
         letters = _LETTER[raw[np.arange(len(owner)) + np.repeat(start - offset, size)]]
         stop = (offset + size)[owner]
-        sums = np.zeros((len(letters), len(self.words)), np.float32)
-        weight = np.zeros(len(letters))
+        weight, shared, hits = np.zeros(len(size)), np.zeros(len(size)), []
         for at, numbers, w in _triples(letters, stop):
-            sums[at] += np.float32(w) * self.columns[numbers]
-            weight[at] += w * w
-        out = np.add.reduceat(sums, offset, axis=0) if len(size) else sums
-        norm = np.sqrt(np.add.reduceat(weight, offset)) if len(size) else weight
-        return (np.minimum(out / np.maximum(norm, 1e-9)[:, None], 1.0)) ** POWER
+            some = self.known[numbers]  # few triples are any landmark's
+            word = owner[at[some]]
+            weight += np.bincount(owner[at], minlength=len(size)) * (w * w)
+            shared += np.bincount(word, minlength=len(size)) * (w * w)
+            hits.append((word, numbers[some], w))
+        live = np.flatnonzero(shared >= FLOOR * FLOOR * np.maximum(weight, 1e-18))
+        place = np.full(len(size), -1)
+        place[live] = np.arange(len(live))
+        sums = np.zeros((len(live), len(self.words)), np.float32)
+        for word, numbers, w in hits:
+            own = place[word]
+            numbers, own = numbers[own >= 0], own[own >= 0]
+            if len(own):
+                heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                sums[own[heads]] += np.float32(w) * np.add.reduceat(self.columns[numbers], heads, axis=0)
+        return live, np.minimum(sums / np.sqrt(weight[live]).astype(np.float32)[:, None], np.float32(1)) ** POWER
 
 
 def _spelled(start: np.ndarray, end: np.ndarray, bound: np.ndarray, raw: np.ndarray) -> list[tuple[int, bytes]]:
@@ -125,28 +142,32 @@ def _spelled(start: np.ndarray, end: np.ndarray, bound: np.ndarray, raw: np.ndar
 
 
 def sentence_values(at: np.ndarray, raw: np.ndarray, marks: Landmarks) -> tuple[np.ndarray, np.ndarray]:
-    """(row, landmark values) of each sentence; a row without words has one of zeros."""
+    """(row, landmark values) of the sentences with a word like some landmark, and of an empty sentence for each row."""
+    n, width = len(at) - 1, len(marks.words)
+    rows, parts = [np.arange(n)], [np.zeros((n, width), np.float32)]
     start, end, hashes, bound = words(at, raw, _IN_WORD)
-    n = len(at) - 1
-    if not len(start):
-        return np.arange(n), np.zeros((n, len(marks.words)), np.float32)
-    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
-    order = np.argsort(first, kind="stable")
-    place = np.empty_like(order)
-    place[order] = np.arange(len(order))
-    values = marks.of_words(raw, start[first[order]], end[first[order]])[place[number]]
-    for k, letters in _spelled(start, end, bound, raw):
-        values[k] = np.maximum(values[k], marks.of_words(letters, np.array([0]), np.array([len(letters)]))[0])
-    closes = np.zeros(len(start), dtype=bool)
-    closes[:-1] = _ENDS[raw[end[:-1] - 1]]
-    opens = np.r_[True, closes[:-1]]
-    heads = bound[:-1][np.diff(bound) > 0]
-    opens[heads] = True
-    cut = np.flatnonzero(opens)
-    row = np.searchsorted(bound, cut, "right") - 1
-    pooled = np.maximum.reduceat(values, cut, axis=0)
-    empty = np.flatnonzero(np.diff(bound) == 0)
-    return np.r_[row, empty], np.concatenate([pooled, np.zeros((len(empty), len(marks.words)), np.float32)])
+    if len(start):
+        _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+        order = np.argsort(first, kind="stable")
+        live, values = marks.of_words(raw, start[first[order]], end[first[order]])
+        place = np.full(len(first), -1)
+        place[order[live]] = np.arange(len(live))
+        own = place[number]
+        token = np.flatnonzero(own >= 0)
+        if len(token):
+            closes = np.zeros(len(start), dtype=np.int64)
+            closes[1:] = _ENDS[raw[end[:-1] - 1]]
+            closes[bound[:-1][np.diff(bound) > 0]] = 1
+            sentence = np.cumsum(closes)[token]
+            cut = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
+            rows.append(np.searchsorted(bound, token[cut], "right") - 1)
+            parts.append(np.maximum.reduceat(values[own[token]], cut, axis=0))
+        for k, letters in _spelled(start, end, bound, raw):
+            found, value = marks.of_words(letters, np.array([0]), np.array([len(letters)]))
+            if len(found):
+                rows.append(np.searchsorted(bound, [k], "right") - 1)
+                parts.append(value)
+    return np.concatenate(rows), np.concatenate(parts)
 
 
 def _worst(row: np.ndarray, margin: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,15 +223,15 @@ def _choose_landmarks(texts: list[bytes], y: np.ndarray) -> list[bytes]:
     bags = [set(t.split()) for t in texts]
     inside, outside = Counter(), Counter()
     for bag, label in zip(bags, y):
-        (inside if label else outside).update(w for w in bag if own_weight(w) > 0)
+        (inside if label else outside).update(bag)
     pos, neg = max((y > 0).sum(), 1), max((y <= 0).sum(), 1)
-    lift = {w: np.log(((n + 0.5) / pos) / ((outside[w] + 0.5) / neg)) for w, n in inside.items() if n > 1}
+    lift = {w: np.log(((n + 0.5) / pos) / ((outside[w] + 0.5) / neg)) for w, n in inside.items() if n > 1 and own_weight(w) > 0}
     worth = {w: inside[w] * x for w, x in lift.items() if x > LEAST_LIFT}
     marking: list[bytes] = []
     for w in sorted(worth, key=lambda w: (-worth[w], w))[: 20 * LANDMARKS]:
         if len(marking) < LANDMARKS and all(_likeness(w, x) < ALIKE for x in marking):
             marking.append(w)
-    plain = [w for w in sorted(outside, key=lambda w: (-outside[w], w)) if w not in set(marking)][:PLAIN]
+    plain = [w for w in sorted(outside, key=lambda w: (-outside[w], w))[: 20 * PLAIN] if w not in set(marking) and own_weight(w) > 0][:PLAIN]
     return marking + plain if marking else []
 
 
@@ -220,8 +241,13 @@ def train(texts: list[bytes], y: np.ndarray, share: float | None = None) -> Toxi
     if not 0 < prior < 1 or not (chosen := _choose_landmarks(texts, y)):
         return ToxicityModel(prior)
     marks = Landmarks(chosen)
-    at = np.r_[0, np.cumsum([len(t) for t in texts])]
-    row, values = sentence_values(at, np.frombuffer(b"".join(texts), np.uint8), marks)
+    rows, parts = [], []
+    for a in range(0, len(texts), TRAIN_TEXTS):
+        some = texts[a : a + TRAIN_TEXTS]
+        own, part = sentence_values(np.r_[0, np.cumsum([len(t) for t in some])], np.frombuffer(b"".join(some), np.uint8), marks)
+        rows.append(own + a)
+        parts.append(part)
+    row, values = np.concatenate(rows), np.concatenate(parts)
     x = values @ marks.root
     margin = values[:, : max(1, len(chosen) - PLAIN)].max(axis=1)
     for _ in range(ROUNDS):
