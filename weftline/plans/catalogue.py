@@ -1,4 +1,4 @@
 """The registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from weftline.plans import evidence_queries  # noqa: F401
+from weftline.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
