@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text batches handed to Python stay small, however long the rows are.
 ARROW_BATCH = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20),
 }
 
 
