@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,23 @@ import pyarrow as pa
 
 PIECE_BYTES = 1 << 20
 
+pa.set_memory_pool(pa.system_memory_pool())
+
+
+def _trimmer():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+_trim = _trimmer()
+
+
+def release() -> None:
+    """Give freed memory back: workers are reused, and what large arrays leave behind adds up."""
+    _trim(0)
+
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string column; null counts as empty. Both start at 0."""
@@ -30,6 +48,7 @@ def pieces(column: pa.Array, most: int = PIECE_BYTES) -> Iterator[tuple[int, int
         end = min(max(end, start + 1), n)
         yield start, end, at[start : end + 1] - at[start], raw[at[start] : at[end]]
         start = end
+    release()
 
 
 def texts(column: pa.Array) -> Iterator[bytes]:
@@ -38,6 +57,8 @@ def texts(column: pa.Array) -> Iterator[bytes]:
     view, at = raw.tobytes(), at.tolist()
     for a, b in zip(at, at[1:]):
         yield view[a:b]
+    del view
+    release()
 
 
 _POWER = 0x5851F42D4C957F2D

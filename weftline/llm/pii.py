@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from weftline.llm.arrowtext import flat
+from weftline.llm.arrowtext import flat, release
 from weftline.llm.tagger import Tagger, encode
 from weftline.runtime import small_batches
 
@@ -228,6 +228,7 @@ def find(column: pa.Array, tagger: Tagger) -> tuple[list[list[tuple[str, int, in
         base[r] = pattern_spans(text)
         taken = sorted((a, b) for _, a, b in base[r])
         added[r] = [(k, a, b) for k, a, b in more if not any(x < b and a < y for x, y in taken)]
+    release()
     return base, added
 
 

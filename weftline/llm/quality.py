@@ -35,14 +35,14 @@ WINDOW = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20
 
 SPACE = " \t\n\x0b\x0c\r"
-#: rule: measure over the base figures, and its candidates from lenient to strict
-RULES: dict[str, tuple[str, tuple[float, ...]]] = {
-    "symbols": ("n_symbols / n_words", (4.0, 3.0, 2.0, 1.5, 1.0, 0.75, 0.5, 0.3, 0.2, 0.1)),
-    "lines": ("n_dup_lines / n_lines", (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1)),
-    "repeats": ("n_repeat_words / n_words", (0.18, 0.15, 0.12, 0.1, 0.08, 0.05)),
-    "capitals": ("n_capitals / greatest(word_chars, 1)", (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3)),
-    "long_words": ("word_chars / n_words", (40.0, 30.0, 25.0, 20.0, 16.0, 14.0, 12.0, 11.0, 10.0)),
-    "short_words": ("-word_chars / n_words", (-1.5, -2.0, -2.5, -3.0, -3.5)),
+#: rule: its measure (a figure times a sign, over a figure) and its candidates from lenient to strict
+RULES: dict[str, tuple[tuple[str, int, str], tuple[float, ...]]] = {
+    "symbols": (("n_symbols", 1, "n_words"), (4.0, 3.0, 2.0, 1.5, 1.0, 0.75, 0.5, 0.3, 0.2, 0.1)),
+    "lines": (("n_dup_lines", 1, "n_lines"), (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1)),
+    "repeats": (("n_repeat_words", 1, "n_words"), (0.18, 0.15, 0.12, 0.1, 0.08, 0.05)),
+    "capitals": (("n_capitals", 1, "word_chars"), (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3)),
+    "long_words": (("word_chars", 1, "n_words"), (40.0, 30.0, 25.0, 20.0, 16.0, 14.0, 12.0, 11.0, 10.0)),
+    "short_words": (("word_chars", -1, "n_words"), (-1.5, -2.0, -2.5, -3.0, -3.5)),
 }
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -95,11 +95,16 @@ def base_failed(f: Column) -> Column:
     return (f["n_words"] < LEAST_WORDS) | (100 * f["n_repeat_words"] > MOST_REPEATED * f["n_words"])
 
 
-def _measure(rule: str, f: str) -> Column:
-    text = RULES[rule][0]
-    for name in (*BASE, "n_lines", "n_capitals"):
-        text = text.replace(name, f"{f}.{name}")
-    return F.when(F.col(f)["n_words"] > 0, F.expr(f"cast({text} as double)"))
+def _measure(rule: str, f: Column) -> Column:
+    (top, sign, bottom), _ = RULES[rule]
+    return F.when(f["n_words"] > 0, sign * f[top].cast("double") / f[bottom])
+
+
+def _rejected(f: Column, limits: Column) -> Column:
+    first, *rest = (F.coalesce(_measure(r, f) > limits[r], F.lit(False)) for r in RULES)
+    for r in rest:
+        first = first | r
+    return first
 
 
 def _tail(k: Column, n: Column, rate: float) -> Column:
@@ -122,7 +127,7 @@ def good_labels(labels: DataFrame) -> DataFrame:
 
 def cutoffs(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(__wl_stratum, one cutoff per rule or null) from good(__wl_stratum, __wl_f): the good labelled documents with their figures."""
-    counts = [F.sum((_measure(r, "__wl_f") > c).cast("long")).alias(f"{r}_{i}") for r, (_, cs) in RULES.items() for i, c in enumerate(cs)]
+    counts = [F.sum((_measure(r, F.col("__wl_f")) > c).cast("long")).alias(f"{r}_{i}") for r, (_, cs) in RULES.items() for i, c in enumerate(cs)]
     rows = good.filter(~base_failed(F.col("__wl_f"))).groupBy("__wl_stratum").agg(F.count("*").alias("n"), *counts)
     strata = good.select("__wl_stratum").distinct().count()
     level = F.lit(delta / (len(RULES) * max(strata, 1)))
@@ -136,33 +141,34 @@ def cutoffs(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> Data
     return rows.select("__wl_stratum", *map(chosen, RULES))
 
 
-def judged(docs: DataFrame, limits: DataFrame) -> DataFrame:
-    """docs(..., __wl_stratum, __wl_f) with __wl_failed (base) and __wl_kept appended."""
+def with_limits(docs: DataFrame, limits: DataFrame) -> DataFrame:
+    """docs(..., __wl_stratum) with the struct __wl_limits of its stratum's cutoffs."""
     if limits.count() <= MOST_STRATA:
         limits = F.broadcast(limits)  # one row of a few numbers per stratum
-    limits = limits.select("__wl_stratum", F.struct(*RULES).alias("__wl_limits"))
-    rejects = [F.coalesce(_measure(r, "__wl_f") > F.col("__wl_limits")[r], F.lit(False)) for r in RULES]
-    rejected = rejects[0]
-    for r in rejects[1:]:
-        rejected = rejected | r
-    out = docs.join(limits, "__wl_stratum", "left").withColumn("__wl_failed", base_failed(F.col("__wl_f")))
-    return out.withColumn("__wl_kept", ~F.col("__wl_failed") & ~rejected).drop("__wl_limits")
+    return docs.join(limits.select("__wl_stratum", F.struct(*RULES).alias("__wl_limits")), "__wl_stratum", "left")
+
+
+def _stratum(stratum: str) -> Column:
+    return F.coalesce(F.col(stratum), F.lit(""))
 
 
-def _measured(docs: DataFrame, stratum: str) -> DataFrame:
-    return docs.withColumns({"__wl_stratum": F.coalesce(F.col(stratum), F.lit("")), "__wl_f": figures(F.col("text"))})
+def _good_figures(docs: DataFrame, labels: DataFrame, stratum: str) -> DataFrame:
+    good = docs.select("doc_id", "text", stratum).join(good_labels(labels), "doc_id")
+    return good.select(_stratum(stratum).alias("__wl_stratum"), figures(F.col("text")).alias("__wl_f"))
 
 
 def quality_table(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """(doc_id, base figures, base_failed, kept) for each row of docs(doc_id, text, stratum)."""
-    measured = materialize(_measured(docs.select("doc_id", "text", stratum), stratum).select("doc_id", "__wl_stratum", "__wl_f"), "figures")
-    good = measured.join(good_labels(labels), "doc_id")
-    out = judged(measured, materialize(cutoffs(good), "cutoffs"))
-    return out.select("doc_id", *[F.col("__wl_f")[c].alias(c) for c in BASE], F.col("__wl_failed").alias("base_failed"), F.col("__wl_kept").alias("kept"))
+    measured = docs.select("doc_id", _stratum(stratum).alias("__wl_stratum"), figures(F.col("text")).alias("__wl_f"))
+    measured = materialize(measured, "figures")
+    limits = materialize(cutoffs(measured.join(good_labels(labels), "doc_id")), "cutoffs")
+    f = F.col("__wl_f")
+    out = with_limits(measured, limits).withColumn("base_failed", base_failed(f))
+    return out.select("doc_id", *[f[c].alias(c) for c in BASE], "base_failed", (~F.col("base_failed") & ~_rejected(f, F.col("__wl_limits"))).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """The rows of docs that no rule rejects, with the columns of docs."""
-    good = _measured(docs.select("doc_id", "text", stratum).join(good_labels(labels), "doc_id"), stratum).select("__wl_stratum", "__wl_f")
-    out = judged(_measured(docs, stratum), materialize(cutoffs(good), "cutoffs"))
-    return out.filter("__wl_kept").select(*docs.columns)
+    limits = materialize(cutoffs(materialize(_good_figures(docs, labels, stratum), "figures")), "cutoffs")
+    marked = with_limits(docs.withColumn("__wl_stratum", _stratum(stratum)), limits)
+    return marked.filter(_let(figures(F.col("text")), lambda f: ~base_failed(f) & ~_rejected(f, F.col("__wl_limits")))).select(*docs.columns)

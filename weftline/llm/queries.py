@@ -18,7 +18,7 @@ def _op1_sql() -> str:
     from weftline.llm import quality as q
 
     rate, rules = q.ALPHA / len(q.RULES), q.RULES
-    measures = ", ".join(f"case when n_words > 0 then cast({text.replace('/', '* 1.0 /', 1)} as double) end as m_{r}" for r, (text, _) in rules.items())
+    measures = ", ".join(f"case when n_words > 0 then {sign} * cast({top} as double) / {bottom} end as m_{r}" for r, ((top, sign, bottom), _) in rules.items())
     tests = " union all ".join(
         f"select stratum, '{r}' as rule, {i} as place, cast({c} as double) as c, count(*) as n, count(*) filter (m_{r} > {c}) as k from good group by stratum" for r, (_, cs) in rules.items() for i, c in enumerate(cs)
     )
