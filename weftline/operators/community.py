@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.operators.components import connected_components
+from weftline.runtime import materialize
 
 
 def _one_level(links: dict, degree: dict, total: float) -> dict:
@@ -68,7 +69,7 @@ def louvain(edges: list[tuple[str, str, float]], total: float) -> dict[str, str]
 
 def cluster_replicates(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(replicate, locality, cluster) from edges(replicate, locality_a, locality_b, weight) and nodes(replicate, locality)."""
-    edges = edges.select("replicate", "locality_a", "locality_b", "weight")
+    edges = materialize(edges.select("replicate", "locality_a", "locality_b", "weight"), "graph")  # read four times below
     key = lambda c: F.concat_ws("\u0001", F.col("replicate").cast("string"), F.col(c))
     parts = connected_components(edges.select(key("locality_a").alias("u"), key("locality_b").alias("v")))
     total = edges.groupBy("replicate").agg((2 * F.sum("weight")).alias("total"))
