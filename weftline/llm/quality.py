@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from weftline.runtime import materialize
 
 ALPHA, DELTA = 0.02, 0.05
-MOST_STRATA = 10_000
+MOST_STRATA, MOST_LABELS = 10_000, 1_000_000
 WINDOW = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20
 
@@ -82,13 +82,16 @@ def figures(text: Column) -> Column:
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     long = lambda c: c.cast("long")
-    by_lines = _let(lines, lambda x: F.struct(long(F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"), long(F.size(x)).alias("n_lines")))
-    by_words = _let(words, lambda w: F.struct(long(F.size(w)).alias("n_words"), long(F.length(F.array_join(w, ""))).alias("word_chars"), _repeat_words(w).alias("n_repeat_words")))
     kept = lambda those: long(F.length(F.regexp_replace(text, those, "")))
-    return F.struct(
-        by_words["n_words"].alias("n_words"), by_words["word_chars"].alias("word_chars"), kept(r"[^#*$%&|<>]+").alias("n_symbols"),
-        by_lines["n_dup_lines"].alias("n_dup_lines"), by_words["n_repeat_words"].alias("n_repeat_words"), by_lines["n_lines"].alias("n_lines"), kept("[^A-Z]+").alias("n_capitals"),
-    )
+
+    def told(w: Column, x: Column) -> Column:
+        return F.struct(
+            w["n_words"].alias("n_words"), w["word_chars"].alias("word_chars"), kept(r"[^#*$%&|<>]+").alias("n_symbols"),
+            long(F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"), w["n_repeat_words"].alias("n_repeat_words"), long(F.size(x)).alias("n_lines"), kept("[^A-Z]+").alias("n_capitals"),
+        )
+
+    by_words = _let(words, lambda w: F.struct(long(F.size(w)).alias("n_words"), long(F.length(F.array_join(w, ""))).alias("word_chars"), _repeat_words(w).alias("n_repeat_words")))
+    return _let(by_words, lambda w: _let(lines, lambda x: told(w, x)))
 
 
 def base_failed(f: Column) -> Column:
@@ -152,8 +155,14 @@ def _stratum(stratum: str) -> Column:
     return F.coalesce(F.col(stratum), F.lit(""))
 
 
+def _few(labels: DataFrame) -> DataFrame:
+    """Ids of good labels, broadcast while they are few, so that texts stay where they are; joined beyond."""
+    good = good_labels(labels)
+    return F.broadcast(good) if good.limit(MOST_LABELS + 1).count() <= MOST_LABELS else good
+
+
 def _good_figures(docs: DataFrame, labels: DataFrame, stratum: str) -> DataFrame:
-    good = docs.select("doc_id", "text", stratum).join(good_labels(labels), "doc_id")
+    good = docs.select("doc_id", "text", stratum).join(_few(labels), "doc_id")
     return good.select(_stratum(stratum).alias("__wl_stratum"), figures(F.col("text")).alias("__wl_f"))
 
 
