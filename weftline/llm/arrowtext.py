@@ -67,7 +67,7 @@ _INVERSE = pow(_POWER, -1, 1 << 64)
 
 def _powers(base: int, n: int, kept: dict[int, np.ndarray] = {}) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) mod 2 ** 64; one table per base is kept."""
-    if len(kept.get(base, ())) < n:
+    if base not in kept or len(kept[base]) < n:
         steps = np.full(max(n, PIECE_BYTES + 1), base, dtype=np.uint64)
         steps[0] = 1
         kept[base] = np.multiply.accumulate(steps)
