@@ -1,9 +1,9 @@
 """Toxicity by a subsequence string kernel, Nystrom landmarks and a linear SVM.
 
 Kernel. Two words are compared by the ordered letter triples they share, adjacent or
-with gaps: a triple that spans s characters weighs DECAY ** s, up to SPAN characters.
-Letters put between those of a word, marks among them and letters left out change only
-some triples, so "i-d-i-o-t" stays close to "idiot". Runs of three or more
+with gaps: a triple that spans s letters weighs DECAY ** s, up to SPAN letters. Letters
+put between those of a word or left out change only some triples; marks and digits
+among them are passed over, so "i-d-i-o-t" is read as "idiot". Runs of three or more
 single-letter words are read as one word as well. The kernel is scaled by each word's
 own weight and sharpened by a power.
 
@@ -52,6 +52,7 @@ _IN_WORD = np.array([b not in _SPACE for b in range(256)])
 _LETTER = np.full(256, 26, dtype=np.int64)
 _LETTER[97:123] = np.arange(26)
 _LETTER[65:91] = np.arange(26)
+_HEARD = (_LETTER < 26) | (np.arange(256) > 127)  # ASCII marks and digits are passed over, other bytes stand for a foreign letter
 _ENDS = np.array([chr(b) in ".!?\n" for b in range(256)])
 _GAPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 
@@ -66,8 +67,13 @@ def _triples(letters: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray
         yield at[good], (a[good] * 26 + b[good]) * 26 + c[good], DECAY ** (j + 1)
 
 
+def _heard(word: bytes) -> np.ndarray:
+    own = np.frombuffer(word, np.uint8)
+    return _LETTER[own[_HEARD[own]]]
+
+
 def features(word: bytes) -> dict[int, float]:
-    letters = _LETTER[np.frombuffer(word, np.uint8)]
+    letters = _heard(word)
     found: dict[int, float] = {}
     for _, numbers, weight in _triples(letters, np.full(len(letters), len(letters))):
         for x in numbers.tolist():
@@ -76,7 +82,7 @@ def features(word: bytes) -> dict[int, float]:
 
 
 def own_weight(word: bytes) -> float:
-    letters = _LETTER[np.frombuffer(word, np.uint8)]
+    letters = _heard(word)
     return sum(len(at) * w * w for at, _, w in _triples(letters, np.full(len(letters), len(letters)))) ** 0.5
 
 
@@ -107,8 +113,10 @@ class Landmarks:
         size = end - start
         owner = np.repeat(np.arange(len(size)), size)
         offset = np.cumsum(size) - size
-        letters = _LETTER[raw[np.arange(len(owner)) + np.repeat(start - offset, size)]]
-        stop = (offset + size)[owner]
+        own = raw[np.arange(len(owner)) + np.repeat(start - offset, size)]
+        heard = _HEARD[own]
+        letters, owner = _LETTER[own[heard]], owner[heard]
+        stop = np.cumsum(np.bincount(owner, minlength=len(size)))[owner]
         weight, shared, hits = np.zeros(len(size)), np.zeros(len(size)), []
         for at, numbers, w in _triples(letters, stop):
             some = self.known[numbers]  # few triples are any landmark's
