@@ -9,16 +9,20 @@ from pyspark.sql.window import Window
 from weftline.config import CONFIG, JACCARD_SCALE, STABILITY_LOOKBACK_DAYS
 
 
+def recent_days(history: DataFrame, n: int) -> list[str]:
+    """The last n run dates, newest first; so few values come to the driver and go back as literals."""
+    return [r[0] for r in history.select("run_date").distinct().orderBy(F.desc("run_date")).limit(n).collect()]
+
+
 def day(history: DataFrame, back: int = 0) -> DataFrame:
     """The members of the last day but `back`."""
-    days = history.select("run_date").distinct().orderBy(F.desc("run_date")).limit(back + 1).agg(F.min("run_date").alias("run_date"))
-    return history.join(F.broadcast(days), "run_date").select("locality", "cluster_id")  # one row
+    days = recent_days(history, back + 1)
+    return history.filter(F.col("run_date").isin(days[back:])).select("locality", "cluster_id")
 
 
 def lookback_dates(history: DataFrame, days: int = STABILITY_LOOKBACK_DAYS) -> DataFrame:
     """The last run dates before the latest one."""
-    last = history.agg(F.max("run_date").alias("last"))
-    return history.select("run_date").distinct().join(F.broadcast(last), F.col("run_date") < F.col("last")).orderBy(F.desc("run_date")).limit(days).select("run_date")  # one row
+    return history.sparkSession.createDataFrame([(d,) for d in recent_days(history, days + 1)[1:]], "run_date string")
 
 
 def memberships(members: DataFrame) -> DataFrame:
@@ -115,8 +119,9 @@ def stability(history: DataFrame, days: int = STABILITY_LOOKBACK_DAYS) -> DataFr
     its companions are n_ij - 1 of (a_i - 1) + (b_j - 1) - (n_ij - 1); no companions, or a
     day without the locality, count 0. No pairs of members are made.
     """
-    today = day(history)
-    past = history.join(F.broadcast(lookback_dates(history, days)), "run_date")  # seven rows at most
+    latest, *earlier = recent_days(history, days + 1) or [None]
+    today = history.filter(F.col("run_date") == latest).select("locality", "cluster_id")
+    past = history.filter(F.col("run_date").isin(earlier))
     size = today.groupBy("cluster_id").agg(F.count("*").alias("a"))
     then = past.groupBy("run_date", F.col("cluster_id").alias("old_id")).agg(F.count("*").alias("b"))
     both = today.join(past.select("locality", "run_date", F.col("cluster_id").alias("old_id")), "locality")
@@ -124,6 +129,5 @@ def stability(history: DataFrame, days: int = STABILITY_LOOKBACK_DAYS) -> DataFr
     cells = shared.join(size, "cluster_id").join(then, ["run_date", "old_id"])
     likeness = F.coalesce(F.try_divide(F.col("n").cast("double"), F.col("a") + F.col("b") - 2 - F.col("n")), F.lit(0.0))
     sums = both.join(cells.select("run_date", "cluster_id", "old_id", likeness.alias("x")), ["run_date", "cluster_id", "old_id"]).groupBy("locality").agg(F.sum("x").alias("total"))
-    n = lookback_dates(history, days).agg(F.count("*").alias("days"))
-    joined = today.select("locality").join(sums, "locality", "left").crossJoin(n)  # one row
-    return joined.select("locality", F.coalesce(F.try_divide(F.coalesce("total", F.lit(0.0)), F.col("days")), F.lit(0.0)).alias("stability"))
+    mean = F.coalesce("total", F.lit(0.0)) / max(len(earlier), 1)
+    return today.select("locality").join(sums, "locality", "left").select("locality", mean.alias("stability"))

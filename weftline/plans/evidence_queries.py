@@ -45,7 +45,7 @@ def pin_parses(v: Views) -> DataFrame:
 
 @query("q_locality_observations", "select notice_id, scope_kind, scope_ord, scope_name, canonical_name from fx_obs")
 def locality_observations(v: Views) -> DataFrame:
-    return v.observations.select("notice_id", "scope_kind", "scope_ord", "scope_name", "canonical_name")
+    return ev.observations(v.localities).select("notice_id", "scope_kind", "scope_ord", "scope_name", "canonical_name")
 
 
 @query("q_pair_observations", "select notice_id, scope_kind, scope_ord, outage_date, locality_a, locality_b, parse_c, scope_c, canon_c, temporal_c, geo_c from fx_pairs")
@@ -65,7 +65,7 @@ def geo_confidence(v: Views) -> DataFrame:
 
 @query("q_marginals", "select locality, n from fx_marg")
 def marginals(v: Views) -> DataFrame:
-    return v.marginals
+    return ev.marginals(ev.observations(v.localities))
 
 
 @query("q_cooccurrences", "select locality_a, locality_b, count(distinct notice_id) as notice_count, count(distinct outage_date) as dd, min(outage_date) as first_date, max(outage_date) as last_date from fx_pairs group by locality_a, locality_b")
@@ -89,19 +89,19 @@ _EARLY = "(select outage_date from (select outage_date, row_number() over (order
 
 @query("q_temporal_split", "select outage_date, case when i <= least(greatest(floor(n * 0.8), 1), n - 1) then 'train' else 'holdout' end as part from (select outage_date, row_number() over (order by outage_date) as i, count(*) over () as n from (select distinct outage_date from fx_pairs where outage_date is not null))")
 def temporal_split(v: Views) -> DataFrame:
-    return validation.temporal_split(v.pairs.select("outage_date"))
+    return validation.temporal_split(v.settled_pairs.select("outage_date"))
 
 
 @query("q_restrict_dates", f"select locality_a, locality_b, notice_count, dd from ({sqlviews.edges('(select * from fx_pairs where outage_date in ' + _EARLY + ')')})")
 def restrict_dates(v: Views) -> DataFrame:
-    dates = validation.temporal_split(v.pairs.select("outage_date")).filter("part = 'train'")
-    return ev.edge_inputs(ev.restricted(v.pairs, dates)).select("locality_a", "locality_b", "notice_count", "dd")
+    dates = validation.temporal_split(v.settled_pairs.select("outage_date")).filter("part = 'train'")
+    return ev.edge_inputs(ev.restricted(v.settled_pairs, dates)).select("locality_a", "locality_b", "notice_count", "dd")
 
 
 @query("q_holdout_pairs", f"select distinct locality_a, locality_b from fx_pairs where outage_date is not null and outage_date not in {_EARLY}")
 def holdout_pairs(v: Views) -> DataFrame:
-    dates = validation.temporal_split(v.pairs.select("outage_date")).filter("part = 'holdout'")
-    return ev.restricted(v.pairs, dates).select("locality_a", "locality_b").distinct()
+    dates = validation.temporal_split(v.settled_pairs.select("outage_date")).filter("part = 'holdout'")
+    return ev.restricted(v.settled_pairs, dates).select("locality_a", "locality_b").distinct()
 
 
 _LARGEST = "(select notice_id from fx_pairs group by notice_id order by count(*) desc, notice_id limit 1)"
@@ -123,7 +123,7 @@ _ABLATED = sqlviews.weighted(f"({sqlviews.edges(_WITHOUT['fx_pairs'])})", f"(sel
 
 @query("q_exclude_notice", f"select locality_a, locality_b, notice_count, dd from ({sqlviews.edges(_WITHOUT['fx_pairs'])})")
 def exclude_notice(v: Views) -> DataFrame:
-    return ev.edge_inputs(validation.without_largest(v.pairs, v.pairs)).select("locality_a", "locality_b", "notice_count", "dd")
+    return ev.edge_inputs(validation.without_largest(v.settled_pairs, v.settled_pairs)).select("locality_a", "locality_b", "notice_count", "dd")
 
 
 @query(
@@ -133,7 +133,7 @@ def exclude_notice(v: Views) -> DataFrame:
     f" union all select 'largest_notice_removed', locality_a, locality_b, round(weight, 8) from ({_ABLATED}) where dd >= 2 and weight > 0",
 )
 def ablation_edges(v: Views) -> DataFrame:
-    parts = validation.ablations(v.observations, v.pairs)
+    parts = validation.ablations(v.observations, v.settled_pairs)
     out = None
     for name, edges in parts.items():
         own = rounded(edges, "weight").select(F.lit(name).alias("variant"), "locality_a", "locality_b", "weight")
@@ -194,22 +194,22 @@ _SIGNALS = " union all ".join(f"select '{k}' as key, {k}::double as current, {r}
 
 @query("q_readiness_metrics", f"select valid_notices, distinct_outage_dates, unique_localities, repeated_pairs, round(active_ok_ratio, 8) as active_ok_ratio, round(largest_notice_pair_share, 8) as largest_notice_pair_share from ({_METRICS})")
 def readiness_metrics(v: Views) -> DataFrame:
-    return rounded(readiness.metrics(v.parses, v.observations, v.pairs), "active_ok_ratio", "largest_notice_pair_share")
+    return rounded(readiness.metrics(v.parses, v.observations, v.settled_pairs), "active_ok_ratio", "largest_notice_pair_share")
 
 
 @query("q_readiness_signals", f"with m as ({_METRICS}) select key, round(current, 8) as current, required, passed from ({_SIGNALS})")
 def readiness_signals(v: Views) -> DataFrame:
-    return rounded(readiness.signals(readiness.metrics(v.parses, v.observations, v.pairs)), "current").select("key", "current", "required", "passed")
+    return rounded(readiness.signals(readiness.metrics(v.parses, v.observations, v.settled_pairs)), "current").select("key", "current", "required", "passed")
 
 
 @query("q_quality_gates", f"with m as ({_METRICS}), s as ({_SIGNALS}) select key, case when passed then 'pass' else 'fail' end as status, concat(key, case when passed then '_pass' when current is null then '_not_measured' when key = 'largest_notice_pair_share' then '_above_maximum' else '_below_minimum' end) as reason from s")
 def quality_gates(v: Views) -> DataFrame:
-    return readiness.gates(readiness.signals(readiness.metrics(v.parses, v.observations, v.pairs))).select("key", "status", "reason")
+    return readiness.gates(readiness.signals(readiness.metrics(v.parses, v.observations, v.settled_pairs))).select("key", "status", "reason")
 
 
 @query("q_activation_guards", f"with m as ({_METRICS}), s as ({_SIGNALS}), g as (select (select count(*) from fx_edges where dd >= 2) > 0 as run_completed, (select count(*) from fx_obs) > 0 as build_active, (select count(distinct outage_date) from fx_pairs) > 1 as validation_completed, (select bool_and(passed) from s) as published) select *, case when not run_completed then 'run_not_completed' when not build_active then 'build_not_active' when not validation_completed then 'validation_not_completed' when not published then 'not_published' end as refusal from g")
 def activation_guards(v: Views) -> DataFrame:
-    return readiness.activation_guards(v.parses, v.observations, v.pairs, v.edges)
+    return readiness.activation_guards(v.parses, v.observations, v.settled_pairs, ev.edge_inputs(v.settled_pairs))
 
 
 @query("q_clusters")
@@ -221,7 +221,7 @@ def clusters(v: Views) -> DataFrame:
 
 @query("q_bootstrap")
 def bootstrap(v: Views) -> DataFrame:
-    return validation.bootstrap(v.observations, v.pairs, v.parses)
+    return validation.bootstrap(v.observations, v.settled_pairs, v.parses)
 
 
 _PER_NOTICE = "select p.notice_id, parse_status, outage_date, count(distinct canonical_name) as n, count(subregion_name) as headed from fx_parses p left join fx_localities l on l.notice_id = p.notice_id group by p.notice_id, parse_status, outage_date"

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import evidence
-from weftline.runtime import table
+from weftline.runtime import materialize, table
 
 
 def number(x: str | Column) -> Column:
@@ -16,6 +18,7 @@ def number(x: str | Column) -> Column:
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        self._settled: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
@@ -41,14 +44,27 @@ class Views:
 
     @property
     def context(self) -> DataFrame:
-        brand = F.substring("locality", 7, 9).cast("int")
-        return self.localities.select(F.col("canonical_name").alias("locality")).distinct().select(
-            "locality", F.when(brand % 7 != 0, F.concat(F.lit("unit-"), number(brand % 10))).alias("service_unit_id"), F.when(brand % 3 == 0, 1.0).otherwise(0.7).alias("spatial_confidence")
+        """Of every locality that a part's block can name; read from the parts, not the facts."""
+        block = F.floor((F.substring("p_brand", 7, 9).cast("int") - 1) / 5).cast("int")
+        brand = self.raw("part").select(block.alias("block")).distinct().select(F.explode(F.sequence(F.col("block") * 5 + 1, F.col("block") * 5 + 5)).alias("b"))
+        b = F.col("b")
+        return brand.select(
+            F.concat(F.lit("Brand#"), number(b)).alias("locality"), F.when(b % 7 != 0, F.concat(F.lit("unit-"), number(b % 10))).alias("service_unit_id"), F.when(b % 3 == 0, 1.0).otherwise(0.7).alias("spatial_confidence")
         )
 
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table of the build, written once for all its readers in a query."""
+        if name not in self._settled:
+            self._settled[name] = materialize(make(), name)
+        return self._settled[name]
+
     @property
     def observations(self) -> DataFrame:
-        return evidence.observations(self.localities)
+        return self._once("observations", lambda: evidence.observations(self.localities))
+
+    @property
+    def settled_pairs(self) -> DataFrame:
+        return self._once("pairs", lambda: self.pairs)
 
     @property
     def pairs(self) -> DataFrame:
