@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from weftline.config import CANDIDATE_RADIUS_KM, CANDIDATE_WEIGHTS, CONFIG, COUNTRY_LATITUDES, COUNTRY_LONGITUDES, EARTH_RADIUS_KM, MIN_CANDIDATE_COMPLETENESS, PERTURBATION_FACTORS, PILOT_BOX
 from weftline.operators.components import connected_components
+from weftline.runtime import materialize
 
 KM_PER_DEGREE = math.pi * EARTH_RADIUS_KM / 180
 
@@ -118,8 +119,8 @@ def numbered(components: DataFrame) -> DataFrame:
 def candidate_features(assets: DataFrame, lines: DataFrame, places: DataFrame, independent_dates: int, radius_km: float = CANDIDATE_RADIUS_KM) -> DataFrame:
     """Features of the assets near some accepted locality that have a signal and are complete enough."""
     accepted = places.filter("spatial_confidence > 0")
-    near = within_radius(assets, accepted, radius_km)
-    parts = topology_components(assets, lines)
+    near = materialize(within_radius(assets, accepted, radius_km), "near")  # both are read several times below
+    parts = materialize(topology_components(assets, lines), "components")
     wired = parts.join(lines.select(F.col("edge_id").alias("element")), "element", "left_semi").select("root").distinct().withColumn("connected", F.lit(True))
     home = parts.select(F.col("element").alias("asset_id"), "root").join(wired, "root", "left")
     reach = near.join(home, "asset_id").groupBy("root").agg(F.countDistinct("p_locality").alias("reach"))
@@ -156,6 +157,7 @@ def score(weights: dict[str, float] = CANDIDATE_WEIGHTS) -> Column:
 def _shared_ranks(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Rank by (-score, asset_id). Scores are counted by value first, so only the distinct
     scores of a key are ordered together, and rows only within their score."""
+    scored = materialize(scored, "scored")
     values = scored.groupBy(*keys, "score").agg(F.count("*").alias("k"))
     above = F.sum("k").over(Window.partitionBy(*keys).orderBy(F.desc("score"))) - F.col("k")
     own = F.row_number().over(Window.partitionBy(*keys, "score").orderBy("asset_id"))
