@@ -31,7 +31,7 @@ def test_stages_equal_a_plain_version(spark, tmp_path):
     root = {i: i for i in prints}
     for a in prints:
         for b in prints:
-            if a < b and bin(prints[a] ^ prints[b]).count("1") <= 3:
+            if a < b and bin(prints[a] ^ prints[b]).count("1") <= 7:
                 old, new = root[b], root[a]
                 root = {k: new if v == old else v for k, v in root.items()}
     kept = [r for r in kept if r[0] == min(k for k, v in root.items() if v == root[r[0]])]

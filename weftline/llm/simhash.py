@@ -3,15 +3,16 @@
 A fingerprint has bit b set if more than half of a text's shingle hashes have it.
 Fingerprints within `radius` bits are linked and links are followed to components.
 
-Candidates. The 64 bits are cut into radius + 2 bands. Two fingerprints within the
-radius agree on at least two bands, so each distinct fingerprint is dealt to one
-bucket for every pair of bands; no link is lost. A bucket above `HOT_BUCKET`
+Candidates. The 64 bits are cut into radius + m bands. Two fingerprints within the
+radius agree on at least m bands, so each distinct fingerprint is dealt to one bucket
+for every m of the bands; no link is lost. m is 2, or more where the number of
+fingerprints would fill the buckets. A bucket above `HOT_BUCKET`
 fingerprints is dealt out further as pairs of its parts, so that no task holds a
 whole hot bucket; all pairs of parts are visited, so nothing is dropped there either.
 
 Index. A bucket's fingerprints are sorted by Gray rank; runs that share their
-leading bytes form the nodes of a tree that stores a shared pattern once. The tree
-is compared with itself from the top, the differing bits of the patterns are added
+leading bytes form the nodes of a tree that stores a shared pattern once. Trees of many
+buckets are held together. Each is compared with itself from the top, the differing bits of the patterns are added
 up along the way, and two nodes whose sum exceeds the radius are left with all that
 stands below them.
 
@@ -41,6 +42,7 @@ SEED = 42
 RADIUS = 3
 SHINGLE = 3
 HOT_BUCKET = 20_000
+EVEN_BUCKET = 64
 FRONTIER = 1 << 18
 
 _POP = np.array([bin(x).count("1") for x in range(256)], dtype=np.uint8)
@@ -84,24 +86,31 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class GrayTree:
-    """Levels of shared leading bytes over Gray-ordered distinct fingerprints."""
+class GrayForest:
+    """A tree for each group of fingerprints: levels of shared leading bytes in Gray order."""
 
-    def __init__(self, prints: np.ndarray) -> None:
-        self.prints = prints[np.argsort(gray_rank(prints), kind="stable")]
+    def __init__(self, groups: np.ndarray, prints: np.ndarray) -> None:
+        order = np.lexsort((gray_rank(prints), groups))
+        self.prints, groups = prints[order], groups[order]
+        fresh = groups[1:] != groups[:-1]
         self.pattern, self.first = [], []
         below = np.arange(len(self.prints) + 1)
-        for depth in range(8, 0, -1):  # bottom up: runs equal in their first `depth` bytes
-            heads = self.prints >> np.uint64(64 - 8 * depth)
-            starts = np.flatnonzero(np.r_[True, heads[1:] != heads[:-1]]) if len(heads) else np.zeros(0, np.int64)
-            self.pattern.insert(0, (heads[starts] & np.uint64(255)).astype(np.uint8))
-            self.first.insert(0, np.searchsorted(below[:-1], np.r_[starts, len(self.prints)]))
+        for depth in range(8, -1, -1):  # bottom up: runs of a group that are equal in their first `depth` bytes
+            differ = fresh
+            if depth:
+                heads = self.prints >> np.uint64(64 - 8 * depth)
+                differ = fresh | (heads[1:] != heads[:-1])
+            starts = np.flatnonzero(np.r_[True, differ])
+            if depth < 8:
+                self.first.insert(0, np.searchsorted(below[:-1], np.r_[starts, len(self.prints)]))
+            if depth:
+                self.pattern.insert(0, (heads[starts] & np.uint64(255)).astype(np.uint8))
             below = np.r_[starts, len(self.prints)]
-        self.first = [np.array([0, len(self.pattern[0])]), *self.first[:-1]]
 
     def close(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Index pairs a < b of prints within the radius, in blocks."""
-        stack = [(0, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.uint8))]
+        roots = np.arange(len(self.first[0]) - 1)
+        stack = [(0, roots, roots, np.zeros(len(roots), np.uint8))]
         while stack:
             level, a, b, spent = stack.pop()
             if level == 8:
@@ -124,9 +133,9 @@ class GrayTree:
                     stack.append((level + 1, x[good], y[good], total[good]))
 
 
-def local_links(prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """(print, least-placed print of its local component) for all linked prints but the roots."""
-    tree = GrayTree(np.unique(prints))
+def local_links(groups: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """(print, least-placed print of its component in its group) for all linked prints but the roots; prints are distinct in a group."""
+    tree = GrayForest(groups, prints)
     root = np.arange(len(tree.prints))
     for a, b in tree.close(radius):
         while len(a):
@@ -145,12 +154,17 @@ def local_links(prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, n
     return tree.prints[moved], tree.prints[root[moved]]
 
 
-def _band_masks(radius: int) -> list[int]:
-    bands = radius + 2
+def matched_bands(radius: int, count: int) -> int:
+    """How many bands must agree so that an even deal leaves some tens of fingerprints in a bucket."""
+    return next(m for m in range(2, 65) if count <= EVEN_BUCKET << (64 * m // (radius + m)) or m == 6)
+
+
+def _band_masks(radius: int, matched: int = 2) -> list[int]:
+    bands = radius + matched
     edge = [64 * i // bands for i in range(bands + 1)]
     mask = [((1 << edge[i + 1]) - 1) ^ ((1 << edge[i]) - 1) for i in range(bands)]
-    both = [mask[i] | mask[j] for i, j in combinations(range(bands), 2)]
-    return [m - (1 << 64) if m >> 63 else m for m in both]
+    every = [sum(c) for c in combinations(mask, matched)]
+    return [m - (1 << 64) if m >> 63 else m for m in every]
 
 
 def _links_of_groups(radius: int):
@@ -162,15 +176,10 @@ def _links_of_groups(radius: int):
         def linked(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             if not len(rows):
                 return
-            starts = np.flatnonzero(np.r_[True, (rows[1:, :-1] != rows[:-1, :-1]).any(axis=1)])
-            sizes = np.diff(np.r_[starts, len(rows)])
-            us, vs = [], []
-            for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-                u, v = local_links(rows[s : s + n, -1].view(np.uint64), radius)
-                us.append(u)
-                vs.append(v)
-            if us and sum(map(len, us)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (us, vs)], schema=out)
+            group = np.cumsum(np.r_[0, (rows[1:, :-1] != rows[:-1, :-1]).any(axis=1)])
+            u, v = local_links(group, np.ascontiguousarray(rows[:, -1]).view(np.uint64), radius)
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (u, v)], schema=out)
 
         for batch in batches:
             if not batch.num_rows:
@@ -193,8 +202,9 @@ def fingerprint_components(prints: DataFrame, radius: int = RADIUS, hot_bucket:
     spark = prints.sparkSession
     small_batches(spark)
     distinct = prints.select("fp").filter("fp is not null").distinct()
+    masks = _band_masks(radius, matched_bands(radius, distinct.count()))
     dealt = distinct.select(
-        F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(_band_masks(radius))])).alias("b"), "fp"
+        F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(masks)])).alias("b"), "fp"
     ).select("b.t", "b.k", "fp")
     dealt = materialize(dealt, "bands")
     sizes = dealt.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1")
