@@ -1,7 +1,8 @@
 """Training-corpus pipeline over `documents`: five operators of weftline.llm in a row.
 
 quality rules   documents that a certified cutoff or the base rules reject go
-near copies     of each group of linked fingerprints (five-word shingles, 7 bits) one document stays
+near copies     of each group of linked fingerprints (five-word shingles, 7 bits) one document stays,
+                and what is less than 0.8 similar to it
 benchmark       documents with a passage of a benchmark item go
 personal data   spans become their kind in brackets; n_chars follows the text
 mixing          documents are repeated or left out to meet the sources' targets
@@ -20,8 +21,8 @@ from weftline.llm import decontaminate, mixing, pii, quality, simhash
 from weftline.runtime import materialize, table
 
 NEAR_COPY_SHINGLE = 5
-#: bits; at 7 of 64 the shingle sets have a similarity of about 0.89, so that links stay above 0.8
-NEAR_COPY_RADIUS = 7
+#: bits that find near copies, and the similarity to the document that stays from which they go
+NEAR_COPY_RADIUS, NEAR_COPY_SIMILARITY = 7, 0.8
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one_per_group(docs, shingle=NEAR_COPY_SHINGLE, radius=NEAR_COPY_RADIUS)
+    return simhash.keep_one_per_group(docs, NEAR_COPY_SHINGLE, NEAR_COPY_RADIUS, NEAR_COPY_SIMILARITY)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

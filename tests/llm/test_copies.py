@@ -128,3 +128,13 @@ def test_components_and_representatives(spark, table):
     kept = simhash.keep_one_per_group(docs)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "4", "5", "None"]
     assert simhash.keep_one_per_group(docs.limit(0)).count() == 0
+
+
+def test_members_unlike_the_row_that_stays_are_kept(spark, table):
+    words = [f"w{i}" for i in range(300)]
+    near = words[:150] + ["other"] + words[151:]
+    far = [w if i % 40 else f"x{i}" for i, w in enumerate(words)]
+    docs = table("doc_id long, text string", [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(far)), (5, None), (6, "")])
+    ids = lambda **k: sorted(r.doc_id for r in simhash.keep_one_per_group(docs, 5, **k).collect())
+    assert ids(radius=20) == [1, 5]
+    assert ids(radius=20, similarity=0.8) == [1, 3, 5]
