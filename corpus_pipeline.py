@@ -1,7 +1,7 @@
 """Training-corpus pipeline over `documents`: five operators of weftline.llm in a row.
 
 quality rules   documents that a certified cutoff or the base rules reject go
-near copies     of each group of linked fingerprints (five-word shingles, 7 bits) one document stays,
+near copies     of each group of documents linked by minima of five-word shingles one stays,
                 and what is less than 0.8 similar to it
 benchmark       documents with a passage of a benchmark item go
 personal data   spans become their kind in brackets; n_chars follows the text
@@ -17,12 +17,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, mixing, pii, quality, simhash
+from weftline.llm import decontaminate, mixing, pii, quality, similar
 from weftline.runtime import materialize, table
 
 NEAR_COPY_SHINGLE = 5
-#: bits that find near copies, and the similarity to the document that stays from which they go
-NEAR_COPY_RADIUS, NEAR_COPY_SIMILARITY = 7, 0.8
+#: the similarity to a document that stays from which near copies go
+NEAR_COPY_SIMILARITY = 0.8
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one_per_group(docs, NEAR_COPY_SHINGLE, NEAR_COPY_RADIUS, NEAR_COPY_SIMILARITY)
+    return similar.keep_unlike(docs, NEAR_COPY_SHINGLE, NEAR_COPY_SIMILARITY)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

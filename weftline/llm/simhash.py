@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from weftline.llm import similar
 from weftline.llm.arrowtext import texts
 from weftline.operators.components import connected_components
 from weftline.runtime import materialize, small_batches
@@ -237,47 +238,19 @@ def _component_table(prints: DataFrame, radius: int) -> DataFrame:
     return joined.join(best, "c").select("fp", "least_id", "component_id", "rep_fp")
 
 
-def shingle_similarity(a: Column, b: Column, shingle: int) -> Column:
-    """Jaccard similarity of the texts' sets of shingles."""
-
-    def grams(text: bytes) -> set[bytes]:
-        w = text.lower().split()
-        return {b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))}
-
-    @arrow_udf("double")
-    def of(x: pa.Array, y: pa.Array) -> pa.Array:
-        pairs = ((grams(p), grams(q)) for p, q in zip(texts(x), texts(y)))
-        return pa.array([len(p & q) / len(p | q) for p, q in pairs], pa.float64())
-
-    return of(a, b)
-
-
-def _unlike(docs: DataFrame, table: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(fp, least_id) of fingerprints whose text is not that similar to their representative's."""
-    near = table.filter("fp <> rep_fp")
-    wanted = near.select("fp", "least_id").unionByName(near.select(F.col("rep_fp").alias("fp"), F.col("component_id").alias("least_id"))).distinct()
-    own = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("least_id")))
-    own = own.filter(fingerprint_column(F.col("text"), shingle) == F.col("fp")).groupBy("fp").agg(F.min("text").alias("text"))
-    own = materialize(own, "compared")
-    both = near.join(own, "fp").join(own.select(F.col("fp").alias("rep_fp"), F.col("text").alias("rep_text")), "rep_fp")
-    return both.filter(shingle_similarity(F.col("text"), F.col("rep_text"), shingle) < similarity).select("fp", "least_id")
-
-
 def keep_one_per_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """The rows of docs that stay, one of each component, with the columns of docs.
 
-    The row with the least doc_id stays; of several such rows, one. With a similarity, a
-    member whose shingles are not that similar to the row that stays is kept as well, one
-    row for each fingerprint: links along a chain remove only what is near the row kept.
+    The row with the least doc_id stays; of several such rows, one. With a similarity, rows
+    go by the similarity of their shingles (similar.keep_unlike) and no fingerprint or radius counts.
     """
+    if similarity is not None:
+        return similar.keep_unlike(docs, shingle, similarity)
     small_batches(docs.sparkSession)
     fp = "__wl_fp"
     marked = docs.withColumn(fp, fingerprint_column(F.col("text"), shingle))
     prints = materialize(docs.select("doc_id", fingerprint_column(F.col("text"), shingle).alias("fp")), "prints")
     table = materialize(_component_table(prints, radius), "groups")
-    chosen = table.filter("fp = rep_fp").select("fp", F.col("component_id").alias("least_id"))
-    if similarity is not None:
-        chosen = chosen.unionByName(materialize(_unlike(docs, table, shingle, similarity), "unlike"))
-    chosen = chosen.select(F.col("fp").alias(fp), F.col("least_id").alias("__wl_id"))
+    chosen = table.filter("fp = rep_fp").select(F.col("fp").alias(fp), F.col("component_id").alias("__wl_id"))
     kept = marked.join(chosen, fp).filter(F.col("doc_id").eqNullSafe(F.col("__wl_id")))
     return kept.dropDuplicates([fp]).select(*docs.columns)
