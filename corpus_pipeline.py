@@ -1,8 +1,7 @@
 """Training-corpus pipeline over `documents`: five operators of weftline.llm in a row.
 
 quality rules   documents that a certified cutoff or the base rules reject go
-near copies     of each group of documents linked by minima of five-word shingles one stays,
-                and what is less than 0.8 similar to it
+near copies     documents 0.8 or more similar (five-word shingles) to one of lesser id that stays go
 benchmark       documents with a passage of a benchmark item go
 personal data   spans become their kind in brackets; n_chars follows the text
 mixing          documents are repeated or left out to meet the sources' targets

@@ -51,3 +51,32 @@ def test_shingles_equal_plain_sets():
     keys = similar.band_keys(*flat(pa.array(rows)), 5)
     assert (keys[7] == keys[8]).all() and (keys[0] == keys[6]).all() and not (keys[1] == keys[2]).any()
     assert similar.likeness(np.unique(hashes[first[3] : first[4]]), np.unique(hashes[first[3] : first[4]])) == 1
+
+
+def test_members_unlike_the_first_are_compared_with_each_other(spark, table):
+    base = [f"w{i}" for i in range(400)]
+    chain = [base]
+    for k in range(12):  # each step away from the first, near the one before
+        chain.append([f"s{k}x{i}" if 30 * k <= i < 30 * k + 30 else w for i, w in enumerate(chain[-1])])
+    texts = [" ".join(w) for w in chain] + [" ".join(w[:200] + ["sibling"] + w[201:]) for w in chain]
+    order = rng.sample(range(len(texts)), len(texts))
+    docs = table("doc_id long, text string", [(i, texts[k]) for i, k in enumerate(order)] + [(None, texts[5] + " end"), (99, texts[0].upper())])
+    stay = []
+    for k in order:
+        if all(jaccard(texts[k], texts[j]) < 0.8 for j in stay):
+            stay.append(k)
+    assert len(stay) > 3
+    kept = sorted(str(r.doc_id) for r in corpus_pipeline.near_copies(spark, docs, "").collect())
+    assert kept == sorted(str(order.index(k)) for k in stay)
+
+
+def test_kept_sets_equal_brute_force():
+    import numpy as np
+
+    kept, plain = similar.Kept(0.8), []
+    for _ in range(1500):
+        start, size = rng.randrange(60), rng.randint(1, 40)
+        own = np.array([x for x in range(start, start + size) if rng.random() < 0.95] or [start], dtype=np.uint64)
+        stays = all(len(set(own) & set(p)) < 0.8 * len(set(own) | set(p)) for p in plain)
+        assert kept.add(own) == stays
+        plain += [own.tolist()] if stays else []

@@ -8,14 +8,22 @@ random orders; nodes that share a key are linked. A pair of similarity s has non
 common with probability (1 - s ** ROWS) ** BANDS: 2 in 10,000 at 0.8, less above.
 Each node of a key is linked to the key's least node, so links grow with the nodes.
 
-Comparison. Links are followed to components, and a component's members are compared
-with what stays of it by their whole sets, so a link alone removes nothing.
+Comparison. Links are followed to components. A component's first member (least doc_id)
+stays and what is similar to it goes, all components side by side. The rest is read in
+order of doc_id: a member stays unless it is similar to one of those that stay, and then
+others are compared with it. Comparisons are of whole sets, so a link alone removes
+nothing. Those that stay of one component are held in one task, as sets of hashes, with
+an index of the shingles of which two sets of that similarity must share one.
 
 Rows. Null text and text without a word are one node. A null doc_id stands behind all others.
 """
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -109,19 +117,21 @@ def groups(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
     return least, materialize(least.join(found, "node"), "members")
 
 
+def sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
+    """The sorted set of shingle hashes of each row."""
+    found = []
+    for _, _, at, raw in pieces(column):
+        hashes, first = shingles(at, raw, shingle)
+        found += [np.unique(hashes[x:y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
+    return found
+
+
 def jaccard(a: Column, b: Column, shingle: int) -> Column:
     """Similarity of the texts' sets of shingles."""
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        found = []
-        for _, _, at, raw in pieces(column):
-            hashes, first = shingles(at, raw, shingle)
-            found += [np.unique(hashes[x:y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
-        return found
-
     @arrow_udf("double")
     def of(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([likeness(p, q) for p, q in zip(sets(x), sets(y))], pa.float64())
+        return pa.array([likeness(p, q) for p, q in zip(sets(x, shingle), sets(y, shingle))], pa.float64())
 
     return of(a, b)
 
@@ -143,12 +153,53 @@ def _unlike(docs: DataFrame, members: DataFrame, shingle: int, similarity: float
     return both.filter(jaccard(text, F.col("first_text"), shingle) < similarity).select(*own.columns)
 
 
+class Kept:
+    """Sets that stay, no two of them similar, and whether another is similar to one of them."""
+
+    def __init__(self, similarity: float) -> None:
+        self.similarity, self.sets, self.places = similarity, [], defaultdict(list)
+
+    def add(self, own: np.ndarray) -> bool:
+        """Whether the sorted set stays. Of its n hashes all but n * similarity of the least are
+        looked up: a similar set shares n * similarity or more of them, so one of these at least."""
+        few = own[: len(own) - math.ceil(self.similarity * len(own) - 1e-9) + 1].tolist()
+        for i in {i for h in few for i in self.places[h]} if self.sets else ():
+            if likeness(own, self.sets[i]) >= self.similarity:
+                return False
+        for h in few:
+            self.places[h].append(len(self.sets))
+        self.sets.append(own)
+        return True
+
+
+def _rest_that_stays(rest: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node) of rows of rest(node, none, least_id, component, text) that stay in order within their component."""
+    out = pa.schema([("node", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component, kept = None, Kept(similarity)
+        for batch in batches:
+            stay = []
+            nodes, owners = batch.column("node").to_pylist(), batch.column("component").to_pylist()
+            for n, c, own in zip(nodes, owners, sets(batch.column("text"), shingle)):
+                if c != component:
+                    component, kept = c, Kept(similarity)
+                if kept.add(own):
+                    stay.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(stay, pa.int64())], schema=out)
+
+    tasks = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rest.repartition(tasks, "component").sortWithinPartitions("component", "none", "least_id", "node")
+    return dealt.select("node", "component", "text").mapInArrow(run, "node long")
+
+
 def keep_unlike(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The rows of docs that stay, with the columns of docs: of rows with equal words the one of
-    least doc_id, unless it is that similar to the first of its component."""
+    least doc_id, unless it is that similar to one of lesser doc_id that stays."""
     least, members = groups(docs, shingle)
     first = members.groupBy("component").agg(F.min(F.struct("none", "least_id", "node")).alias("r")).select("r.node")
-    rest = materialize(_unlike(docs, members, shingle, similarity), "unlike").select("node")
+    rest = materialize(_unlike(docs, members, shingle, similarity), "unlike")
+    rest = materialize(_rest_that_stays(rest, shingle, similarity), "rest")
     gone = members.select("node").join(first.unionByName(rest), "node", "left_anti")
     chosen = least.join(gone, "node", "left_anti").select(F.col("node").alias("__wl_node"), F.col("least_id").alias("__wl_id"))
     kept = docs.withColumn("__wl_node", node_column(F.col("text"))).join(chosen, "__wl_node").filter(F.col("doc_id").eqNullSafe(F.col("__wl_id")))
