@@ -153,3 +153,35 @@ def test_contaminations_of_a_table(spark, table):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
     assert dc.contaminations(docs, items.limit(0)).count() == 0 and dc.without_items(docs, items.limit(0)).count() == 6
     assert sum(1 for _ in dc.item_blocks(items, block_bytes=150)) > 1
+
+
+def touched(words, share):
+    return [w[:1] + "q" + w[2:] if rng.random() < share else w for w in words]
+
+
+@pytest.mark.parametrize("share", [0.2, 0.3, 0.5, 1.0])
+def test_every_passage_within_the_similarity_is_found(share):
+    items = [prose(n) for n in (5, 6, 8, 15, 30, 59) for _ in range(8)]
+    index = dc.ItemIndex([(i, " ".join(w)) for i, w in enumerate(items)])
+    texts, true = [], {}
+    for k in range(240):
+        i, host = rng.randrange(len(items)), prose(rng.randint(0, 200))
+        at, own = rng.randint(0, len(host)), touched(items[i], share)
+        texts.append(" ".join(host[:at] + own + host[at:]))
+        item = dc.normal(" ".join(items[i]))
+        edits = dc.best_distance(item, dc.normal(texts[-1]))[0]
+        if edits <= (1 - dc.SIMILARITY) * len(item):
+            true[k, i] = edits
+    assert len(true) > 100
+    got = {(first + r, i): e for first, _, at, raw in pieces(pa.array(texts)) for r, i, e, _ in index.hits(at, raw)}
+    assert {x: got.get(x) for x in true} == true
+
+
+def test_hits_equal_edit_distance_of_every_item_and_text():
+    letters = lambda n: " ".join(rng.choice(["ab", "é", "ba", "abé", "b"]) for _ in range(n))
+    items = [letters(rng.randint(5, 12)) for _ in range(40)]
+    index = dc.ItemIndex(list(enumerate(items)))
+    texts = [letters(rng.randint(0, 60)) + rng.choice(["", ".", " !"]) for _ in range(60)] + ["", items[0]]
+    expected = {(r, i): e for r, t in enumerate(texts) for i, x in enumerate(items) for e in [dc.best_distance(x, dc.normal(t))[0]] if e <= (1 - dc.SIMILARITY) * len(x)}
+    got = {(first + r, i): e for first, _, at, raw in pieces(pa.array(texts)) for r, i, e, _ in index.hits(at, raw)}
+    assert len(got) > 1 and got == expected

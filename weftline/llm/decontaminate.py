@@ -1,20 +1,18 @@
-"""Benchmark decontamination: edit-similar passages through random-walk embeddings.
+"""Benchmark decontamination: edit-similar passages by pieces that edits must leave.
 
 An item is found in a document if some passage is within (1 - SIMILARITY) of the
 item's length in character edits, both reduced to lower-case words (letters and
 digits of ASCII, and all other characters) joined by single spaces.
 
-Embedding. A window of words is read by a random walk: at step j the word under the
-pointer is put out, and the pointer moves on or stays by bit j of the word's hash
-(Chakraborty, Goldenberg, Koucky: edit distance becomes Hamming distance). Words are
-the symbols, so an edit inside a word, or of a word, is one edit.
-
-Search. Items of W * 1.3 words or more, W = 5, 10, 20, ..., are read by windows of W
-words, from each of their word positions; documents from every STRIDE * W-th word,
-so every occurrence meets at least one document window at the same place of the item.
-Each of WALKS walks gives SAMPLINGS keys, of SAMPLED output symbols each. Two windows
-that share a key make a candidate; an unedited occurrence always does, and with a
-tenth of the words edited at least nine in ten occurrences do (tests measure it).
+Search. An item of L characters may have k = 0.2 L edits. Of it k + T pieces of four
+characters that do not overlap are looked up in the document (fewer characters where the
+item is too short for that). An edit spoils one piece at most, so T or more of them stand
+in any passage that counts, and no two of these differ in diagonal (place in the document
+less place in the item) by more than k. Hits are counted by diagonals in cells of k + 1;
+two neighbouring cells that hold T hits or more make a candidate. It is left if every
+chain of its hits needs more than k edits, where those between two hits are at least the
+pieces passed over and the change of diagonal. Nothing that counts is lost by any of
+this. The pieces chosen are those least frequent in the items.
 
 Verification. A candidate's passage is compared exactly: least edit distance of the
 item to any part of the passage (bit-parallel, over the whole item).
@@ -40,16 +38,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from weftline.llm.arrowtext import mixed, pieces, words
+from weftline.llm.arrowtext import pieces
 from weftline.runtime import small_batches
 
 SIMILARITY = 0.8
 LEAST_WORDS = 5
-STRIDE = 0.3
-WALKS, SAMPLINGS, SAMPLED = 2, 4, 6
+PIECE, SPARE = 4, 0.03
 BLOCK_BYTES = 4 << 20
-FILTER_BITS = 20
-SEED = 5
+KEY_BITS = 20
+CHUNK = 1 << 17
+LONG_CHAIN = 64
 
 IS_WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 _WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
@@ -89,105 +87,169 @@ def best_distance(item: str, passage: str) -> tuple[int, int]:
 _cached_distance = lru_cache(maxsize=20_000)(best_distance)
 
 
-def window_sizes(n: int) -> int:
-    """Words in the window by which an item of n words is read."""
-    w = LEAST_WORDS
-    while n >= 1.3 * 2 * w:
-        w *= 2
-    return w
-
-
-def stride(w: int) -> int:
-    return max(1, int(STRIDE * w))
-
-
-def _samplings(w: int) -> list[list[np.ndarray]]:
-    """Sorted steps sampled by each sampling of each walk, the same everywhere."""
-    rng = np.random.default_rng(SEED + w)
-    steps = np.arange(1 + w + w // 2)
-    return [[np.sort(rng.choice(steps, SAMPLED, replace=False)) for _ in range(SAMPLINGS)] for _ in range(WALKS)]
-
-
-def walk_keys(symbols: np.ndarray, first: np.ndarray, last: np.ndarray, w: int) -> Iterator[np.ndarray]:
-    """One array of keys per walk and sampling, for windows from `first`, of w words or up to `last`.
-
-    symbols ends with one entry that stands for what is beyond a window.
-    """
-    beyond = len(symbols) - 1
-    stop = np.minimum(first + w, last)
-    for number, samplings in enumerate(_samplings(w)):
-        coins = symbols if not number else mixed(symbols + np.uint64(number))
-        pointer = first.copy()
-        keys = [np.full(len(first), 1 + s + SAMPLINGS * number, dtype=np.uint64) for s in range(SAMPLINGS)]
-        for j in range(max(int(s[-1]) for s in samplings) + 1):
-            if j and j % 64 == 0:
-                coins = mixed(coins + np.uint64(j))
-            under = np.where(pointer < stop, pointer, beyond)
-            wanted = [k for k, s in enumerate(samplings) if j in s]
-            if wanted:
-                seen = symbols[under]
-                for k in wanted:
-                    keys[k] = keys[k] * np.uint64(0x9E3779B97F4A7C15) + seen
-            pointer += ((coins[under] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
-        yield from (mixed(k) for k in keys)
+def most_edits(n: int) -> int:
+    """Edits that a passage may have from an item of n characters."""
+    return int((1 - SIMILARITY) * n)
+
+
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def piece_keys(symbols: np.ndarray, size: int) -> np.ndarray:
+    """KEY_BITS bits of the hash of each run of size symbols."""
+    n = max(0, len(symbols) - size + 1)
+    keys = np.zeros(n, dtype=np.uint32)
+    for i in range(size):
+        keys *= np.uint32(0x9E3779B1)
+        keys += symbols[i : i + n]
+    keys ^= keys >> np.uint32(15)
+    keys *= np.uint32(0x85EBCA6B)
+    return keys >> np.uint32(32 - KEY_BITS)
+
+
+def cheapest_pieces(cost: np.ndarray, size: int, count: int) -> list[int]:
+    """Where count pieces of that size that do not overlap start, of least total cost."""
+    n = len(cost) + size
+    best = np.full((count + 1, n), np.iinfo(np.int64).max // 2)
+    best[0] = 0
+    for j in range(1, count + 1):
+        best[j, size:] = np.minimum.accumulate(best[j - 1, : n - size] + cost)
+    found, end = [], n - 1
+    for j in range(count, 0, -1):
+        end = int(np.searchsorted(-best[j, : end + 1], -best[j, end], "left")) - size
+        found.append(end)
+    return found[::-1]
+
+
+def normal_rows(at: np.ndarray, raw: np.ndarray) -> list[str]:
+    """normal() of each row of lower-case text."""
+    word = IS_WORD[raw]
+    first = np.zeros(len(raw) + 1, dtype=bool)
+    first[at] = True
+    keep = word.copy()
+    keep[1:] |= word[:-1] & ~first[1:-1]
+    sums = np.r_[0, np.cumsum(keep)][at].tolist()
+    text = np.where(word, raw, np.uint8(32))[keep].tobytes()
+    return [text[a:b].decode("utf-8", "replace").rstrip(" ") for a, b in zip(sums, sums[1:])]
+
+
+def chain_edits(order: np.ndarray, diagonal: np.ndarray, there: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Least edits of any chain of hits, by row: hits by order of their piece, of count pieces."""
+    far = np.int32(1 << 29)
+    spent = np.where(there, order, far)
+    for i in range(1, order.shape[1]):
+        over = order[:, i : i + 1] - order[:, :i] - 1
+        step = np.maximum(over, np.abs(diagonal[:, i : i + 1] - diagonal[:, :i]))
+        spent[:, i] = np.minimum(spent[:, i], np.where((over >= 0) & there[:, i : i + 1], spent[:, :i] + step, far).min(axis=1))
+    return np.where(there, spent + count[:, None] - 1 - order, far).min(axis=1)
 
 
 class ItemIndex:
-    """The window keys of a block of items, by window size, walk and sampling."""
+    """The pieces of a block of items, by their size."""
 
     def __init__(self, items: list[tuple[int | None, str]]) -> None:
         self.ids = [i for i, _ in items]
         self.texts = [normal(t) for _, t in items]
-        self.lengths = [len(t.split(" ")) if t else 0 for t in self.texts]
-        self.tables: dict[int, list[tuple[np.ndarray, ...]]] = {}
-        for w in sorted({window_sizes(n) for n in self.lengths if n >= LEAST_WORDS}):
-            mine = [i for i, n in enumerate(self.lengths) if n >= LEAST_WORDS and window_sizes(n) == w]
-            raw = " ".join(self.texts[i] for i in mine).encode()
-            symbols = words(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8), IS_WORD)[2]
-            symbols = np.append(symbols, np.uint64(0))
-            ends = np.cumsum([self.lengths[i] for i in mine])
-            first = np.concatenate([np.arange(e - self.lengths[i], e - w + 1) for e, i in zip(ends, mine)])
-            owner = np.repeat(mine, [self.lengths[i] - w + 1 for i in mine])
-            last = np.repeat(ends, [self.lengths[i] - w + 1 for i in mine])
-            offset = first - (last - np.array(self.lengths)[owner])
+        self.lengths = np.array([len(t) for t in self.texts], dtype=np.int64)
+        self.edits = np.array([most_edits(n) for n in self.lengths.tolist()], dtype=np.int64)
+        self.count = np.zeros(len(items), dtype=np.int64)
+        self.tables: dict[int, tuple[np.ndarray, ...]] = {}
+        sizes: dict[int, list[int]] = {}
+        for i, text in enumerate(self.texts):
+            if text.count(" ") + 1 >= LEAST_WORDS:
+                n, k = len(text), most_edits(len(text))
+                sizes.setdefault(next(q for q in range(PIECE, 0, -1) if n // q > k), []).append(i)
+        for size, mine in sizes.items():
+            keys = [piece_keys(codes(self.texts[i]), size) for i in mine]
+            often = np.bincount(np.concatenate(keys), minlength=1 << KEY_BITS)
             rows = []
-            for keys in walk_keys(symbols, first, last, w):
-                order = np.argsort(keys, kind="stable")
-                seen = np.zeros(1 << FILTER_BITS, dtype=bool)
-                seen[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-                rows.append((seen, keys[order], owner[order], offset[order]))
-            self.tables[w] = rows
+            for i, own in zip(mine, keys):
+                n, k = int(self.lengths[i]), int(self.edits[i])
+                self.count[i] = k + min(n // size - k, 1 + int(SPARE * n))
+                places = cheapest_pieces(often[own], size, int(self.count[i]))
+                rows += [(own[x], i, x, j) for j, x in enumerate(places)]
+            table = np.array(rows, dtype=np.int64)
+            self.tables[size] = tuple(table[np.argsort(table[:, 0], kind="stable")].T.astype(np.int32))
+
+    def _candidates(self, symbols: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
+        """(item, least and greatest diagonal of its hits) of candidates in one run of symbols."""
+        known, owner, place, order = self.tables[size]
+        first = np.r_[0, np.cumsum(np.bincount(known, minlength=1 << KEY_BITS))].astype(np.int32)
+        keys = piece_keys(symbols, size)
+        each = (first[1:] - first[:-1])[keys]
+        near = np.flatnonzero(each)
+        if not len(near):
+            return
+        each = each[near]
+        hit = np.repeat(first[keys[near]] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        item = owner[hit]
+        diagonal = np.repeat(near, each) - place[hit]
+        longest = int(self.lengths.max())
+        width = (self.edits + 1).astype(np.int32)
+        room = np.r_[0, np.cumsum((len(symbols) + longest) // width.astype(np.int64) + 2)]
+        cell = room[item] + (diagonal + np.int32(longest)) // width[item]
+        least = np.where(self.count > 0, self.count - self.edits, 1)
+        if room[-1] <= 4 * len(cell) + (1 << 20):
+            held = np.bincount(cell, minlength=room[-1] + 1)
+            cells = np.flatnonzero(held[:-1] + held[1:] >= np.repeat(least, np.diff(room)))
+            wanted = np.zeros(room[-1] + 1, dtype=bool)
+            wanted[cells] = wanted[cells + 1] = True
+            mark = np.flatnonzero(wanted[cell])
+        else:
+            some, held = np.unique(cell, return_counts=True)
+            cells = np.unique(np.r_[some - 1, some])
+            total = np.zeros(len(cells), dtype=np.int64)
+            total[np.searchsorted(cells, some)] += held
+            total[np.searchsorted(cells, some - 1)] += held
+            cells = cells[(cells >= 0) & (total >= least[np.maximum(0, np.searchsorted(room, cells, "right") - 1)])]
+            mark = np.flatnonzero(np.isin(cell, np.r_[cells, cells + 1]))
+        if not len(cells):
+            return
+        whose = np.searchsorted(room, cells, "right") - 1
+        cell, hit, diagonal = cell[mark], hit[mark], diagonal[mark]
+        by = np.argsort(cell, kind="stable")
+        cell, turn, diagonal = cell[by], order[hit[by]], diagonal[by]
+        low, high = np.searchsorted(cell, cells, "left"), np.searchsorted(cell, cells + 1, "right")
+        group = np.ceil(np.log2(high - low)).astype(np.int64)
+        for g in np.unique(group).tolist():
+            chosen = np.flatnonzero(group == g)
+            for some in np.array_split(chosen, 1 + len(chosen) * (1 << g) // (1 << 16)):
+                if 1 << g <= LONG_CHAIN and len(some):
+                    at = low[some][:, None] + np.arange(1 << g)
+                    there = at < high[some][:, None]
+                    at = np.minimum(at, len(cell) - 1)
+                    turns = np.where(there, turn[at], np.int32(1 << 20))
+                    by = np.argsort(turns, axis=1, kind="stable")
+                    least = chain_edits(*(np.take_along_axis(x, by, 1) for x in (turns, diagonal[at], there)), self.count[whose[some]])
+                    some = some[least <= self.edits[whose[some]]]
+                for c in some.tolist():
+                    own = diagonal[low[c] : high[c]]
+                    yield int(whose[c]), int(own.min()), int(own.max())
 
     def hits(self, at: np.ndarray, raw: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(row, item, edits, word where the passage was looked for) for each item found in each row of a piece."""
-        starts, ends, hashes, bound = words(at, raw, IS_WORD)
-        symbols = np.append(hashes, np.uint64(0))
+        """(row, item, edits, word where the passage starts, near enough) for each item found in each row of a piece of lower-case text."""
+        rows = normal_rows(at, raw)
+        text = "".join(rows)
+        symbols, bound = codes(text), np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int64)
+        overlap = 2 * int(self.lengths.max(initial=0))
         found: set[tuple[int, int, int]] = set()
-        for w, tables in self.tables.items():
-            step = stride(w)
-            count = np.maximum(0, (np.diff(bound) - LEAST_WORDS) // step + 1)
-            if not count.sum():
-                continue
-            row = np.repeat(np.arange(len(count)), count)
-            first = bound[row] + step * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
-            for keys, (seen, known, owner, offset) in zip(walk_keys(symbols, first, bound[row + 1], w), tables):
-                near = np.flatnonzero(seen[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-                low, high = np.searchsorted(known, keys[near], "left"), np.searchsorted(known, keys[near], "right")
-                for i, a, b in zip(near[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist()):
-                    found.update((int(row[i]), int(owner[k]), int(first[i] - offset[k])) for k in range(a, b))
+        for size, table in self.tables.items():
+            run = max(2 * overlap, (CHUNK << 14) // max(1 << 14, len(table[0])))  # fewer symbols at a time for more pieces
+            for start in range(0, len(symbols), run):
+                for item, low, high in self._candidates(symbols[start : start + run + overlap], size):
+                    found.add((item, start + low, start + high))
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for r, item, start in sorted(found):
-            n, text = self.lengths[item], self.texts[item]
-            if best.get((r, item), (1, 0))[0] == 0:
-                continue
-            slack = n // 4 + 2
-            a, b = max(int(bound[r]), start - slack), min(int(bound[r + 1]), start + n + slack)
-            if a >= b:
-                continue
-            passage = normal(raw[starts[a] : ends[b - 1]].tobytes().decode("utf-8", "replace"))
-            edits, _ = _cached_distance(text, passage)
-            if edits <= (1 - SIMILARITY) * len(text) and edits < best.get((r, item), (len(text) + 1, 0))[0]:
-                best[r, item] = edits, max(0, start - int(bound[r]))
+        for item, low, high in sorted(found):
+            own, k = self.texts[item], int(self.edits[item])
+            a, b = max(0, low - k), min(len(symbols), high + 2 * k + len(own))
+            for r in range(int(np.searchsorted(bound, a, "right")) - 1, int(np.searchsorted(bound, b, "left"))):
+                x, y = max(a, int(bound[r])), min(b, int(bound[r + 1]))
+                if y - x < len(own) - k or best.get((r, item), (1, 0))[0] == 0:
+                    continue
+                edits, end = _cached_distance(own, text[x:y])
+                if edits <= k and edits < best.get((r, item), (k + 1, 0))[0]:
+                    best[r, item] = edits, text.count(" ", int(bound[r]), max(int(bound[r]), x + end - len(own)))
         return [(r, i, e, p) for (r, i), (e, p) in sorted(best.items())]
 
 
