@@ -6,12 +6,14 @@ pooling), and a softmax layer over these features gives the window's languages.
 text's probabilities are the mean over its windows.
 
 Training windows come from at most about PER_LANG texts of each language (a bounded
-sample, drawn by hash), TAKEN characters from a place of each that the hash gives too.
+sample, drawn by hash; equal texts of a language are drawn once), TAKEN characters from
+a place of each that the hash gives too.
 
 Null text and text without a letter give `und` with score 0. Null labels are not
 learned; a null id is never held out of training nor trained on. Repeated rows get
 equal results; with equal probabilities the first language in code point order is
-given. With no labelled text at all everything is `und`. Other columns are ignored.
+given. Texts of any length are read whole, in pieces. With no labelled text at all
+everything is `und`; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -147,7 +149,7 @@ def fit(labelled: DataFrame) -> ByteNetwork | None:
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, PER_LANG / n))]), F.col("lang"))
     drawn = rows.withColumn("h", h).filter(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
     place = F.pmod(F.shiftright("h", 20), F.greatest(F.length("text") - TAKEN, F.lit(1))).cast("int") + 1
-    sample = sorted(drawn.select(F.lower(F.substring("text", place, F.lit(TAKEN))), "lang", "h").collect(), key=lambda r: (r[2], r[1], r[0]))
+    sample = sorted(drawn.select(F.lower(F.substring("text", place, F.lit(TAKEN))), "lang", "h").dropDuplicates(["h", "lang"]).collect(), key=lambda r: (r[2], r[1], r[0]))
     languages = sorted({r[1] for r in sample})
     if not languages:
         return None

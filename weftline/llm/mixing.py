@@ -15,7 +15,9 @@ largest first, from the first later documents of each size class. The order is f
 from sums over hash ranges, so no task holds more than one range of a pattern.
 
 Null text has size 0; documents of size 0 take part with nothing taken. Rows with a
-null source form a source of their own, the last. Equal rows share their hash and
+null source form a source of their own, the last. Texts are counted whole, however long.
+Other columns are carried along, whatever their names, but for names that start with
+`__wl_`, which are kept for this module. Equal rows share their hash and
 are told apart by nothing, so ties are settled together through their count: equal
 rows are taken all or none at the edge. Null ids are hashed as such. An empty table
 gives an empty result.
@@ -35,7 +37,7 @@ from weftline.runtime import materialize
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 SEED = 7
-RANGES = 4096
+RANGE_ROWS = 1 << 16  # rows of a range of hashes, near enough; there are 4096 ranges at least
 MOST_PATTERNS = 200_000
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -193,7 +195,8 @@ def _plan(marked: DataFrame, weights: Sequence[float], most: int) -> DataFrame:
 def _choose(marked: DataFrame, sizes: DataFrame, weights: Sequence[float], most: int) -> DataFrame:
     """Seeded order by hash: whole ranges by sums over ranges, then rows within the range where the words run out."""
     plan = _plan(sizes, weights, most)
-    key, zone = ["__wl_pattern"], F.shiftrightunsigned("__wl_hash", 52).alias("zone")
+    shift = 64 - max(12, (sizes.count() // RANGE_ROWS).bit_length())
+    key, zone = ["__wl_pattern"], F.shiftrightunsigned("__wl_hash", shift).alias("zone")
     narrow = sizes.filter("__wl_size > 0").groupBy("__wl_pattern", "__wl_hash").agg(F.sum("__wl_size").alias("n"))
     narrow = narrow.withColumn("zone", zone).join(F.broadcast(plan.filter("rest > 0")), key)  # one row per pattern, MOST_PATTERNS at most
     zones = narrow.groupBy(*key, "zone", "rest").agg(F.sum("n").alias("n"))
@@ -211,12 +214,13 @@ def _choose(marked: DataFrame, sizes: DataFrame, weights: Sequence[float], most:
     take = lambda acc, x: F.when(x["n"] <= acc["gap"], F.struct((acc["gap"] - x["n"]).alias("gap"), F.concat(acc["taken"], F.array(x["h"])).alias("taken"))).otherwise(acc)
     extra = fits.select(*key, F.aggregate(F.sort_array("fits", asc=False), start, take)["taken"].alias("extra"))
     final = plan.join(cut.select(*key, "zone", "last"), key, "left").join(extra, key, "left")
-    final = materialize(final, "choices")
-    own = F.shiftrightunsigned("__wl_hash", 52)
-    more = F.when(F.col("rest") > 0, (own < F.col("zone")) | ((own == F.col("zone")) & (F.col("__wl_hash") <= F.col("last"))) | F.coalesce(F.array_contains("extra", F.col("__wl_hash")), F.lit(False)))
+    plain = ["each", "rest", "zone", "last", "extra"]
+    final = materialize(final.select(*key, *(F.col(c).alias(f"__wl_{c}") for c in plain)), "choices")
+    own, zone, last = F.shiftrightunsigned("__wl_hash", shift), F.col("__wl_zone"), F.col("__wl_last")
+    more = F.when(F.col("__wl_rest") > 0, (own < zone) | ((own == zone) & (F.col("__wl_hash") <= last)) | F.coalesce(F.array_contains("__wl_extra", F.col("__wl_hash")), F.lit(False)))
     out = marked.join(F.broadcast(final), key, "left")  # one row per pattern
-    copies = F.when(F.col("__wl_size") > 0, F.col("each") + F.coalesce(more, F.lit(False)).cast("long")).otherwise(0)
-    return out.withColumn("__wl_copies", copies.cast("long")).drop("each", "rest", "zone", "last", "extra", "__wl_pattern", "__wl_hash")
+    copies = F.when(F.col("__wl_size") > 0, F.col("__wl_each") + F.coalesce(more, F.lit(False)).cast("long")).otherwise(0)
+    return out.withColumn("__wl_copies", copies.cast("long")).drop(*(f"__wl_{c}" for c in plain), "__wl_pattern", "__wl_hash")
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_REPEATS, seed: int = SEED) -> DataFrame:

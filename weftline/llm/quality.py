@@ -152,7 +152,7 @@ def with_limits(docs: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def _stratum(stratum: str) -> Column:
-    return F.coalesce(F.col(stratum), F.lit(""))
+    return F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit(""))
 
 
 def _few(labels: DataFrame) -> DataFrame:

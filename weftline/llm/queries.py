@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.runtime import table
+from weftline.runtime import materialize, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def _op1_sql() -> str:
     )
     fails = " or ".join(f"coalesce(m_{r} > (select c from cutoff x where x.stratum = m.stratum and x.rule = '{r}'), false)" for r in rules)
     return rf"""
-with t as (select row_number() over () as row, doc_id, coalesce(lang, '') as stratum, coalesce(text, '') as text from documents),
+with t as (select row_number() over () as row, doc_id, coalesce('=' || lang, '') as stratum, coalesce(text, '') as text from documents),
 w as (select row, list_filter(regexp_split_to_array(text, '[ 	-
 ]+'), lambda x: x <> '') as w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
 ]')) as l,
@@ -114,7 +114,7 @@ def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm import mixing
 
-    mixed = mixing.mixed_documents(table(spark, sf_dir, "documents"))
+    mixed = materialize(mixing.mixed_documents(table(spark, sf_dir, "documents")), "mixed")
     sources = mixing.source_table(mixed).withColumnRenamed("source", "s")
     out = mixed.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("s")))  # one row per source, held under MOST_PATTERNS
     return out.select("doc_id", F.col("__wl_size").alias("size"), "source_size", "target", (F.col("__wl_size") * F.col("__wl_copies")).alias("taken"))
