@@ -43,7 +43,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(docs, mixing.word_count(F.col("text")), F.array("source"))
-    return mixed.filter("__wl_copies > 0").select(*docs.columns, F.col("__wl_copies").alias("copies"))
+    name, taken = "copies", {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"mix_{name}"
+    return mixed.filter("__wl_copies > 0").select(*docs.columns, F.col("__wl_copies").alias(name))
 
 
 STAGES = [("quality rules", quality_rules), ("near copies", near_copies), ("benchmark", benchmark), ("personal data", personal_data), ("mixing", mix)]
