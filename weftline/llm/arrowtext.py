@@ -7,8 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark.sql import Column
+from pyspark.sql.functions import arrow_udf
 
 PIECE_BYTES = 1 << 20
+PACKED_BYTES = 1 << 17  # longer texts are left as they are, so that a batch of packed rows has a bounded size unpacked
 
 pa.set_memory_pool(pa.system_memory_pool())
 
@@ -61,6 +65,43 @@ def texts(column: pa.Array) -> Iterator[bytes]:
     release()
 
 
+def packed(text: Column) -> Column:
+    """Text as bytes for the way through a shuffle, compressed unless it is long; see unpacked."""
+
+    @arrow_udf("binary")
+    def of(column: pa.Array) -> pa.Array:
+        press = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
+        return pa.array([b"\1" + press(x) if len(x) <= PACKED_BYTES else b"\0" + x for x in texts(column)], pa.binary())
+
+    return of(text)
+
+
+def unpacked(column: pa.Array) -> Iterator[bytes]:
+    """The texts of packed rows, in UTF-8."""
+    unpress = zstandard.ZstdDecompressor().decompress
+    for x in column:
+        body = x.as_py()
+        yield unpress(body[1:]) if body[:1] == b"\1" else body[1:]
+
+
+def unpacked_pieces(column: pa.Array, most: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """pieces() of packed rows."""
+    first, held, size = 0, [], 0
+    for body in unpacked(column):
+        if held and size + len(body) > most:
+            yield _joined(first, held)
+            first, held, size = first + len(held), [], 0
+        held.append(body)
+        size += len(body)
+    if held:
+        yield _joined(first, held)
+    release()
+
+
+def _joined(first: int, held: list[bytes]) -> tuple[int, int, np.ndarray, np.ndarray]:
+    return first, first + len(held), np.r_[0, np.cumsum([len(x) for x in held])], np.frombuffer(b"".join(held), np.uint8)
+
+
 _POWER = 0x5851F42D4C957F2D
 _INVERSE = pow(_POWER, -1, 1 << 64)
 

@@ -31,12 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
-from weftline.llm.arrowtext import pieces, texts
+from weftline.llm.arrowtext import packed, pieces, unpacked
 from weftline.llm.suffixes import suffix_array
 from weftline.runtime import materialize, small_batches
 
@@ -110,27 +108,15 @@ def _block_rows(length: int):
     return run, "k1 long, k2 long, ref long, a long, b long"
 
 
-def packed(text: Column) -> Column:
-    """Text as compressed bytes, for the way through a shuffle."""
-
-    @arrow_udf("binary")
-    def of(column: pa.Array) -> pa.Array:
-        press = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
-        return pa.array([press(x) for x in texts(column)], pa.binary())
-
-    return of(text)
-
-
 def _cut_blocks(length: int):
     """(text, refs) to (a, b, anchor's place in the block, bytes of the block)."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("place", pa.int64()), ("part", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpress, low = zstandard.ZstdDecompressor().decompress, (1 << PLACE_SIZE) - 1
+        low = (1 << PLACE_SIZE) - 1
         for batch in batches:
             a, b, place, part = [], [], [], []
-            for text, refs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = unpress(text)
+            for raw, refs in zip(unpacked(batch.column(0)), batch.column(1).to_pylist()):
                 for r in refs:
                     s, n = r["ref"] >> 2 * PLACE_SIZE, r["ref"] & low
                     a.append(r["a"])
@@ -260,11 +246,9 @@ def merged(ranges: list[dict]) -> list[tuple[int, int]]:
 def _removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", span), ("kept", pa.binary())])
-    unpress = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         sizes, spans, kept = [], [], []
-        for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            raw = unpress(text)
+        for raw, ranges in zip(unpacked(batch.column(1)), batch.column(2).to_pylist()):
             gone = merged(ranges or [])
             edges = [0, *(z for x in gone for z in x), len(raw)]
             sizes.append(len(raw))

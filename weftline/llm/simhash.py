@@ -241,11 +241,13 @@ def _component_table(prints: DataFrame, radius: int) -> DataFrame:
 def keep_one_per_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """The rows of docs that stay, one of each component, with the columns of docs.
 
-    The row with the least doc_id stays; of several such rows, one. With a similarity, rows
-    go by the similarity of their shingles (similar.keep_unlike) and no fingerprint or radius counts.
+    The row with the least doc_id stays; of several such rows, one. With a similarity, a linked
+    row goes only if its shingles are that similar to those of a row that stays, and links are
+    completed to all rows of that similarity (similar.keep_unlike).
     """
     if similarity is not None:
-        return similar.keep_unlike(docs, shingle, similarity)
+        prints = fingerprint_column(F.col("text"), shingle)
+        return similar.keep_unlike(docs, shingle, similarity, prints, lambda fps: fingerprint_components(fps, radius))
     small_batches(docs.sparkSession)
     fp = "__wl_fp"
     marked = docs.withColumn(fp, fingerprint_column(F.col("text"), shingle))

@@ -1,9 +1,11 @@
-"""Near copies by the Jaccard similarity of shingle sets, whatever their fingerprints.
+"""Near copies by the Jaccard similarity of shingle sets, beyond the reach of fingerprints.
 
 Words are those of simhash: runs of bytes between ASCII white space, lower-cased in A-Z.
 Texts with the same words in a row are one node, told apart by a 64-bit hash.
 
-Candidates. A node has BANDS keys, each of ROWS minima of its shingle hashes under
+Candidates. Nodes whose fingerprints link in the index of simhash are linked. Copies of
+0.8 similarity are ten bits of 64 and more apart, which no index of them reaches with
+recall; so a node has BANDS keys as well, each of ROWS minima of its shingle hashes under
 random orders; nodes that share a key are linked. A pair of similarity s has none in
 common with probability (1 - s ** ROWS) ** BANDS: 2 in 10,000 at 0.8, less above.
 Each node of a key is linked to the key's least node, so links grow with the nodes.
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from weftline.llm.arrowtext import mixed, pieces, texts, words
+from weftline.llm.arrowtext import mixed, packed, pieces, texts, unpacked, unpacked_pieces, words
 from weftline.operators.components import connected_components
 from weftline.runtime import materialize, small_batches
 
@@ -102,32 +104,36 @@ def keys_column(text: Column, shingle: int) -> Column:
     return of(text)
 
 
-def groups(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """(node, none, least_id) of every node of docs(doc_id, text), and (node, none, least_id, component) of those that link to another."""
+def groups(docs: DataFrame, shingle: int, fp: Column, linked: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(node, none, least_id) of every node of docs(doc_id, text), and (node, none, least_id, component) of those that link to another.
+
+    fp is the text's fingerprint; linked gives (node, component) of the fingerprints of a table's column fp that link."""
     small_batches(docs.sparkSession)
     text = F.col("text")
-    sketch = materialize(docs.select("doc_id", node_column(text).alias("node"), keys_column(text, shingle).alias("keys")), "sketch")
-    least = sketch.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("r"), F.min("keys").alias("keys"))
-    least = materialize(least.select("node", "r.none", F.col("r.doc_id").alias("least_id"), "keys"), "nodes")
-    keyed = least.select("node", F.explode("keys").alias("k"))
+    sketch = materialize(docs.select("doc_id", node_column(text).alias("node"), fp.alias("fp"), keys_column(text, shingle).alias("keys")), "sketch")
+    least = sketch.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("r"), F.min("fp").alias("fp"), F.min("keys").alias("keys"))
+    least = materialize(least.select("node", "r.none", F.col("r.doc_id").alias("least_id"), "fp", "keys"), "nodes")
+    near = linked(least.select("fp")).select(F.col("node").alias("fp"), "component")
+    near = least.select("node", "fp").join(near, "fp", "left").select("node", F.xxhash64(F.coalesce("component", "fp")).alias("k"))
+    keyed = least.select("node", F.explode("keys").alias("k")).unionByName(near)
     shared = keyed.groupBy("k").agg(F.min("node").alias("v"), F.max("node").alias("last")).filter("v < last").select("k", "v")
     links = keyed.join(shared, "k").filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
     found = connected_components(materialize(links, "links"))
-    least = least.drop("keys")
+    least = least.drop("keys", "fp")
     return least, materialize(least.join(found, "node"), "members")
 
 
 def sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
-    """The sorted set of shingle hashes of each row."""
+    """The sorted set of shingle hashes of each packed row."""
     found = []
-    for _, _, at, raw in pieces(column):
+    for _, _, at, raw in unpacked_pieces(column):
         hashes, first = shingles(at, raw, shingle)
         found += [np.unique(hashes[x:y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
     return found
 
 
 def jaccard(a: Column, b: Column, shingle: int) -> Column:
-    """Similarity of the texts' sets of shingles."""
+    """Similarity of the packed texts' sets of shingles."""
 
     @arrow_udf("double")
     def of(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -143,14 +149,14 @@ def likeness(p: np.ndarray, q: np.ndarray) -> float:
 
 
 def _unlike(docs: DataFrame, members: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(node, none, least_id, component, text) of members not that similar to the first of their component."""
+    """(node, none, least_id, component, body) of members not that similar to the first of their component."""
     text = F.col("text")
-    own = docs.select("doc_id", "text", node_column(text).alias("n")).join(members, (F.col("n") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("least_id")))
-    own = materialize(own.groupBy("node", "none", "least_id", "component").agg(F.min("text").alias("text")), "compared")
+    own = docs.select("doc_id", packed(text).alias("body"), node_column(text).alias("n")).join(members, (F.col("n") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("least_id")))
+    own = materialize(own.groupBy("node", "none", "least_id", "component").agg(F.min("body").alias("body")), "compared")
     first = members.groupBy("component").agg(F.min(F.struct("none", "least_id", "node")).alias("r")).select(F.col("r.node").alias("first"))
-    first = own.join(first, F.col("node") == F.col("first")).select("first", "component", F.col("text").alias("first_text"))
+    first = own.join(first, F.col("node") == F.col("first")).select("first", "component", F.col("body").alias("first_body"))
     both = own.join(first, "component").filter("node <> first")
-    return both.filter(jaccard(text, F.col("first_text"), shingle) < similarity).select(*own.columns)
+    return both.filter(jaccard(F.col("body"), F.col("first_body"), shingle) < similarity).select(*own.columns)
 
 
 class Kept:
@@ -173,7 +179,7 @@ class Kept:
 
 
 def _rest_that_stays(rest: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(node) of rows of rest(node, none, least_id, component, text) that stay in order within their component."""
+    """(node) of rows of rest(node, none, least_id, component, body) that stay in order within their component."""
     out = pa.schema([("node", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +187,7 @@ def _rest_that_stays(rest: DataFrame, shingle: int, similarity: float) -> DataFr
         for batch in batches:
             stay = []
             nodes, owners = batch.column("node").to_pylist(), batch.column("component").to_pylist()
-            for n, c, own in zip(nodes, owners, sets(batch.column("text"), shingle)):
+            for n, c, own in zip(nodes, owners, sets(batch.column("body"), shingle)):
                 if c != component:
                     component, kept = c, Kept(similarity)
                 if kept.add(own):
@@ -190,17 +196,26 @@ def _rest_that_stays(rest: DataFrame, shingle: int, similarity: float) -> DataFr
 
     tasks = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rest.repartition(tasks, "component").sortWithinPartitions("component", "none", "least_id", "node")
-    return dealt.select("node", "component", "text").mapInArrow(run, "node long")
+    return dealt.select("node", "component", "body").mapInArrow(run, "node long")
 
 
-def keep_unlike(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def keep_unlike(docs: DataFrame, shingle: int, similarity: float, fp: Column, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows of docs that stay, with the columns of docs: of rows with equal words the one of
-    least doc_id, unless it is that similar to one of lesser doc_id that stays."""
-    least, members = groups(docs, shingle)
+    least doc_id, unless it is that similar to one of lesser doc_id that stays. For fp and linked see groups."""
+    least, members = groups(docs, shingle, fp, linked)
     first = members.groupBy("component").agg(F.min(F.struct("none", "least_id", "node")).alias("r")).select("r.node")
     rest = materialize(_unlike(docs, members, shingle, similarity), "unlike")
     rest = materialize(_rest_that_stays(rest, shingle, similarity), "rest")
     gone = members.select("node").join(first.unionByName(rest), "node", "left_anti")
     chosen = least.join(gone, "node", "left_anti").select(F.col("node").alias("__wl_node"), F.col("least_id").alias("__wl_id"))
-    kept = docs.withColumn("__wl_node", node_column(F.col("text"))).join(chosen, "__wl_node").filter(F.col("doc_id").eqNullSafe(F.col("__wl_id")))
-    return kept.dropDuplicates(["__wl_node"]).select(*docs.columns)
+    marked = docs.withColumns({"__wl_node": node_column(F.col("text")), "__wl_null": F.col("text").isNull(), "text": packed(F.col("text"))})
+    kept = marked.join(chosen, "__wl_node").filter(F.col("doc_id").eqNullSafe(F.col("__wl_id"))).dropDuplicates(["__wl_node"])
+    return kept.withColumn("text", F.when(~F.col("__wl_null"), _text(F.col("text")))).select(*docs.columns)
+
+
+def _text(body: Column) -> Column:
+    @arrow_udf("string")
+    def of(column: pa.Array) -> pa.Array:
+        return pa.array([x.decode() for x in unpacked(column)], pa.string())
+
+    return of(body)
