@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, mixing, pii, quality, similar
+from weftline.llm import decontaminate, mixing, pii, quality, simhash
 from weftline.runtime import materialize, table
 
 NEAR_COPY_SHINGLE = 5
@@ -29,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return similar.keep_unlike(docs, NEAR_COPY_SHINGLE, NEAR_COPY_SIMILARITY)
+    return simhash.keep_one_per_group(docs, NEAR_COPY_SHINGLE, similarity=NEAR_COPY_SIMILARITY)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
