@@ -2,12 +2,9 @@ import random
 import re
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
-from weftline.llm import decontaminate as dc
 from weftline.llm import licenses, pii
-from weftline.llm.arrowtext import pieces
 from weftline.llm.tagger import Tagger
 
 rng = random.Random(11)
@@ -95,93 +92,3 @@ def test_license_labels(spark, table):
     assert len(found[6]) == 2 and found[6][0] == found[6][1] and found[6][0][1] == [[], [], [3, 5], [1]]
     assert found[None][0][1][0] == [0]
     assert licenses.scan(docs.limit(0)).count() == 0
-
-
-def plain_best(item, passage):
-    row = [0] * (len(passage) + 1)
-    for i, a in enumerate(item, 1):
-        prev, row[0] = row[0], i
-        for j, b in enumerate(passage, 1):
-            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (a != b))
-    return min(row)
-
-
-def test_edit_distance_equals_the_table():
-    for _ in range(500):
-        a = "".join(rng.choice("abc") for _ in range(rng.randint(1, 12)))
-        b = "".join(rng.choice("abc") for _ in range(rng.randint(0, 20)))
-        assert dc.best_distance(a, b)[0] == plain_best(a, b)
-
-
-def prose(n):
-    return [rng.choice(["tion", "ing", "sh", "er", "an", "wor", "lo", "mi"]) + rng.choice(["a", "e", "th", "ol", "ard", "ex"]) + rng.choice(["", "s", "ly", "on"]) for _ in range(n)]
-
-
-def edited(words, rate):
-    out = []
-    for w in words:
-        roll = rng.random()
-        if roll < rate / 3:
-            continue
-        out += [w, "xq"] if roll < 2 * rate / 3 else [w[:1] + "q" + w[1:]] if roll < rate else [w]
-    return out
-
-
-@pytest.mark.parametrize("rate, least", [(0.0, 1.0), (0.1, 0.9)])
-def test_recall_and_clean_texts(rate, least):
-    items = [prose(rng.randint(15, 60)) for _ in range(60)]
-    index = dc.ItemIndex([(i, " ".join(w).upper() + "!!") for i, w in enumerate(items)])
-    texts, true = [], []
-    for k in range(240):
-        i, host = rng.randrange(60), prose(rng.randint(0, 300))
-        at, own = rng.randint(0, len(host)), edited(items[i], rate)
-        texts.append(" ".join(host[:at] + own + host[at:]))
-        if dc.best_distance(" ".join(items[i]), " ".join(own))[0] <= 0.2 * len(" ".join(items[i])):
-            true.append((k, i))
-    got = {(first + r, i) for first, _, at, raw in pieces(pa.array(texts + [" ".join(prose(300)) for _ in range(60)])) for r, i, *_ in index.hits(at, raw)}
-    assert sum(x in got for x in true) >= least * len(true)
-    assert got <= {(k, i) for k, i in got if k < 240}
-
-
-def test_contaminations_of_a_table(spark, table):
-    item = " ".join(prose(20))
-    items = table("item_id long, text string", [(1, item), (2, item), (3, "too short here"), (4, None), (None, " ".join(prose(16)))])
-    docs = table("doc_id long, text string, item_id string", [(1, "x y " + item + " z", "e"), (1, "x y " + item + " z", "e"), (2, None, "e"), (3, "", "e"), (None, item.upper(), "e"), (4, "too short here", "e")])
-    rows = [(r.doc_id, r.item_id, r.edits) for r in dc.contaminations(docs, items).collect()]
-    assert sorted(rows, key=str) == sorted([(1, 1, 0), (1, 2, 0)] * 2 + [(None, 1, 0), (None, 2, 0)], key=str)
-    kept = dc.without_items(docs, items)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
-    assert dc.contaminations(docs, items.limit(0)).count() == 0 and dc.without_items(docs, items.limit(0)).count() == 6
-    assert sum(1 for _ in dc.item_blocks(items, block_bytes=150)) > 1
-
-
-def touched(words, share):
-    return [w[:1] + "q" + w[2:] if rng.random() < share else w for w in words]
-
-
-@pytest.mark.parametrize("share", [0.2, 0.3, 0.5, 1.0])
-def test_every_passage_within_the_similarity_is_found(share):
-    items = [prose(n) for n in (5, 6, 8, 15, 30, 59) for _ in range(8)]
-    index = dc.ItemIndex([(i, " ".join(w)) for i, w in enumerate(items)])
-    texts, true = [], {}
-    for k in range(240):
-        i, host = rng.randrange(len(items)), prose(rng.randint(0, 200))
-        at, own = rng.randint(0, len(host)), touched(items[i], share)
-        texts.append(" ".join(host[:at] + own + host[at:]))
-        item = dc.normal(" ".join(items[i]))
-        edits = dc.best_distance(item, dc.normal(texts[-1]))[0]
-        if edits <= (1 - dc.SIMILARITY) * len(item):
-            true[k, i] = edits
-    assert len(true) > 100
-    got = {(first + r, i): e for first, _, at, raw in pieces(pa.array(texts)) for r, i, e, _ in index.hits(at, raw)}
-    assert {x: got.get(x) for x in true} == true
-
-
-def test_hits_equal_edit_distance_of_every_item_and_text():
-    letters = lambda n: " ".join(rng.choice(["ab", "é", "ba", "abé", "b"]) for _ in range(n))
-    items = [letters(rng.randint(5, 12)) for _ in range(40)]
-    index = dc.ItemIndex(list(enumerate(items)))
-    texts = [letters(rng.randint(0, 60)) + rng.choice(["", ".", " !"]) for _ in range(60)] + ["", items[0]]
-    expected = {(r, i): e for r, t in enumerate(texts) for i, x in enumerate(items) for e in [dc.best_distance(x, dc.normal(t))[0]] if e <= (1 - dc.SIMILARITY) * len(x)}
-    got = {(first + r, i): e for first, _, at, raw in pieces(pa.array(texts)) for r, i, e, _ in index.hits(at, raw)}
-    assert len(got) > 1 and got == expected
