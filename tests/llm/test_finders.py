@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -79,6 +80,35 @@ def test_spans_and_redaction(spark, table, tagger):
     assert pii.redacted(docs.limit(0), tagger).count() == 0
 
 
+def test_fitted_to_texts_and_added_spans(spark, table):
+    def host():
+        return " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "amet", "né"]) for _ in range(rng.randint(5, 60)))
+
+    forms = [lambda: f"a{rng.randint(10, 99)}@mail{rng.randint(1, 9)}.example.com", lambda: "+1 (%03d) 555-%04d" % (rng.randrange(1000), rng.randrange(10000)), lambda: ".".join(str(rng.randint(1, 255)) for _ in range(4))]
+    texts = [f"{host()} {rng.choice(forms)()} {host()}" for _ in range(200)]
+    token = "%040x" % rng.getrandbits(160)
+    hidden = [f'{host()} token = "{token}" {host()}', host() + " john.doe (at) mail7 (dot) example (dot) com " + host()]
+    docs = table("doc_id long, text string, source string", [(i, t, "s") for i, t in enumerate([*texts, *texts[:50], *hidden, "", None])])
+    model = pii.fit(docs)
+    rows = {r.doc_id: r for r in pii.personal_data(docs, model).collect()}
+    for i, t in enumerate(texts):
+        assert [(s.kind, s.start, s.end) for s in rows[i].base] == sorted(plain_spans(t), key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+    assert [(s.kind, hidden[0][s.start : s.end]) for s in rows[250].added] == [("secret", token)]
+    assert [(s.kind, hidden[1][s.start : s.end]) for s in rows[251].added] == [("email", "john.doe (at) mail7 (dot) example (dot) com")]
+    assert rows[252].base == rows[252].added == rows[253].base == rows[253].added == []
+    assert {r.doc_id: r.text for r in pii.redacted(docs, model).collect()}[250] == hidden[0].replace(token, "[SECRET]")
+    assert pii.fit(docs.limit(0)).p["out"].shape[1] == 1 + len(pii.TAGGED)
+
+
+def test_one_path_over_a_run_of_windows(tagger):
+    ids = np.array([[rng.randint(1, 30) for _ in range(7)]])
+    s = np.random.default_rng(1).normal(size=(1, 7, len(pii.TAGGED) + 1))
+    best = max(itertools.product(range(s.shape[2]), repeat=7), key=lambda t: tagger.p["first"][t[0]] + sum(s[0, i, x] for i, x in enumerate(t)) + sum(tagger.p["move"][x, y] for x, y in zip(t, t[1:])))
+    assert tuple(tagger.best_path(s, ids > 0)[0]) == best
+    long = "word " * 30 + 'token = "' + "a1b2" * 20 + '" ' + "word " * 30
+    assert [long[a:b] for k, a, b in pii.tagged_spans([long], tagger)[0]] == ["a1b2" * 20]
+
+
 def test_license_labels(spark, table):
     apache = licenses.TEMPLATES[0][1]
     filler = "lorem ipsum dolor sit amet " * 30

@@ -3,24 +3,32 @@
 Patterns find e-mail addresses, IPv4 addresses, card numbers and phone numbers (see
 `pattern_spans`); each kind is matched by itself, leftmost and without overlap.
 
-The tagger is trained on labelled spans, by default those of `labelled_lines`, which
-writes the four kinds in the usual ways into made-up prose, beside numbers of other
-kinds. It reads windows of WINDOW characters that overlap by LAP and decodes each by
-the CRF; a character takes its tag from the window in which it stands farthest from an
-edge, so the windows of a text agree on one sequence, and runs of a tag are spans. A
-span must hold what its kind cannot be without (see `plausible`) and must not overlap a
-pattern's span. As every kind needs a digit, `@`, `(` or `[`, only windows near
-such a character can bring a span, and only those are read.
+The tagger is trained on labelled spans: those of `labelled_lines`, which writes all
+kinds in the usual ways into made-up prose, beside numbers of other kinds, and those that
+the patterns find in a bounded sample of the texts themselves, as they stand and with the
+marks altered that patterns rely on (`altered`), so that it learns the kinds in the
+prose at hand. It adds what patterns miss: the four kinds in other spellings, and
+secrets (tokens, keys and passwords).
+
+It reads windows of WINDOW characters that overlap by LAP. Where windows overlap, their
+scores are averaged, each weighed by the distance from its edge, and one path
+through tags and moves is sought over the whole run of windows, so seams are decided like
+any other place. Runs of a tag are spans. A span must hold what its kind cannot be without
+(see `plausible`) and must not overlap a pattern's span. As every kind needs a digit, `@`,
+`(` or `[`, only windows near such a character can bring a span, and only those are read.
 
 Null text is empty and has no span; text of any length is read whole. Positions count
-code points, ends are exclusive. Repeated rows get equal results. Other columns are
-ignored, or carried along by `redacted`.
+code points, ends are exclusive. Repeated rows get equal results, and are drawn once for
+training. An empty table gives an empty result. Other columns are ignored, or carried along
+by `redacted`.
 """
 
 from __future__ import annotations
 
+import json
 import random
 import re
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -34,8 +42,10 @@ from weftline.llm.tagger import Tagger, encode
 from weftline.runtime import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
+TAGGED = (*KINDS, "secret")
 WINDOW, LAP, REACH = 96, 32, 40
-TRAIN_LINES, STEPS, SEED = 1500, 220, 9
+TRAIN_LINES, STEPS, SEED = 1500, 260, 9
+FIT_TEXTS, FIT_SPANS = 20_000, 2  # texts that the sample draws, and spans that it takes of each
 DECODED = 256
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -43,6 +53,8 @@ _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_TOKEN, _TOKEN_LEFT, LONGEST_TOKEN = re.compile(r"[A-Za-z0-9_+/=-]*"), re.compile(r"[A-Za-z0-9_+/-]*\Z"), 512
+_AROUND = " \t\n.,;:!?"
 _TRIGGER = np.array([chr(b) in "0123456789@([" for b in range(256)])
 
 
@@ -90,7 +102,9 @@ def plausible(kind: str, text: str) -> bool:
         return bool(re.fullmatch(r"[\w.%+-]+\s?(?:@|\(at\)|\[at\])\s?[\w-]+(?:\s?(?:\.|\(dot\)|\[dot\])\s?[\w-]+)+", text, re.I))
     if kind == "ip":
         groups = re.findall(r"[0-9]+", text)
-        return len(groups) == 4 and all(len(g) < 4 and int(g) <= 255 for g in groups) and len(d) >= 6
+        return len(groups) == 4 and all(len(g) < 4 and int(g) <= 255 for g in groups) and len(d) >= 6 and len(text) <= 27
+    if kind == "secret":
+        return bool(re.fullmatch(r"[A-Za-z0-9_./+=-]{8,}", text)) and bool(d) and bool(re.search("[A-Za-z]", text))
     if kind == "card":
         return 13 <= len(d) <= 19 and luhn(d)
     return 10 <= len(d) <= 15 and bool(re.fullmatch(r"\(?[0-9]{1,4}\)?(?:[ .-]?\(?[0-9]{2,5}\)?){2,4}", text)) and bool(re.search(r"[ ().-]", text))
@@ -118,10 +132,18 @@ def labelled_lines(n: int = TRAIN_LINES, seed: int = SEED) -> list[tuple[str, li
         a, b, c = digits(3), digits(3), digits(4)
         return pick([f"+{num(1, 99)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{num(1, 99)} {a} {b} {c}", f"0{digits(2)} {digits(4)} {c}", f"1-{a}-{b}-{c}"])
 
-    make = {"email": email, "ip": lambda: ".".join(str(num(1, 255)) for _ in range(4)), "card": card, "phone": phone}
+    def secret() -> tuple[str, str, str]:
+        name = pick(["token", "api_key", "apikey", "secret", "password", "passwd", "access_token", "client_secret", "auth", "TOKEN", "API_KEY"])
+        mark = pick([" = ", "=", ": ", " is ", " := "])
+        quote = pick(['"', '"', "'", ""])
+        marks = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+        body = pick([lambda: f"{rng.getrandbits(160):040x}", lambda: f"{rng.getrandbits(128):032x}", lambda: "".join(pick(marks) for _ in range(num(12, 40))) + digits(1), lambda: pick(["sk_", "ghp_", "AKIA"]) + "".join(pick(marks) for _ in range(num(16, 30))) + digits(1)])()
+        return name + mark + quote, body, quote
+
+    make = {"email": email, "ip": lambda: pick([".", ".", "[.]", " . "]).join(str(num(1, 255)) for _ in range(4)), "card": card, "phone": phone}
     other = [
         lambda: str(num(0, 99999)), lambda: f"{num(1, 28)}.{num(1, 12)}.{num(1990, 2030)}", lambda: f"{num(2000, 2030)}-{num(10, 12)}-{num(10, 28)}", lambda: f"{num(0, 23)}:{num(10, 59)}",
-        lambda: f"v{num(0, 9)}.{num(0, 20)}", lambda: f"{digits(2)},{digits(3)}.{digits(2)}", lambda: "%x" % rng.getrandbits(160), lambda: f"({word()})", lambda: f"[{num(1, 99)}]", lambda: f"{num(1, 9)}%", lambda: f"@{word()}", lambda: f'key = "{digits(8)}{word()}{digits(6)}"',
+        lambda: f"v{num(0, 9)}.{num(0, 20)}", lambda: f"{digits(2)},{digits(3)}.{digits(2)}", lambda: "%x" % rng.getrandbits(160), lambda: f"({word()})", lambda: f"[{num(1, 99)}]", lambda: f"{num(1, 9)}%", lambda: f"@{word()}", lambda: f"{rng.getrandbits(160):040x}", lambda: f"{word()} = {digits(5)}", lambda: digits(16), lambda: f'"{word()}{digits(2)}"',
     ]
     lines = []
     for _ in range(n):
@@ -132,10 +154,11 @@ def labelled_lines(n: int = TRAIN_LINES, seed: int = SEED) -> list[tuple[str, li
                 text += " "
             roll = rng.random()
             if roll < 0.16:
-                kind = pick(KINDS)
-                body = make[kind]()
+                kind = pick(TAGGED)
+                before, body, after = secret() if kind == "secret" else ("", make[kind](), "")
+                text += before
                 spans.append((kind, len(text), len(text) + len(body)))
-                text += body
+                text += body + after + pick(["", "", "", ",", ".", "###", "!!"])
             elif roll < 0.3:
                 text += pick(other)()
             else:
@@ -144,6 +167,71 @@ def labelled_lines(n: int = TRAIN_LINES, seed: int = SEED) -> list[tuple[str, li
     return lines
 
 
+def altered(kind: str, body: str, rng: random.Random) -> str:
+    """A pattern's span in a spelling that the pattern does not know."""
+    if kind == "email":
+        at, dot = rng.choice([(" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), ("[at]", "[dot]"), (" @ ", ".")])
+        name, host = body.rsplit("@", 1)
+        return name + at + host.replace(".", dot)
+    if kind == "ip":
+        return body.replace(".", rng.choice(["[.]", "(.)", " . "]))
+    if kind == "card":
+        d = _digits(body)
+        return rng.choice([".", " - ", "/"]).join(d[i : i + 4] for i in range(0, len(d), 4))
+    return rng.choice([lambda: body[1:], lambda: body[body.index(" ") + 1 :] if " " in body else body[1:], lambda: "-".join(re.findall("[0-9]+", body))])()
+
+
+def snippets(text: str, most: int = FIT_SPANS) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """Stretches of a window's length with the patterns' spans in them, around `most` spans that the text itself picks."""
+    spans = sorted(pattern_spans(text), key=lambda s: s[1:])
+    if not spans:
+        return []
+    rng = random.Random(len(text) * 31 + spans[0][1])
+    out = []
+    for kind, a, b in rng.sample(spans, min(most, len(spans))):
+        start = max(0, a - rng.randint(8, 40))
+        own = [(k, x - start, y - start) for k, x, y in spans if start <= x and y <= start + WINDOW]
+        if own and len({x for _, x, _ in own}) == len(own):
+            out.append((text[start : start + WINDOW], own))
+    return out
+
+
+def alter_lines(lines: list[tuple[str, list[tuple[str, int, int]]]], seed: int = SEED) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """The lines with each span in another spelling."""
+    rng, out = random.Random(seed), []
+    for text, spans in lines:
+        body, free, moved = "", 0, []
+        for kind, a, b in sorted(spans, key=lambda s: s[1:]):
+            if a < free:
+                continue
+            new = altered(kind, text[a:b], rng)
+            body += text[free:a]
+            moved.append((kind, len(body), len(body) + len(new)))
+            body, free = body + new, b
+        out.append((body + text[free:], moved))
+    return out
+
+
+def sampled_lines(docs: DataFrame, texts: int = FIT_TEXTS) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """snippets() of about `texts` texts of docs(text), drawn by hash, equal ones once."""
+    total = max(1, docs.count())
+
+    @arrow_udf("array<string>")
+    def of(column: pa.Array) -> pa.Array:
+        return pa.array([[json.dumps(x) for x in snippets(t or "")] for t in column.to_pylist()], pa.list_(pa.string()))
+
+    drawn = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < min(1.0, texts / total) * (1 << 20))
+    rows = drawn.select(F.explode(of(F.col("text"))).alias("x")).distinct().collect()  # FIT_SPANS of each text drawn at most
+    return [(t, [tuple(s) for s in spans]) for t, spans in map(json.loads, sorted(r[0] for r in rows))]
+
+
+def fit(docs: DataFrame) -> Tagger:
+    """A tagger for docs(text): from made-up lines and from what the patterns find in a sample of its texts."""
+    small_batches(docs.sparkSession)
+    own = sampled_lines(docs)
+    return train(labelled_lines() + own + alter_lines(own) + alter_lines(own, SEED + 1))
+
+
 def train(lines: list[tuple[str, list[tuple[str, int, int]]]], steps: int = STEPS) -> Tagger:
     """A tagger from labelled spans."""
     ids, gold = np.zeros((len(lines), WINDOW), np.int64), np.zeros((len(lines), WINDOW), np.int64)
@@ -151,8 +239,8 @@ def train(lines: list[tuple[str, list[tuple[str, int, int]]]], steps: int = STEP
         points = encode(np.frombuffer(text.encode("utf-32-le"), np.uint32))[:WINDOW]
         ids[row, : len(points)] = points
         for kind, a, b in spans:
-            gold[row, a : min(b, WINDOW)] = 1 + KINDS.index(kind)
-    tagger = Tagger(1 + len(KINDS))
+            gold[row, a : min(b, WINDOW)] = 1 + TAGGED.index(kind)
+    tagger = Tagger(1 + len(TAGGED))
     tagger.train(ids, gold, steps)
     return tagger
 
@@ -170,50 +258,65 @@ def _windows(points: np.ndarray, triggers: np.ndarray) -> list[int]:
     return (np.flatnonzero(need) * hop).tolist()
 
 
+def _runs(starts: list[int], size: int) -> Iterator[tuple[int, int, list[int]]]:
+    """(start, end, window starts) of windows that overlap in a row."""
+    held: list[int] = []
+    for start in starts:
+        if held and start > held[-1] + WINDOW - LAP:
+            yield held[0], min(held[-1] + WINDOW, size), held
+            held = []
+        held.append(start)
+    if held:
+        yield held[0], min(held[-1] + WINDOW, size), held
+
+
 def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[str, int, int]]]:
-    """Spans of the tagger in each text, reconciled over windows and plausible for their kind."""
-    places: list[tuple[int, int]] = []
-    rows, points_of = [], []
+    """Spans of the tagger in each text, plausible for their kind."""
+    rows: list[np.ndarray] = []
+    runs: list[tuple[int, int, int, int, list[int]]] = []  # text, start, end, first window's row, window starts
     for n, text in enumerate(texts):
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        points_of.append(points)
         triggers = np.flatnonzero(_TRIGGER[np.minimum(points, 255)])
+        if not len(triggers):
+            continue
         symbols = encode(points)
-        for start in _windows(points, triggers) if len(triggers) else ():
-            own = symbols[start : start + WINDOW]
-            if len(own):
-                places.append((n, start))
-                rows.append(np.pad(own, (0, WINDOW - len(own))))
-    tags: list[np.ndarray] = []
+        starts = [s for s in _windows(points, triggers) if s < len(points)]
+        for a, b, own in _runs(starts, len(points)):
+            runs.append((n, a, b, len(rows), own))
+            rows += [np.pad(symbols[s : s + WINDOW], (0, max(0, s + WINDOW - len(symbols)))) for s in own]
+    scores: list[np.ndarray] = []
     for a in range(0, len(rows), DECODED):
-        tags.extend(tagger.decode(np.stack(rows[a : a + DECODED])))
+        scores.extend(tagger.scores(np.stack(rows[a : a + DECODED])))
+    trust = 1.0 + np.minimum(np.arange(WINDOW), WINDOW - 1 - np.arange(WINDOW))[:, None]
     found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    edge = np.minimum(np.arange(WINDOW), WINDOW - 1 - np.arange(WINDOW))
-    k = 0
-    while k < len(places):
-        n = places[k][0]
-        size = len(points_of[n])
-        best, tag = np.full(size, -1), np.zeros(size, np.int8)
-        while k < len(places) and places[k][0] == n:
-            start = places[k][1]
-            end = min(start + WINDOW, size)
-            trust = edge[: end - start].copy()
-            if start == 0:
-                trust[: WINDOW // 2] = WINDOW
-            if end == size:
-                trust[WINDOW // 2 :] = WINDOW
-            better = trust > best[start:end]
-            best[start:end][better] = trust[better]
-            tag[start:end][better] = tags[k][: end - start][better]
-            k += 1
-        cut = np.flatnonzero(np.r_[True, tag[1:] != tag[:-1], True])
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            if tag[a]:
-                body = texts[n][a:b]
-                a, b = a + len(body) - len(body.lstrip()), b - (len(body) - len(body.rstrip()))
-                if a < b and plausible(KINDS[int(tag[a]) - 1], texts[n][a:b]):
-                    found[n].append((KINDS[int(tag[a]) - 1], a, b))
-    return found
+    runs.sort(key=lambda r: r[2] - r[1])
+    at = 0
+    while at < len(runs):
+        end = at + 1
+        while end < len(runs) and end - at < DECODED and (end + 1 - at) * (runs[end][2] - runs[end][1]) <= DECODED * WINDOW:
+            end += 1
+        length = runs[end - 1][2] - runs[end - 1][1]
+        total, weight = np.zeros((end - at, length, 1 + len(TAGGED)), np.float32), np.zeros((end - at, length, 1), np.float32)
+        for k, (_, a, b, first, own) in enumerate(runs[at:end]):
+            for i, s in enumerate(own):
+                part = slice(s - a, min(s + WINDOW, b) - a)
+                size = part.stop - part.start
+                total[k, part] += scores[first + i][:size] * trust[:size]
+                weight[k, part] += trust[:size]
+        tags = tagger.best_path(total / np.maximum(weight, 1), weight[:, :, 0] > 0)
+        for (n, a, b, *_), tag in zip(runs[at:end], tags):
+            tag = tag[: b - a]
+            cut = np.flatnonzero(np.r_[True, tag[1:] != tag[:-1], True])
+            for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                if tag[x]:
+                    kind, body = TAGGED[int(tag[x]) - 1], texts[n][a + x : a + y]
+                    x, y = a + x + len(body) - len(body.lstrip(_AROUND)), a + y - (len(body) - len(body.rstrip(_AROUND)))
+                    if kind == "secret":  # the whole of a token, where only part of it was tagged
+                        x, y = _TOKEN_LEFT.search(texts[n], max(0, x - LONGEST_TOKEN), x).start() if x else x, _TOKEN.match(texts[n], y).end()
+                    if x < y and plausible(kind, texts[n][x:y]):
+                        found[n].append((kind, x, y))
+        at = end
+    return [sorted(set(own), key=lambda s: s[1:]) for own in found]
 
 
 def find(column: pa.Array, tagger: Tagger) -> tuple[list[list[tuple[str, int, int]]], list[list[tuple[str, int, int]]]]:
@@ -246,23 +349,23 @@ def spans_column(text: Column, tagger: Tagger) -> Column:
     @arrow_udf(f"struct<base: {_SPANS}, added: {_SPANS}>")
     def of(column: pa.Array) -> pa.Array:
         base, added = find(column, tagger)
-        order = lambda own: sorted(own, key=lambda s: (KINDS.index(s[0]), s[1]))
+        order = lambda own: sorted(own, key=lambda s: (TAGGED.index(s[0]), s[1]))
         return pa.StructArray.from_arrays([_as_rows([order(x) for x in base]), _as_rows([order(x) for x in added])], ["base", "added"])
 
     return of(text)
 
 
 def personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
-    """(doc_id, base, added) for each row of docs(doc_id, text)."""
+    """(doc_id, base, added) for each row of docs(doc_id, text); without a tagger one is fitted to docs."""
     small_batches(docs.sparkSession)
-    found = docs.select("doc_id", spans_column(F.col("text"), tagger or default_tagger()).alias("x"))
+    found = docs.select("doc_id", spans_column(F.col("text"), tagger or fit(docs)).alias("x"))
     return found.select("doc_id", "x.base", "x.added")
 
 
 def redacted(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
-    """docs with every span of its texts replaced by its kind in brackets; null stays null."""
+    """docs with every span of its texts replaced by its kind in brackets; null stays null. Without a tagger one is fitted to docs."""
     small_batches(docs.sparkSession)
-    tagger = tagger or default_tagger()
+    tagger = tagger or fit(docs)
 
     @arrow_udf("string")
     def of(column: pa.Array) -> pa.Array:

@@ -57,9 +57,9 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     line = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     of = lambda kind: lambda x: x["kind"] == kind
-    by_kind = F.flatten(F.array(*[F.array_sort(F.filter(F.concat("base", "added"), of(k))) for k in pii.KINDS]))
+    by_kind = F.flatten(F.array(*[F.array_sort(F.filter(F.concat("base", "added"), of(k))) for k in pii.TAGGED]))
     counts = [F.size(F.filter("base", of(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(by_kind).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(by_kind).alias("spans"), F.size("added").cast("long").alias("n_added"), F.size(by_kind).cast("long").alias("n_spans"))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,21 +82,23 @@ class Tagger:
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Best tag sequence of each row."""
-        s, move = self.scores(ids), self.p["move"]
+        return self.best_path(self.scores(ids), ids > 0)
+
+    def best_path(self, s: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """The tags of greatest score and moves in each row of s (rows, places, tags); 0 outside the mask, which ends rows early."""
+        move = self.p["move"]
         n, length, k = s.shape
         best, back = s[:, 0] + self.p["first"], np.zeros((n, length, k), np.int8)
         for t in range(1, length):
             ways = best[:, :, None] + move[None]
-            back[:, t] = ways.argmax(axis=1)
-            step = ways.max(axis=1) + s[:, t]
-            inside = (ids[:, t] > 0)[:, None]
-            back[:, t] = np.where(inside, back[:, t], np.arange(k))
-            best = np.where(inside, step, best)
+            inside = mask[:, t, None]
+            back[:, t] = np.where(inside, ways.argmax(axis=1), np.arange(k))
+            best = np.where(inside, ways.max(axis=1) + s[:, t], best)
         tags = np.zeros((n, length), np.int8)
         tags[:, -1] = best.argmax(axis=1)
         for t in range(length - 1, 0, -1):
             tags[:, t - 1] = back[np.arange(n), t, tags[:, t]]
-        return np.where(ids > 0, tags, 0)
+        return np.where(mask, tags, 0)
 
     def _loss_slopes(self, ids: np.ndarray, gold: np.ndarray) -> tuple[float, dict]:
         traces: dict = {}
