@@ -17,6 +17,7 @@ ACCENTS = ("àâäáãéèêëíìîïóòôöõúùûüçñÿ", "aaaaaeeeeiiiio
 LETTER_VARIANTS = ("أإآة", "اااه")
 DIACRITICS = "[ؐ-ًؚ-ْٰۖ-ۭـ]"
 GOVERNORATE_ALIASES = {"el kef": "le kef", "sidi bou zid": "sidi bouzid", "manubah": "manouba"}
+TITLE_MARKER = "إشعار بانقطاع الكهرباء"
 TITLE = r"إشعار بانقطاع الكهرباء\s*-\s*(.+?)\s*-\s*(\d{1,2}:\d{2})\s+(\d{2}/\d{2}/\d{4})"
 SUBREGION = r"^(?:جهة|ولاية)\s+\S"
 FUZZY_THRESHOLD = 90.0
@@ -38,6 +39,29 @@ def normalized(text: Column) -> Column:
     return F.translate(F.regexp_replace(text, DIACRITICS, ""), *LETTER_VARIANTS)
 
 
+#: fixed values
+TIME_WINDOW = r"(?s)خلال\s+(.+?)(?:،|,)?\s*على مستوى المناطق التالية"
+
+
+def time_window(raw_text: Column) -> Column:
+    """The sentence on the hours of an outage, or null."""
+    return F.nullif(F.trim(F.regexp_extract(raw_text, TIME_WINDOW, 1)), F.lit(""))
+
+
+def json_text(value: Column) -> Column:
+    """A string as JSON, null as null; characters beyond ASCII stay."""
+    inner = F.to_json(F.array(value))
+    return F.when(value.isNull(), "null").otherwise(F.substring(inner, F.lit(2), F.length(inner) - 2))
+
+
+def raw_snapshot(raw_html: Column, title: Column, notice_date: Column, zones: Column, raw_text: Column) -> Column:
+    """The page itself, or where it is missing a JSON object of what is known, keys in order."""
+    listed = F.concat(F.lit("["), F.array_join(F.transform(zones, json_text), ", "), F.lit("]"))
+    parts = [("notice_date", json_text(notice_date)), ("raw_text", json_text(raw_text)), ("subregions", F.lit("[]")), ("title", json_text(title)), ("zones", listed)]
+    body = F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{k}": '), v) for k, v in parts]), F.lit("}"))
+    return F.coalesce(F.nullif(raw_html, F.lit("")), body)
+
+
 def token_sort_key(text: Column) -> Column:
     return F.array_join(F.array_sort(F.split(F.trim(text), r"\s+")), " ")
 

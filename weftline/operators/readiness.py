@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftline.config import CONFIG, ModelConfig
+from weftline.functions.text import TITLE_MARKER, iso_date
+from weftline.operators.serving import age_hours
 
 
 def metrics(parses: DataFrame, obs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -26,6 +29,35 @@ def needs(config: ModelConfig = CONFIG) -> list[tuple[str, str, float]]:
     ]
 
 
+def operational_metrics(jobs: DataFrame, parses: DataFrame, now: DataFrame, config: ModelConfig = CONFIG) -> DataFrame:
+    """One row: hours since the last completed scrape, and the share of ok parses among the latest attempts
+    of the window. now(now, today): the time of asking on the jobs' and on the parses' clock."""
+    since = jobs.filter((F.col("job_type") == "scrape") & (F.col("status") == "completed")).agg(F.max("finished_at").alias("t"))
+    age = since.crossJoin(now).select(age_hours(F.col("t"), F.col("now")).alias("scrape_freshness"))  # single rows
+    recent = parses.crossJoin(F.broadcast(now)).filter(F.to_date("parsed_at") >= F.date_sub("today", config.recent_parse_window_days))  # one row
+    last = recent.groupBy("snapshot_id").agg(F.max_by("parse_status", F.struct("parsed_at", "parse_id")).alias("status"))
+    ratio = last.agg(F.avg(F.when(F.col("status") == "ok", 1.0).otherwise(0.0)).alias("recent_parse_success_ratio"))
+    return ratio.crossJoin(age)
+
+
+def operational_needs(config: ModelConfig = CONFIG) -> list[tuple[str, str, float]]:
+    return [("recent_parse_success_ratio", ">=", config.min_recent_parse_ratio), ("scrape_freshness", "<=", config.max_scrape_age_hours)]
+
+
+def report(quality: DataFrame, operations: DataFrame) -> DataFrame:
+    """All eight signals with their section; a section is ready if all of its signals pass."""
+    both = signals(quality).withColumn("section", F.lit("model_quality")).unionByName(signals(operations, operational_needs()).withColumn("section", F.lit("operational_health")))
+    return both.withColumn("ready", F.bool_and("passed").over(Window.partitionBy("section")))  # eight rows
+
+
+def decided(found: DataFrame) -> DataFrame:
+    """One row: the decision on publication from report()."""
+    flag = lambda section: F.coalesce(F.bool_and(F.when(F.col("section") == section, F.col("passed"))), F.lit(False))
+    row = found.agg(flag("model_quality").alias("model_quality"), flag("operational_health").alias("operational_health"))
+    decision, reason = publication(F.col("model_quality"), F.col("operational_health"))
+    return row.select("*", decision.alias("decision"), reason.alias("reason"))
+
+
 def signal(key: str, current: Column, operator: str, required: float) -> Column:
     current = current.cast("double")
     passed = current >= required if operator == ">=" else current <= required
@@ -67,8 +99,14 @@ def activation_eligible(parses: DataFrame, localities: DataFrame) -> DataFrame:
     return _per_notice(parses, localities).select("notice_id", "parse_status", F.col("n").alias("localities"), ok.alias("eligible"))
 
 
-def parse_warnings(parses: DataFrame, localities: DataFrame) -> DataFrame:
+def parse_warnings(notices: DataFrame, localities: DataFrame) -> DataFrame:
+    """(notice_id, warnings) of notices(notice_id, raw_date, title): what a parser has to say of each, in its order."""
+    headless = F.col("scope_ordinal").isNotNull() & (F.trim(F.coalesce("subregion_name", F.lit(""))) == "")
+    counts = localities.groupBy("notice_id").agg(F.count("*").alias("n"), F.count_if(headless).alias("headless"))
+    rows = notices.join(counts, "notice_id", "left").na.fill(0, ["n", "headless"])
+    undated = F.coalesce(F.col("raw_date") == "", F.lit(True))
     found = F.array(
-        F.when(F.col("outage_date").isNull(), "missing_notice_date"), F.when((F.col("headed") == 0) & (F.col("n") > 0), "missing_subregion_header"), F.when(F.col("n") == 0, "empty_locality_list")
+        F.when(undated, "missing_notice_date"), F.when(~undated & iso_date(F.col("raw_date")).isNull(), "invalid_notice_date"),
+        F.when(~F.coalesce(F.contains("title", F.lit(TITLE_MARKER)), F.lit(False)), "unmatched_notice_title"), F.when(F.col("headless") > 0, "missing_subregion_header"), F.when(F.col("n") == 0, "empty_locality_list"),
     )
-    return _per_notice(parses, localities).select("notice_id", F.array_compact(found).alias("warnings"))
+    return rows.select("notice_id", F.array_compact(found).alias("warnings"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import fcntl
 import json
 import os
 import time
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -22,6 +25,9 @@ class VersionedTable:
         pointer = self.root / "current"
         return json.loads(pointer.read_text())["build"] if pointer.exists() else None
 
+    def completed(self, build: str) -> bool:
+        return (self.root / f"build={build}" / "_SUCCESS").exists()
+
     def write(self, df: DataFrame, build: str) -> str:
         """Write (or write again) a build; equal builds replace each other."""
         path = str(self.root / f"build={build}")
@@ -30,7 +36,7 @@ class VersionedTable:
 
     def activate(self, build: str, *checks: Callable[[], str | None]) -> None:
         """Make a written build current unless a check names a reason against it."""
-        if not (self.root / f"build={build}" / "_SUCCESS").exists():
+        if not self.completed(build):
             raise ValueError("build must be completed before activation")
         for check in checks:
             if reason := check():
@@ -51,10 +57,15 @@ class IdAllocator:
         self.path, self.first = Path(path), first
 
     def reserve(self, count: int) -> int:
-        start = int(self.path.read_text()) if self.path.exists() else self.first
-        fresh = self.path.with_suffix(".new")
-        fresh.write_text(str(start + count))
-        os.replace(fresh, self.path)
+        """The first of `count` ids. Two callers never get equal ids: the file is held while it changes."""
+        with self.path.open("a+") as f:
+            fcntl.flock(f, fcntl.LOCK_EX)
+            f.seek(0)
+            start = int(f.read() or self.first)
+            f.truncate(0)
+            f.write(str(start + count))
+            f.flush()
+            os.fsync(f.fileno())
         return start
 
 
@@ -81,10 +92,23 @@ class JobLock:
             held = self._holder()
             if held and held["expires"] >= now:
                 return False
-            fresh = self.path.with_name(f"{self.path.name}.{owner}")
-            fresh.write_text(body)
-            os.replace(fresh, self.path)
-            return (self._holder() or {}).get("owner") == owner
+            old = self.path.with_name(f"{self.path.name}.old-{uuid.uuid4().hex}")
+            try:
+                os.rename(self.path, old)  # of several that see it expired, one moves it away
+            except FileNotFoundError:
+                return False
+            if old.read_text() != json.dumps(held) and held is not None:  # renewed or taken meanwhile: put back
+                with contextlib.suppress(FileExistsError):
+                    os.link(old, self.path)
+                old.unlink()
+                return False
+            old.unlink()
+            try:
+                with os.fdopen(os.open(self.path, os.O_CREAT | os.O_EXCL | os.O_WRONLY), "w") as f:
+                    f.write(body)
+                return True
+            except FileExistsError:
+                return False
 
     def renew(self, owner: str, ttl_s: float, now: float | None = None) -> bool:
         if (self._holder() or {}).get("owner") != owner:

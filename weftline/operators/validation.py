@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.config import CONFIG
+from weftline.config import CONFIG, ModelConfig
 from weftline.operators import evidence as ev
-from weftline.operators.community import cluster_replicates
+from weftline.operators.community import cluster_replicates, clusters_of
+from weftline.runtime import materialize
 
 
 def temporal_split(dates: DataFrame, fraction: float = CONFIG.temporal_holdout_train_fraction) -> DataFrame:
@@ -112,3 +113,49 @@ def bootstrap(obs: DataFrame, pairs: DataFrame, parses: DataFrame, runs: int = C
     row = cells.groupBy("replicate").agg(F.sum("n").alias("n"), F.sum(two(F.col("n"))).alias("same")).join(side("i"), "replicate").join(side("j"), "replicate")
     pairs_ = two(F.col("n"))
     return row.select("replicate", F.col("kinds_i").alias("clusters"), F.round(F.when(F.col("n") >= 2, (pairs_ + 2 * F.col("same") - F.col("in_i") - F.col("in_j")) / pairs_), 8).alias("agreement"))
+
+
+def holdout_recall(partition: DataFrame, held: DataFrame) -> DataFrame:
+    """One row (scorable, hits, recall): of the held(locality_a, locality_b) pairs whose ends both stand in
+    partition(locality, cluster), the share with both in one cluster; null if there are none."""
+    for side in "ab":
+        held = held.join(partition.select(F.col("locality").alias(f"locality_{side}"), F.col("cluster").alias(f"c_{side}")), f"locality_{side}")
+    hit = F.count_if(F.col("c_a") == F.col("c_b"))
+    return held.agg(F.count("*").alias("scorable"), hit.alias("hits"), F.try_divide(hit, F.count("*")).alias("recall"))
+
+
+#: what the figures of a report mean
+DEFINITIONS = {
+    "membership_agreement": "share of pairs of shared localities on whose togetherness two partitions agree, whatever the clusters are called",
+    "bootstrap": "distinct outage dates are drawn with replacement, edges rebuilt from these dates and clustered, and compared with the partition of all dates",
+    "held_out_edge_recall": "pairs of held-out dates whose localities both stand in the training partition; a hit has both in one cluster, unseen localities are left out",
+    "raw_cooccurrence_baseline": "agreement with the clusters of the unweighted graph",
+    "largest_notice_removed_agreement": "agreement with the clusters without the notice of most pairs",
+    "config_sensitivity_agreement": "agreement with the clusters of edges of one more date",
+}
+
+
+def validation_report(obs: DataFrame, pairs: DataFrame, parses: DataFrame, build: str, config: ModelConfig = CONFIG) -> DataFrame:
+    """One row: the figures of a build's clustering, why a figure is missing, and all of it as JSON.
+
+    Baselines of geography and of service units are not measured, by definition of the report."""
+    clustered = lambda edges, marg: clusters_of(edges, marg.select("locality")).withColumnRenamed("cluster_id", "cluster")
+    edges, marg, total = ev.edge_inputs(pairs), ev.marginals(obs), ev.notice_total(obs)
+    full = materialize(clustered(ev.gated(ev.weighted_edges(edges, marg, total)), marg), "full")
+    member = lambda p: p.select(F.col("locality").alias("member"), "cluster")
+    row = bootstrap(obs, pairs, parses, config.bootstrap_runs, config.random_seed).agg(F.avg("agreement").alias("mean_membership_agreement"))
+    train = temporal_split(pairs.select("outage_date"))
+    early, late = (ev.restricted(pairs, train.filter(F.col("part") == p)) for p in ("train", "holdout"))
+    seen = obs.join(early.select("notice_id").distinct(), "notice_id", "left_semi")
+    trained = clustered(ev.gated(ev.weighted_edges(ev.edge_inputs(early), ev.marginals(seen), ev.notice_total(seen))), ev.marginals(seen))
+    row = row.crossJoin(holdout_recall(trained, late.select("locality_a", "locality_b").distinct()).select(F.col("recall").alias("held_out_edge_recall")))  # single rows from here
+    names = {"raw": "raw_cooccurrence_baseline", "largest_notice_removed": "largest_notice_removed_agreement", "min_dates_plus_one": "config_sensitivity_agreement"}
+    for variant, own in ablations(obs, pairs).items():
+        others = ev.marginals(without_largest(obs, pairs)) if variant == "largest_notice_removed" else marg
+        row = row.crossJoin(rand_index(member(full), member(clustered(own, others))).select(F.col("agreement").alias(names[variant])))
+    figures = ["mean_membership_agreement", "held_out_edge_recall", *names.values()]
+    row = row.select(F.lit(build).alias("build_id"), F.lit(config.version).alias("config_version"), F.lit(config.random_seed).alias("random_seed"), F.lit(config.bootstrap_runs).alias("bootstrap_runs"), *[F.round(c, 8).alias(c) for c in figures], F.lit(None).cast("double").alias("geography_baseline"), F.lit(None).cast("double").alias("service_unit_baseline"))
+    why = {"mean_membership_agreement": "no replicate shared two localities with the full partition", "held_out_edge_recall": "no held-out pair has both localities in training", **dict.fromkeys(names.values(), "fewer than two shared localities")}
+    row = row.withColumn("unmeasured", F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(f"{c}: {why[c]}")) for c in figures])))
+    told = F.create_map(*[F.lit(x) for item in sorted(DEFINITIONS.items()) for x in item])
+    return row.withColumn("report", F.to_json(F.struct(*sorted(row.columns), told.alias("definitions"))))

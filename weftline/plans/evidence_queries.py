@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.functions import text as tx
 from weftline.operators import evidence as ev
 from weftline.operators import readiness, validation
 from weftline.plans import sqlviews
@@ -207,6 +208,44 @@ def quality_gates(v: Views) -> DataFrame:
     return readiness.gates(readiness.signals(readiness.metrics(v.parses, v.observations, v.settled_pairs))).select("key", "status", "reason")
 
 
+_OPERATIONS = "select (select avg(case when parse_status = 'ok' then 1.0::double else 0.0::double end) from (select *, row_number() over (partition by snapshot_id order by parsed_at desc, parse_id desc) as i from fx_parse_versions where cast(parsed_at as date) >= (select max(cast(parsed_at as date)) from fx_parse_versions) - interval 30 day) where i = 1) as recent_parse_success_ratio, (select greatest(0, epoch_us((select max(started_at) from fx_jobs)) - epoch_us(max(finished_at))) / 3.6e9 from fx_jobs where job_type = 'scrape' and status = 'completed') as scrape_freshness"
+_OPERATED = " union all ".join(f"select '{k}' as key, {k}::double as current, {r}::double as required, coalesce({k} {op} {r}, false) as passed from o" for k, op, r in (("recent_parse_success_ratio", ">=", 0.8), ("scrape_freshness", "<=", 48)))
+_REPORT = f"with m as ({_METRICS}), o as ({_OPERATIONS}), r as (select 'model_quality' as section, * from ({_SIGNALS}) union all select 'operational_health', * from ({_OPERATED}))"
+
+
+def _report(v: Views) -> DataFrame:
+    now = v.jobs.agg(F.max("started_at").alias("now")).crossJoin(v.parse_versions.agg(F.to_date(F.max("parsed_at")).alias("today")))  # single rows
+    return readiness.report(readiness.metrics(v.parses, v.observations, v.settled_pairs), readiness.operational_metrics(v.jobs, v.parse_versions, now))
+
+
+@query("q_readiness_report", f"{_REPORT} select section, key, round(current, 6) as current, required, passed, bool_and(passed) over (partition by section) as ready from r")
+def readiness_report(v: Views) -> DataFrame:
+    return rounded(_report(v), "current", places=6).select("section", "key", "current", "required", "passed", "ready")
+
+
+@query("q_publication_decision", f"{_REPORT}, s as (select bool_and(passed) filter (section = 'model_quality') as model_quality, bool_and(passed) filter (section = 'operational_health') as operational_health from r) select *, case when not model_quality then 'blocked' when not operational_health then 'experimental' else 'published' end as decision, case when not model_quality then 'model_gates_failed' when not operational_health then 'operational_gates_failed' else 'all_gates_pass' end as reason from s")
+def publication_decision(v: Views) -> DataFrame:
+    return readiness.decided(_report(v))
+
+
+_SEEN = f"(select distinct canonical_name as locality, cast(substr(canonical_name, 7) as int) % 2 as cluster from fx_obs where notice_id in (select notice_id from fx_pairs where outage_date in {_EARLY}))"
+
+
+@query("q_holdout_recall", f"select count(*) as scorable, count(*) filter (a.cluster = b.cluster) as hits, round(count(*) filter (a.cluster = b.cluster) / count(*)::double, 8) as recall from (select distinct locality_a, locality_b from fx_pairs where outage_date is not null and outage_date not in {_EARLY}) h join {_SEEN} a on a.locality = locality_a join {_SEEN} b on b.locality = locality_b")
+def holdout_recall(v: Views) -> DataFrame:
+    """Recall of a partition that the oracle can state too: localities of training dates by the parity of their number."""
+    parts = validation.temporal_split(v.settled_pairs.select("outage_date"))
+    early, late = (ev.restricted(v.settled_pairs, parts.filter(F.col("part") == p)) for p in ("train", "holdout"))
+    seen = v.observations.join(early.select("notice_id").distinct(), "notice_id", "left_semi").select(F.col("canonical_name").alias("locality")).distinct()
+    partition = seen.withColumn("cluster", F.substring("locality", 7, 9).cast("int") % 2)
+    return rounded(validation.holdout_recall(partition, late.select("locality_a", "locality_b").distinct()), "recall")
+
+
+@query("q_validation_report")
+def validation_report(v: Views) -> DataFrame:
+    return validation.validation_report(v.observations, v.settled_pairs, v.parses, "build-1")
+
+
 @query("q_activation_guards", f"with m as ({_METRICS}), s as ({_SIGNALS}), g as (select (select count(*) from fx_edges where dd >= 2) > 0 as run_completed, (select count(*) from fx_obs) > 0 as build_active, (select count(distinct outage_date) from fx_pairs) > 1 as validation_completed, (select bool_and(passed) from s) as published) select *, case when not run_completed then 'run_not_completed' when not build_active then 'build_not_active' when not validation_completed then 'validation_not_completed' when not published then 'not_published' end as refusal from g")
 def activation_guards(v: Views) -> DataFrame:
     return readiness.activation_guards(v.parses, v.observations, v.settled_pairs, ev.edge_inputs(v.settled_pairs))
@@ -232,17 +271,18 @@ def activation_eligible(v: Views) -> DataFrame:
     return readiness.activation_eligible(v.parses, v.localities)
 
 
-_WARNINGS = "concat_ws(',', case when outage_date is null then 'missing_notice_date' end, case when headed = 0 and n > 0 then 'missing_subregion_header' end, case when n = 0 then 'empty_locality_list' end)"
+_READ = f"select p.notice_id, raw_date, title, count(l.notice_id) as n, count(l.notice_id) filter (scope_ordinal is not null and coalesce(trim(subregion_name), '') = '') as headless from fx_notices p left join fx_localities l on l.notice_id = p.notice_id group by p.notice_id, raw_date, title"
+_WARNINGS = f"concat_ws(',', case when coalesce(raw_date, '') = '' then 'missing_notice_date' end, case when raw_date <> '' and try_strptime(raw_date, '%d/%m/%Y') is null then 'invalid_notice_date' end, case when not contains(title, '{tx.TITLE_MARKER}') then 'unmatched_notice_title' end, case when headless > 0 then 'missing_subregion_header' end, case when n = 0 then 'empty_locality_list' end)"
 
 
-@query("q_parse_status", f"select notice_id, warnings, case when warnings = '' then 'ok' else 'warning' end as status from (select notice_id, {_WARNINGS} as warnings from ({_PER_NOTICE}))")
+@query("q_parse_status", f"select notice_id, warnings, case when warnings = '' then 'ok' else 'warning' end as status from (select notice_id, {_WARNINGS} as warnings from ({_READ}))")
 def parse_status(v: Views) -> DataFrame:
-    return readiness.parse_warnings(v.parses, v.localities).select("notice_id", F.array_join("warnings", ",").alias("warnings"), F.when(F.size("warnings") == 0, "ok").otherwise("warning").alias("status"))
+    return readiness.parse_warnings(v.notices, v.localities).select("notice_id", F.array_join("warnings", ",").alias("warnings"), F.when(F.size("warnings") == 0, "ok").otherwise("warning").alias("status"))
 
 
-@query("q_warning_set", f"select w as warning, count(*) as n from (select unnest(string_split({_WARNINGS}, ',')) as w from ({_PER_NOTICE})) where w <> '' group by w")
+@query("q_warning_set", f"select w as warning, count(*) as n from (select unnest(string_split({_WARNINGS}, ',')) as w from ({_READ})) where w <> '' group by w")
 def warning_set(v: Views) -> DataFrame:
-    return readiness.parse_warnings(v.parses, v.localities).select(F.explode(F.array_distinct("warnings")).alias("warning")).groupBy("warning").agg(F.count("*").alias("n"))
+    return readiness.parse_warnings(v.notices, v.localities).select(F.explode(F.array_distinct("warnings")).alias("warning")).groupBy("warning").agg(F.count("*").alias("n"))
 
 
 @query("q_scope_ordinals", "select notice_id, line, subregion_name, case when bool_and(subregion_name is null) over (partition by notice_id) then null else cast(sum(step) over (partition by notice_id order by line, canonical_name, rn rows unbounded preceding) as bigint) end as ordinal from (select *, case when lag(coalesce(subregion_name, '')) over (partition by notice_id order by line, canonical_name, rn) <> coalesce(subregion_name, '') then 1 else 0 end as step from (select *, row_number() over (partition by notice_id, line, canonical_name order by subregion_name) as rn from fx_localities))")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from weftline.config import CANDIDATE_WEIGHTS, PILOT_BOX
 from weftline.operators import spatial as sp
+from weftline.operators.lifecycle import candidate_status
 from weftline.plans.registry import query
 from weftline.sources.views import Views
 
@@ -104,8 +105,20 @@ def quarantine_tally(v: Views) -> DataFrame:
     return sp.unit_quarantine(v.units).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("q_pending_geocode", "select locality from fx_locality_xy where spatial_confidence = 0")
+_GATES = f"{_REACH}, near as ({_NEAR}), d as (select governorate, count(distinct substr(created_at, 1, 10)) as dates from fx_reports group by governorate), n as (select governorate, count(distinct asset_id) as candidates from near join fx_locality_xy using (locality) group by governorate), g as (select governorate, bool_or(spatial_confidence > 0) as geography from fx_locality_xy group by governorate)"
+
+
+@query("q_candidate_gates", f"with recursive {_GATES} select governorate, coalesce(candidates, 0) as candidates, coalesce(dates, 0) as dates, geography, case when coalesce(candidates, 0) > 0 and geography and coalesce(dates, 0) >= 2 then 'experimental' else 'insufficient_evidence' end as status from g left join n using (governorate) left join d using (governorate)")
+def candidate_gates(v: Views) -> DataFrame:
+    near = sp.within_radius(v.assets, v.places).select("asset_id", F.col("p_locality").alias("locality")).join(v.places.select("locality", "governorate"), "locality")
+    rows = near.groupBy("governorate").agg(F.countDistinct("asset_id").alias("candidates"))
+    dates = v.reports.groupBy("governorate").agg(F.countDistinct(F.substring("created_at", 1, 10)).alias("dates"))
+    found = v.places.groupBy("governorate").agg(F.bool_or(F.col("spatial_confidence") > 0).alias("geography")).join(rows, "governorate", "left").join(dates, "governorate", "left").na.fill(0, ["candidates", "dates"])
+    return found.withColumn("status", candidate_status(F.col("candidates"), F.col("dates"), F.col("geography"), F.lit(True)))
+
+
+@query("q_pending_geocode", "select locality from fx_locality_xy where not (k % 2 = 0 and spatial_confidence > 0)")
 def pending_geocode(v: Views) -> DataFrame:
-    """Localities whose position is not settled: those without an accepted geocode."""
-    accepted = v.places.filter("spatial_confidence > 0").select("locality")
-    return v.places.select("locality").join(accepted, "locality", "left_anti")
+    """Localities that the cache of found positions does not hold; what was looked up in vain is not in it."""
+    cache = v.places.filter("k % 2 = 0 and spatial_confidence > 0").select("locality")
+    return v.places.select("locality").join(cache, "locality", "left_anti")

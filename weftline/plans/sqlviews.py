@@ -6,6 +6,7 @@ import re
 
 VIEWS = {
     "fx_parses": "select o_orderkey as notice_id, case when o_orderkey % 50 = 0 then null else cast(cast(o_orderdate as date) as varchar) end as outage_date, case when o_orderstatus = 'P' and o_orderkey % 3 = 0 then 'warning' else 'ok' end as parse_status from orders",
+    "fx_notices": "select o_orderkey as notice_id, case when o_orderkey % 50 = 0 then null when o_orderkey % 37 = 0 then '31/02/2026' else strftime(o_orderdate, '%d/%m/%Y') end as raw_date, concat(case when o_orderkey % 29 = 0 then 'avis' else 'إشعار بانقطاع الكهرباء' end, ' - ', o_orderpriority) as title from orders",
     "fx_localities": "select l_orderkey as notice_id, concat('Brand#', cast((cast(substr(p_brand, 7) as int) - 1) // 5 * 5 + l_orderkey % 5 + 1 as varchar)) as canonical_name, case when l_orderkey % 7 = 0 then null else l_linenumber % 2 end as scope_ordinal, case when l_orderkey % 11 = 0 then null else l_returnflag end as subregion_name, l_linenumber as line from lineitem join part on l_partkey = p_partkey",
     "fx_obs": "select notice_id, case when scope_ordinal is null then 'notice_fallback' else 'subregion' end as scope_kind, coalesce(scope_ordinal, 0) as scope_ord, min(nullif(trim(coalesce(subregion_name, '')), '')) as scope_name, canonical_name from fx_localities group by all",
     "fx_ctx": "select locality, case when b % 7 = 0 then null else concat('unit-', cast(b % 10 as varchar)) end as service_unit_id, case when b % 3 = 0 then cast(1.0 as double) else cast(0.7 as double) end as spatial_confidence from (select distinct canonical_name as locality, cast(substr(canonical_name, 7) as int) as b from fx_localities)",
@@ -21,6 +22,7 @@ VIEWS = {
     "fx_requests": "select event_id as seq, concat('/api/r', cast(user_id % 13 as varchar)) as route, case when event_id % 17 = 0 then 500 when event_id % 11 = 0 then 404 when event_id % 7 = 0 then 302 else 200 end as status, value as duration_ms, ts from events",
     "fx_snapshots": "select l_orderkey as notice_id, concat(cast(l_orderkey as varchar), '-', substr(sha256(concat(l_returnflag, l_linestatus)), 1, 20)) as snapshot_id, concat(l_returnflag, l_linestatus) as raw_html, l_shipdate as fetched_at, l_linenumber as seq from lineitem",
     "fx_parse_versions": "select l_orderkey as notice_id, concat('s', cast(l_orderkey as varchar)) as snapshot_id, concat('p', cast(l_orderkey as varchar), '-', cast(l_linenumber as varchar)) as parse_id, cast(1 + l_linenumber % 3 as varchar) as parser_version, max(cast(cast(l_shipdate as date) as varchar)) as parsed_at, case when min(l_returnflag) = 'A' then 'ok' else 'warning' end as parse_status from lineitem group by l_orderkey, l_linenumber",
+    "fx_states": "select notice_id, max(struct_pack(a := parsed_at, p := parse_id)).p as active_parse from fx_parse_versions group by notice_id",
     "fx_locality_xy": "select s_name as locality, s_suppkey as k, 34.2::double + (s_suppkey * 37 % 105) / 100::double as lat, 9.95::double + (s_suppkey * 53 % 145) / 100::double as lng, concat('GOV_', cast(s_nationkey as varchar)) as governorate, case when s_suppkey % 6 = 0 then null else concat('unit-', cast(s_nationkey as varchar)) end as service_unit_id, case when s_suppkey % 8 = 0 then 0.0::double when s_suppkey % 3 = 0 then 0.7::double else 1.0::double end as spatial_confidence from supplier",
     "fx_units": "select c_custkey as unit_id, concat('GOV_', cast(c_nationkey as varchar)) as governorate, case when c_custkey % 10 = 0 then null else 30 + (c_custkey * 29 % 900) / 100::double end as lat, case when c_custkey % 10 = 0 then null else 6.5::double + (c_custkey * 31 % 600) / 100::double end as lng from customer",
     "fx_assets": "select concat('node/', cast(p_partkey as varchar)) as asset_id, 34.1::double + (p_partkey * 41 % 125) / 100::double as lat, 9.85::double + (p_partkey * 59 % 165) / 100::double as lng, case when p_size % 4 = 0 then null else cast(p_size * 1000 as varchar) end as voltage, p_partkey as node_ref from part",
@@ -57,5 +59,5 @@ def with_views(query: str) -> str:
     need(query)
     if not order:
         return query
-    views = ", ".join(f"{n} as ({body(n)})" for n in order)
+    views = ", ".join(f"{n} as materialized ({body(n)})" for n in order)
     return f"with recursive {views}, {query.lstrip()[15:]}" if query.lstrip().startswith("with recursive ") else f"with {views}, {query.lstrip()[5:]}" if query.lstrip().startswith("with ") else f"with {views} {query}"

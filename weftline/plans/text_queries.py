@@ -52,15 +52,34 @@ def title_parse(v: Views) -> DataFrame:
     return titles.select("page_id", tx.title_parts(F.col("t")).alias("x")).select("page_id", "x.*")
 
 
-@query("q_clean_zone", r"select doc_id, rtrim(regexp_replace(line, '^[\s\-–—ـ]+', ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as zone from (select doc_id, concat(' - ', string_split(text, chr(10))[1]) as line from documents)")
+@query("q_clean_zone", r"select doc_id, i - 1 as ordinal, rtrim(regexp_replace(concat(' - ', line), '^[\s\-–—ـ]+', ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as zone from (select doc_id, unnest(l) as line, generate_subscripts(l, 1) as i from (select doc_id, string_split(text, chr(10)) as l from documents))")
 def clean_zone(v: Views) -> DataFrame:
-    first = F.concat(F.lit(" - "), F.get(F.split("text", "\n"), F.lit(0)))
-    return v.raw("documents").select("doc_id", tx.cleaned_zone(first).alias("zone"))
+    lines = v.raw("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
+    return lines.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), tx.cleaned_zone(F.concat(F.lit(" - "), F.col("line"))).alias("zone"))
 
 
-@query("q_normalize_text", "select doc_id, md5(translate(regexp_replace(regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '[ \\t\\n\\r]+', ' ', 'g'), '[ؐ-ًؚ-ْٰۖ-ۭـ]', '', 'g'), 'أإآة', 'اااه')) as digest from documents")
+_WINDOWED = "(select page_id, case when page_id % 3 = 0 then url else concat('خلال ', url, chr(10), ' 8:00-', cast(page_id % 12 as varchar), '، على مستوى المناطق التالية : ', html) end as t from pages)"
+
+
+@query("q_time_window", f"select page_id, nullif(trim(regexp_extract(t, '{tx.TIME_WINDOW}', 1)), '') as sentence from {_WINDOWED}")
+def time_window(v: Views) -> DataFrame:
+    made = F.concat(F.lit("خلال "), "url", F.lit("\n 8:00-"), (F.col("page_id") % 12).cast("string"), F.lit("، على مستوى المناطق التالية : "), "html")
+    return v.raw("pages").select("page_id", tx.time_window(F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(made)).alias("sentence"))
+
+
+_ITEMS = "list_filter(list_transform(regexp_extract_all(html, '(?s)<li[^>]*>(.*?)</li>', 1), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'))), lambda x: x <> '')"
+
+
+@query("q_raw_snapshot", f"""select page_id, sha256(case when page_id % 2 = 0 then html else concat('{{"notice_date": ', case when page_id % 5 = 0 then 'null' else '"01/07/2026"' end, ', "raw_text": ', to_json(html)::varchar, ', "subregions": [], "title": ', to_json(url)::varchar, ', "zones": [', array_to_string(list_transform({_ITEMS}, lambda x: to_json(x)::varchar), ', '), ']}}') end) as digest from pages""")
+def raw_snapshot(v: Views) -> DataFrame:
+    page = F.col("page_id")
+    body = tx.raw_snapshot(F.when(page % 2 == 0, F.col("html")), F.col("url"), F.when(page % 5 != 0, "01/07/2026"), tx.list_items(F.col("html")), F.col("html"))
+    return v.raw("pages").select("page_id", F.sha2(body, 256).alias("digest"))
+
+
+@query("q_normalize_text", "select doc_id, md5(translate(regexp_replace(regexp_replace(trim(nfc_normalize(text), ' ' || chr(9) || chr(10) || chr(13)), '[ \\t\\n\\r]+', ' ', 'g'), '[ؐ-ًؚ-ْٰۖ-ۭـ]', '', 'g'), 'أإآة', 'اااه')) as digest from documents")
 def normalize_text(v: Views) -> DataFrame:
-    return v.raw("documents").select("doc_id", F.md5(tx.normalized(F.col("text"))).alias("digest"))
+    return v.raw("documents").select("doc_id", F.md5(tx.normalized(tx.composed(F.col("text")))).alias("digest"))
 
 
 @query("q_posexplode", "select doc_id, count(*) as lines, max(i) - 1 as last from (select doc_id, generate_subscripts(l, 1) as i from (select doc_id, string_split(text, chr(10)) as l from documents)) group by doc_id")

@@ -6,6 +6,7 @@ Rows that break a rule are set apart with the first reason that applies, not dro
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,8 +58,8 @@ def delegations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def service_units(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(accepted, quarantined) rows of a CSV with a header; incomplete coordinates become null."""
-    raw = spark.read.csv(path, header=True, encoding="UTF-8")
+    """(accepted, quarantined) rows of a CSV with a header, or of the first sheet of a workbook; incomplete coordinates become null."""
+    raw = workbook(spark, path) if path.lower().endswith((".xls", ".xlsx")) else spark.read.csv(path, header=True, encoding="UTF-8")
     raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
     text = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
     lat, lng = (text(c).try_cast("double") for c in ("Lat", "Lon"))
@@ -68,6 +69,35 @@ def service_units(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")
 
 
+def workbook(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheet of a workbook as text columns, read on the driver (a directory of some thousand rows); needs a reader that pandas knows."""
+    import pandas as pd
+
+    sheet = pd.read_excel(path, sheet_name=0, dtype=str)
+    return spark.createDataFrame(sheet.astype(object).where(sheet.notna(), None), ", ".join(f"`{c}` string" for c in sheet.columns))
+
+
+def elements(spark: SparkSession, path: str) -> DataFrame:
+    """Elements of a topology extract: JSON lines, or a PBF file where a reader for it is installed."""
+    if not path.lower().endswith(".pbf"):
+        return spark.read.schema(ELEMENTS).json(path)
+    try:
+        import osmium
+    except ModuleNotFoundError as e:
+        raise RuntimeError("PBF needs the osmium package; convert the extract to JSON lines otherwise") from e
+
+    def rows() -> Iterator[tuple]:
+        for x in osmium.FileProcessor(path).with_locations():
+            tags = {t.k: t.v for t in x.tags}
+            if x.is_node():
+                yield "node", x.id, x.lat, x.lon, None, None, tags
+            elif "power" in tags or x.is_relation():
+                members = [(m.type, m.ref, m.role) for m in x.members] if x.is_relation() else None
+                yield ("relation" if members is not None else "way"), x.id, None, None, None if members is not None else [n.ref for n in x.nodes], members, tags
+
+    return spark.createDataFrame(list(rows()), ELEMENTS)  # an extract of one region
+
+
 ELEMENTS = "type string, id long, lat double, lon double, nodes array<long>, members array<struct<type: string, ref: long, role: string>>, tags map<string, string>"
 
 

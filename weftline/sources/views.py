@@ -31,6 +31,13 @@ class Views:
             F.when((F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 3 == 0), "warning").otherwise("ok").alias("parse_status"),
         )
 
+    @property
+    def notices(self) -> DataFrame:
+        """Notices as they were read: dates and titles as written, some of them missing or wrong."""
+        k = F.col("o_orderkey")
+        raw = F.when(k % 50 == 0, F.lit(None)).when(k % 37 == 0, "31/02/2026").otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
+        return self.raw("orders").select(k.alias("notice_id"), raw.alias("raw_date"), F.concat(F.when(k % 29 == 0, "avis").otherwise("إشعار بانقطاع الكهرباء"), F.lit(" - "), F.col("o_orderpriority")).alias("title"))
+
     @property
     def localities(self) -> DataFrame:
         """Each line of a notice names one of five localities of the notice's community."""
@@ -133,6 +140,11 @@ class Views:
             number(1 + line % 3).alias("parser_version"), "parsed_at", F.when(F.col("flag") == "A", "ok").otherwise("warning").alias("parse_status"),
         )
 
+    @property
+    def states(self) -> DataFrame:
+        """The active parse of each notice: its latest."""
+        return self.parse_versions.groupBy("notice_id").agg(F.max_by("parse_id", F.struct("parsed_at", "parse_id")).alias("active_parse"))
+
     @property
     def places(self) -> DataFrame:
         k = F.col("s_suppkey")
