@@ -48,6 +48,26 @@ def test_repeats_equal_brute_force(spark, table):
     assert repeats.remove_repeats(docs.limit(0), length=64).count() == 0
 
 
+@pytest.mark.parametrize("hot", [0, 2, 64])
+def test_planted_passages_equal_brute_force_with_hot_anchors(spark, table, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT_KINDS", hot)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(n))
+    passages = [words(rng.randint(51, 120)) for _ in range(12)]
+    texts = [" ".join([words(rng.randint(0, 60)), rng.choice(passages[: 1 + i % 12]), words(rng.randint(0, 60))]) for i in range(300)] + [words(150) for _ in range(100)]
+    texts[7] = texts[8] = texts[9]
+    docs = table("doc_id long, text string", list(enumerate(texts)))
+    got = {r.doc_id: bytes(r.kept) for r in repeats.remove_repeats(docs, length=200).collect()}
+    assert got == dict(enumerate(plain_removed(texts, 200)))
+
+
+def test_texts_above_a_section(spark, table):
+    body = "".join(rng.choice("abcdefghij ") for _ in range((1 << 20) + 5000))
+    shared = body[(1 << 20) - 700 : (1 << 20) + 900]  # across the end of a section
+    docs = table("doc_id long, text string", [(1, body), (2, "x" + shared + "y"), (3, body[:300])])
+    got = {r.doc_id: (bytes(r.kept).decode(), len(r.spans)) for r in repeats.remove_repeats(docs).collect()}
+    assert got == {1: (body.replace(shared, ""), 1), 2: ("xy", 1), 3: (body[:300], 0)}
+
+
 def test_equal_rows_repeat_each_other(spark, table):
     text = "".join(rng.choice("abcdef") for _ in range(900))
     rows = repeats.remove_repeats(table("doc_id long, text string", [(1, text), (1, text), (2, text[:399])])).collect()

@@ -11,8 +11,9 @@ occurrences of each other. Columns other than doc_id and text play no part.
    consecutive windows of one anchor make a block, and each window is in one block.
 2. Blocks with equal bytes are repeated as a whole; counting (anchor, block hash)
    with map-side sums settles them, however many copies there are.
-3. Anchors with several different blocks keep one of each block. Their windows are
-   cut into cells by distance to the anchor, `CELL` windows wide. All windows of a cell
+3. Anchors with several different blocks keep one of each block; those of an anchor go to
+   one task, or, if there are more than HOT_KINDS, each of their cells to a task of its own.
+   Their windows are cut into cells by distance to the anchor, `CELL` windows wide. All windows of a cell
    contain its core, the bytes that they have in common, so a window can only be
    repeated where the core is; cells with equal cores are written as the few bytes
    left of the core, one symbol for the core and the few bytes right of it. These
@@ -20,8 +21,13 @@ occurrences of each other. Columns other than doc_id and text play no part.
    share `CELL` symbols, that is `length` bytes, stand side by side.
 4. Repeated windows return to their texts as byte ranges and are merged.
 
-Blocks are told apart by a 64-bit hash beside their anchor's, cores by 128 bits, texts
-by doc_id and a 64-bit hash.
+Equal blocks are not sorted among themselves: counting tells the same, and only windows
+near an edge of a repetition reach the suffix order. Blocks are told apart by a 64-bit
+hash beside their anchor's, cores by 128 bits or by 63 beside their anchor's, texts by
+doc_id and a 64-bit hash.
+
+Texts of any length are read whole: their hashes are taken in sections that overlap by
+`length`. Texts shorter than `length` lose nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,6 +49,7 @@ GRAM = 32
 PLACE_BITS = 20
 CELL = 16
 SORTED_SYMBOLS = 1 << 18
+HOT_KINDS = 64  # anchors with more different blocks are dealt out by cell
 PLACE_SIZE = 12  # bits of a block's reference: windows lowest, the anchor's place in the block next, the first window above
 
 _FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
@@ -108,22 +115,37 @@ def _block_rows(length: int):
     return run, "k1 long, k2 long, ref long, a long, b long"
 
 
-def _cut_blocks(length: int):
-    """(text, refs) to (a, b, anchor's place in the block, bytes of the block)."""
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("place", pa.int64()), ("part", pa.binary())])
+def cells(place: int, part: bytes, length: int, cell: int) -> Iterator[tuple[int, bytes, tuple[bytes, bytes], int, int]]:
+    """(cell, core, bytes left and right of it, first and last window) of a block whose anchor stands at place."""
+    last = len(part) - length
+    for g in range((place - last) // cell, place // cell + 1):
+        core, end = place - g * cell, place - (g * cell + cell - 1) + length
+        low, high = max(0, core - cell + 1), min(last, core)
+        yield g, part[core:end], (part[low:core], part[end : high + length]), low, high
+
+
+_PARTS = "a long, c long, b long, place long, low long, left binary, right binary"
+
+
+def _cut_blocks(length: int, cell: int = CELL):
+    """(text, refs) to rows of _PARTS: a block as a whole (c 0, its bytes at the left), or, of a hot
+    anchor, each of its cells (c tells cell and core, place is the last window)."""
+    out = pa.schema([*((c, pa.int64()) for c in ("a", "c", "b", "place", "low")), ("left", pa.binary()), ("right", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = (1 << PLACE_SIZE) - 1
+        bits, digest = (1 << PLACE_SIZE) - 1, xxhash.xxh3_64_intdigest
         for batch in batches:
-            a, b, place, part = [], [], [], []
+            rows: list[tuple] = []
             for raw, refs in zip(unpacked(batch.column(0)), batch.column(1).to_pylist()):
                 for r in refs:
-                    s, n = r["ref"] >> 2 * PLACE_SIZE, r["ref"] & low
-                    a.append(r["a"])
-                    b.append(r["b"])
-                    place.append(r["ref"] >> PLACE_SIZE & low)
-                    part.append(raw[s : s + n - 1 + length])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(place, pa.int64()), pa.array(part, pa.binary())], schema=out)
+                    s, n, place = r["ref"] >> 2 * PLACE_SIZE, r["ref"] & bits, r["ref"] >> PLACE_SIZE & bits
+                    part = raw[s : s + n - 1 + length]
+                    if not r["hot"]:
+                        rows.append((r["a"], 0, r["b"], place, 0, part, b""))
+                        continue
+                    for g, core, sides, low, high in cells(place, part, length, cell):
+                        rows.append((r["a"], (digest(core, g & bits) >> 1) | 1, r["b"], high, low, *sides))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [()] * len(out), out)], schema=out)
 
     return run
 
@@ -138,14 +160,12 @@ class CellSorter:
 
     def add(self, group: int, place: int, part: bytes, tag: object) -> None:
         """A block's bytes with the anchor at `place`; tag comes back with its repeated windows."""
-        length, cell, last = self.length, self.cell, len(part) - self.length
-        for g in range((place - last) // cell, place // cell + 1):
-            core, end = place - g * cell, place - (g * cell + cell - 1) + length
-            low, high = max(0, core - cell + 1), min(last, core)
-            key = group, g, xxhash.xxh3_128_digest(part[core:end])
-            sides = part[low:core], part[end : high + length]
-            self.cells.setdefault(key, {}).setdefault(sides, []).append((tag, low, high))
-            self.symbols += len(sides[0]) + len(sides[1]) + 2
+        for g, core, sides, low, high in cells(place, part, self.length, self.cell):
+            self.add_cell((group, g, xxhash.xxh3_128_digest(core)), sides, tag, low, high)
+
+    def add_cell(self, key: tuple, sides: tuple[bytes, bytes], tag: object, low: int, high: int) -> None:
+        self.cells.setdefault(key, {}).setdefault(sides, []).append((tag, low, high))
+        self.symbols += len(sides[0]) + len(sides[1]) + 2
 
     def settle(self) -> list[tuple[object, int, int]]:
         """(tag, first, last) runs of repeated windows of all that was added, which is then forgotten."""
@@ -186,7 +206,7 @@ class CellSorter:
 
 
 def _sorted_groups(length: int):
-    """Rows (a, b, place, part) in order of a, to (a, b, first, last) runs of repeated windows."""
+    """Rows of _PARTS in order of a, c and b, to (a, b, first, last) runs of repeated windows."""
     out = pa.schema([(c, pa.int64()) for c in ("a", "b", "x", "y")])
 
     def settled(sorter: CellSorter) -> Iterator[pa.RecordBatch]:
@@ -197,13 +217,16 @@ def _sorted_groups(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sorter, before = CellSorter(length), None
         for batch in batches:
-            for a, b, place, part in zip(*(c.to_pylist() for c in batch.columns)):
-                if (a, b) == before:
+            for a, c, b, place, low, left, right in zip(*(c.to_pylist() for c in batch.columns)):
+                if (a, c, b) == before:
                     continue
-                if sorter.symbols >= SORTED_SYMBOLS and a != before[0]:
+                if sorter.symbols >= SORTED_SYMBOLS and (a, c) != before[:2]:
                     yield from settled(sorter)
-                sorter.add(a, place, part, (a, b))
-                before = a, b
+                if c:
+                    sorter.add_cell((a, c), (left, right), (a, b), low, place)
+                else:
+                    sorter.add(a, place, left, (a, b))
+                before = a, c, b
         yield from settled(sorter)
 
     return run
@@ -217,11 +240,12 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     distinct = found.groupBy("a", "b").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "ref")).alias("r"))
     anchors = distinct.groupBy("a").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).filter("total > 1")
     distinct = materialize(distinct.join(anchors.drop("total"), "a").select("a", "b", "copies", "kinds", "r.*"), "distinct")
-    wanted = distinct.filter("kinds > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b", "ref")).alias("refs"))
+    hot = (F.col("kinds") > HOT_KINDS).alias("hot")
+    wanted = distinct.filter("kinds > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b", "ref", hot)).alias("refs"))
     parts = keyed.select("k1", "k2", packed(F.col("text")).alias("text")).join(wanted, ["k1", "k2"]).select("text", "refs")
-    parts = parts.mapInArrow(_cut_blocks(length), "a long, b long, place long, part binary")
+    parts = parts.mapInArrow(_cut_blocks(length), _PARTS)
     # equal rows bring equal bodies; they stand side by side and one is used
-    parts = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a").sortWithinPartitions("a", "b")
+    parts = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "c").sortWithinPartitions("a", "c", "b")
     near = parts.mapInArrow(_sorted_groups(length), "a long, b long, x long, y long").groupBy("a", "b").agg(F.collect_list(F.struct("x", "y")).alias("runs"))
     near = near.join(distinct.filter("copies = 1").select("a", "b"), ["a", "b"])
     whole = distinct.filter("copies > 1").select("a", "b", F.lit(None).cast("array<struct<x: long, y: long>>").alias("runs"))

@@ -4,6 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+
+
+_OPEN = -2
+
+
+def _by_symbol(symbols: Sequence[int]) -> list[int]:
+    """Places in order of their symbols, then of place: a count of each symbol, made into first slots."""
+    numbers = np.asarray(symbols, dtype=np.int64)
+    count = np.bincount(numbers)
+    free = (np.cumsum(count) - count).tolist()
+    slots = [0] * len(numbers)
+    for i, x in enumerate(numbers.tolist()):
+        slots[free[x]] = i
+        free[x] += 1
+    return slots
+
 
 def suffix_array(text: Sequence[int]) -> list[int]:
     """Start positions of the suffixes of `text` (integers >= 0) in ascending order.
@@ -21,7 +38,7 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     if n == 1:
         return []
     symbols = [x + 1 for x in text] + [0]
-    slots = sorted(range(n), key=symbols.__getitem__)
+    slots = _by_symbol(symbols)
     where = [0] * n  # slot of a suffix
     first = [0] * n  # first slot of a suffix's group
     start = 0
@@ -34,27 +51,38 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     for i in range(n):
         size[first[i]] += 1
 
-    before = [-1] * n
+    before = [_OPEN] * n
+    come = list(range(-1, n - 1))  # how far the search for a suffix's pointer has come
     hits = [0] * n
     high = n - 1
     while high >= 0:
         low = first[slots[high]]
         pointed = []
-        for i in sorted(slots[low : high + 1]):
-            p = i - 1
-            while p >= 0 and first[p] >= low:
-                p = before[p]
-            before[i] = p
-            if p >= 0:
-                if not hits[p]:
-                    pointed.append(p)
-                hits[p] += 1
+        for i in slots[low : high + 1]:
+            open_ = [i] if before[i] == _OPEN else []
+            while open_:  # a pointer may lead over others of the group, which are then found first
+                j = open_[-1]
+                p = come[j]
+                while p >= 0 and first[p] >= low:
+                    if before[p] == _OPEN:
+                        break
+                    p = before[p]
+                come[j] = p
+                if p >= 0 and first[p] >= low:
+                    open_.append(p)
+                    continue
+                before[j] = p
+                open_.pop()
+                if p >= 0:
+                    if not hits[p]:
+                        pointed.append(p)
+                    hits[p] += 1
         if pointed:
             by_hits: dict[int, list[int]] = {}
             for p in pointed:
                 by_hits.setdefault(hits[p], []).append(p)
                 hits[p] = 0
-            for k in sorted(by_hits, reverse=True):  # more copies stand higher, so they take the last slots
+            for k in sorted(by_hits, reverse=True):  # more copies stand higher; k numbers take k * k / 2 suffixes at least, so this is linear too
                 taken: dict[int, int] = {}
                 for p in by_hits[k]:
                     g = first[p]
