@@ -10,16 +10,18 @@ fingerprints would fill the buckets. A bucket above `HOT_BUCKET`
 fingerprints is dealt out further as pairs of its parts, so that no task holds a
 whole hot bucket; all pairs of parts are visited, so nothing is dropped there either.
 
-Index. A bucket's fingerprints are sorted by Gray rank; runs that share their
-leading bytes form the nodes of a tree that stores a shared pattern once. Trees of many
-buckets are held together. Each is compared with itself from the top, the differing bits of the patterns are added
-up along the way, and two nodes whose sum exceeds the radius are left with all that
-stands below them.
+Index. A bucket's fingerprints are sorted by Gray rank, in which neighbours differ in few
+bits, wherever these stand. Each FAN neighbours get a node above them that holds the bits
+on which all of them agree, as a mask and a value; nodes are grouped likewise up to one
+root. So a pattern that a group shares is stored, and compared, once. Trees of many buckets
+are held together. Each is compared with itself from the top: a pair of nodes adds the
+differing bits among those that their masks have in common and that no node above has
+compared yet, and a pair whose sum exceeds the radius is left with all that stands below.
 
 Rows. Null text and text without a word have fingerprint zero, which links like any
 other. Equal rows have equal fingerprints and are linked. A null doc_id takes part in
-links but cannot name a component unless no other id is there. Other columns are
-ignored; an empty table gives an empty result.
+links but cannot name a component unless no other id is there. Texts are read whole,
+however long. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,8 +47,7 @@ SHINGLE = 3
 HOT_BUCKET = 20_000
 EVEN_BUCKET = 64
 FRONTIER = 1 << 18
-
-_POP = np.array([bin(x).count("1") for x in range(256)], dtype=np.uint8)
+FAN = 8
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -88,36 +89,35 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class GrayForest:
-    """A tree for each group of fingerprints: levels of shared leading bytes in Gray order."""
+    """A tree for each group of fingerprints: nodes of shared masked bit patterns over runs in Gray order."""
 
     def __init__(self, groups: np.ndarray, prints: np.ndarray) -> None:
         order = np.lexsort((gray_rank(prints), groups))
-        self.prints, groups = prints[order], groups[order]
-        fresh = groups[1:] != groups[:-1]
-        self.pattern, self.first = [], []
-        below = np.arange(len(self.prints) + 1)
-        for depth in range(8, -1, -1):  # bottom up: runs of a group that are equal in their first `depth` bytes
-            differ = fresh
-            if depth:
-                heads = self.prints >> np.uint64(64 - 8 * depth)
-                differ = fresh | (heads[1:] != heads[:-1])
-            starts = np.flatnonzero(np.r_[True, differ])
-            if depth < 8:
-                self.first.insert(0, np.searchsorted(below[:-1], np.r_[starts, len(self.prints)]))
-            if depth:
-                self.pattern.insert(0, (heads[starts] & np.uint64(255)).astype(np.uint8))
-            below = np.r_[starts, len(self.prints)]
+        self.prints, owner = prints[order], groups[order]
+        value, mask = self.prints, np.full(len(prints), ~np.uint64(0))
+        self.value, self.mask, self.first = [value], [mask], []
+        while (fresh := np.r_[True, owner[1:] != owner[:-1]]).sum() < len(owner):
+            place = np.arange(len(owner))
+            starts = np.flatnonzero((place - np.maximum.accumulate(np.where(fresh, place, 0))) % FAN == 0)
+            size = np.diff(np.r_[starts, len(owner)])
+            apart = np.bitwise_or.reduceat((value ^ np.repeat(value[starts], size)) | ~mask, starts)
+            mask, owner = ~apart, owner[starts]
+            value = value[starts] & mask
+            self.first.insert(0, np.r_[starts, place[-1] + 1])
+            self.value.insert(0, value)
+            self.mask.insert(0, mask)
 
     def close(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Index pairs a < b of prints within the radius, in blocks."""
-        roots = np.arange(len(self.first[0]) - 1)
+        roots = np.arange(len(self.value[0]))
         stack = [(0, roots, roots, np.zeros(len(roots), np.uint8))]
         while stack:
             level, a, b, spent = stack.pop()
-            if level == 8:
+            if level == len(self.first):
                 yield a[a < b], b[a < b]
                 continue
-            first, pattern = self.first[level], self.pattern[level]
+            first, value, mask = self.first[level], self.value[level + 1], self.mask[level + 1]
+            compared = self.mask[level][a] & self.mask[level][b]
             na, nb = first[a + 1] - first[a], first[b + 1] - first[b]
             room = np.cumsum(na * nb)
             cuts = np.unique(np.searchsorted(room, np.arange(FRONTIER, room[-1], FRONTIER)) + 1) if room[-1] > FRONTIER else []
@@ -128,8 +128,11 @@ class GrayForest:
                 owner = np.repeat(part, each)
                 k = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
                 x, y = first[a[owner]] + k // nb[owner], first[b[owner]] + k % nb[owner]
-                total = spent[owner] + _POP[pattern[x] ^ pattern[y]]
-                good = (total <= radius) & (x <= y)
+                half = x <= y  # pairs of a node with itself have each pair of children once
+                x, y, owner = x[half], y[half], owner[half]
+                new = mask[x] & mask[y] & ~compared[owner]
+                total = spent[owner] + np.bitwise_count((value[x] ^ value[y]) & new)
+                good = total <= radius
                 if good.any():
                     stack.append((level + 1, x[good], y[good], total[good]))
 
