@@ -122,3 +122,20 @@ def test_license_labels(spark, table):
     assert len(found[6]) == 2 and found[6][0] == found[6][1] and found[6][0][1] == [[], [], [3, 5], [1]]
     assert found[None][0][1][0] == [0]
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_two_notices_in_a_row_are_two_spans(spark, table):
+    long = licenses.TEMPLATES[0][1]
+    put_in = long.replace("except in", "ever, except, as we say, in")
+    docs = table("doc_id long, text string", [(1, "Released under the MIT License. " * 2), (2, "x " * 300_000 + put_in + " y"), (3, "Released under the MIT License")])
+    found = {r.doc_id: [(s.label, s.first, s.last) for s in r.spans] for r in licenses.scan(docs).collect()}
+    assert found[1] == [("mit", 0, 4), ("mit", 5, 9)] and found[3] == [("mit", 0, 4)]
+    assert [x for x in found[2] if x[2] - x[1] > 8] == [("apache-2.0", 300_000, 300_000 + len(licenses._words(put_in)) - 1)]
+
+
+def test_spans_need_the_words_not_their_hash(spark, table, monkeypatch):
+    index = licenses.template_grams(spark)
+    other = index.withColumn("said", licenses.F.lit("other words here"))  # as if every hash collided
+    monkeypatch.setattr(licenses, "template_grams", lambda *_: other)
+    docs = table("doc_id long, text string", [(1, "Released under the MIT License.")])
+    assert licenses.scan(docs).first().spans == []

@@ -3,18 +3,21 @@
 Words are maximal runs of ASCII letters and digits and of all characters beyond ASCII,
 lower-cased in A-Z. Every run of GRAM words of a document is hashed and joined to the
 template positions with that hash. A hit at word p of the document and word t of a
-template lies on diagonal p - t; hits are summed by diagonal, diagonals at most DRIFT
-apart merge into one span (words put in or left out shift the diagonal), and a
-span is accepted when the words of the template that its hits cover, over the words
-of the template or of the span, whichever is more, reach ACCEPT.
-
-The template index holds a few thousand rows made from the constants below, so it is
-broadcast; only hits are shuffled, by document and template, and they are counted on
+template lies on diagonal p - t; a hit counts only if its words equal the template's, not
+their hash alone. Hits are summed by diagonal. Neighbouring diagonals at most DRIFT apart
+merge into one span (words put in or left out shift the diagonal), unless they hold the
+same part of the template, as two notices in a row do. A span is verified against the
+template: the template's words that stand in it, in their place on its diagonals, over the
+words of the template or of the span, whichever is more, must reach ACCEPT.
+
+The template index holds a few hundred rows made from the constants below, so it is
+broadcast; grams whose hash has no bit in a map of it are left out before the join; only hits are shuffled, by document and template, and they are counted on
 the map side first. Documents are told apart by id and a 64-bit hash of their text,
 so repeated rows share their hits.
 
 The phrases of PHRASES are found wherever their words stand in a row, on top. Null
-text is empty; empty and wordless texts get no label and score 0. Equal scores keep all
+text is empty; empty and wordless texts get no label and score 0; texts are read whole,
+however long; an empty table gives an empty result. Equal scores keep all
 labels. A null id is a value like any other. Columns other than doc_id and text are ignored.
 """
 
@@ -30,6 +33,7 @@ from weftline.runtime import materialize
 
 GRAM, DRIFT, ACCEPT = 3, 6, 0.6
 LEAST_HITS = 2
+MAP_BITS = 16
 
 #: fixed values: phrase and label
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -70,29 +74,43 @@ def _words(text: str) -> list[str]:
 
 
 def template_grams(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """(gram hash, template, place), and per template its label and length."""
+    """(gram hash, its words, template, label, size, place) of every gram of the templates."""
     rows = [(n, label, len(w), i, w[i : i + GRAM]) for n, (label, text) in enumerate(templates) for w in [_words(text)] for i in range(len(w) - GRAM + 1)]
     frame = spark.createDataFrame(rows, "template int, label string, size int, place int, words array<string>")
-    return frame.select(F.xxhash64(*[F.get("words", F.lit(i)) for i in range(GRAM)]).alias("gram"), "template", "label", "size", "place")
+    return frame.select(F.xxhash64(*[F.get("words", F.lit(i)) for i in range(GRAM)]).alias("gram"), F.array_join("words", " ").alias("said"), "template", "label", "size", "place")
+
+
+def known_grams(words: Column, index: DataFrame) -> Column:
+    """(p, gram, said) of the grams of a text that may be in the index, by a bit for each hash of it."""
+    bits = [0] * (1 << MAP_BITS - 6)
+    for (h,) in index.select("gram").distinct().collect():  # built from constants
+        bits[(h & (1 << MAP_BITS) - 1) >> 6] |= 1 << (h & 63)
+    table = F.lit([x - (1 << 64) if x >> 63 else x for x in bits])
 
+    def may(x: Column) -> Column:
+        low = x["gram"].bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+        word, bit = F.get(table, F.shiftright(low, 6).cast("int")), low.bitwiseAND(F.lit(63)).cast("int")
+        return F.call_function("shiftrightunsigned", word, bit).bitwiseAND(F.lit(1)) == 1
 
-def grams(words: Column) -> Column:
-    """Hash of each GRAM words, by place."""
     n = F.size(words) - GRAM
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(GRAM)]))).otherwise(F.array().cast("array<long>"))
+    every = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.struct(i.alias("p"), F.xxhash64(*[F.get(words, i + k) for k in range(GRAM)]).alias("gram")))
+    some = F.transform(F.filter(every, may), lambda x: F.struct(x["p"].alias("p"), x["gram"].alias("gram"), F.array_join(F.slice(words, x["p"] + 1, F.lit(GRAM)), " ").alias("said")))
+    return F.when(n >= 0, some)
 
 
 def license_spans(docs: DataFrame, templates=TEMPLATES, accept: float = ACCEPT) -> DataFrame:
     """(doc_id, text_hash, label, first, last, score) of accepted spans of docs(doc_id, text, text_hash); words from 0."""
     index = F.broadcast(template_grams(docs.sparkSession, templates))  # built from constants, below
-    words = docs.select("doc_id", "text_hash", word_array(F.col("text")).alias("w"))
-    hits = words.select("doc_id", "text_hash", F.posexplode(grams(F.col("w"))).alias("p", "gram")).join(index, "gram")
+    words = word_array(F.col("text"))
+    found = F.explode(F.get(F.transform(F.array(words), lambda w: known_grams(w, index)), F.lit(0))).alias("x")
+    hits = docs.select("doc_id", "text_hash", found).select("doc_id", "text_hash", "x.*").join(index, ["gram", "said"])
     hits = hits.groupBy("doc_id", "text_hash", "template", "label", "size", "p", "place").agg(F.lit(1).alias("one"))
     diagonals = hits.withColumn("d", F.col("p") - F.col("place")).groupBy("doc_id", "text_hash", "template", "label", "size", "d").agg(
-        F.collect_set("place").alias("places"), F.min("p").alias("first"), (F.max("p") + GRAM - 1).alias("last")
+        F.collect_set("place").alias("places"), F.min("p").alias("first"), (F.max("p") + GRAM - 1).alias("last"), F.min("place").alias("low"), F.max("place").alias("high")
     )
     own = Window.partitionBy("doc_id", "text_hash", "template").orderBy("d")
-    fresh = F.coalesce(F.col("d") - F.lag("d").over(own) > DRIFT, F.lit(True)).cast("int")
+    again = (F.col("low") <= F.lag("high").over(own)) & (F.col("high") >= F.lag("low").over(own))
+    fresh = F.coalesce((F.col("d") - F.lag("d").over(own) > DRIFT) | again, F.lit(True)).cast("int")
     spans = diagonals.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(own)).groupBy("doc_id", "text_hash", "template", "label", "size", "span").agg(
         F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("first").alias("first"), F.max("last").alias("last")
     )
