@@ -83,6 +83,33 @@ def test_toxicity_learns_gapped_insults(spark, table):
     assert toxicity.scored(probes.limit(0), model).count() == 0
 
 
+def test_letters_of_every_script():
+    as_letters = lambda t: toxicity._heard(t.encode()).tolist()
+    assert as_letters("Id-i0o·t\u200b") == as_letters("idiot") == as_letters("\uff49\U0001d4ed\U0001d4f2ot")
+    assert len(as_letters("глупец")) == 6 and as_letters("г-л.у_п е ц") == as_letters("глупец") and min(as_letters("глупец")) >= 26
+    assert as_letters("é") != as_letters("e") and as_letters("12 !?") == [] and toxicity.heard(np.zeros(0, np.uint8)).tolist() == []
+    marks = toxicity.Landmarks(["глупец".encode(), b"idiot"])
+    text = "г·лу*п·ец столовая".encode()
+    cut = text.index(b" ")
+    live, values = marks.of_words(text, np.array([0, cut + 1]), np.array([cut, len(text)]))
+    assert live[0] == 0 and values[0, 0] > 0.99 and values[1:, 0].max(initial=0) < 0.3
+
+
+def test_insults_of_another_script_are_learned():
+    other = "окно стол река поле лес гора море небо дом сад".split()
+    texts, y = [], []
+    for i in range(300):
+        w = [rng.choice(other) + rng.choice(other) for _ in range(30)]
+        if i % 4 == 0:
+            w[rng.randrange(30)] = "глупец"
+        texts.append(" ".join(w).encode())
+        y.append(int(i % 4 == 0))
+    model = toxicity.train(texts, np.array(y))
+    score = lambda t: float(model.scores(np.array([0, len(t.encode())]), np.frombuffer(t.encode(), np.uint8))[0])
+    clean = " ".join(rng.choice(other) + rng.choice(other) for _ in range(60))
+    assert score(clean + " г-л-у-п-е-ц") > 0.3 and score("г л у п е ц " + clean) > 0.3 and score(clean) < 0.3 and score("") < 0.3
+
+
 def test_base_scores_and_a_better_model(spark, table):
     nouns, verbs = [f"n{i}" for i in range(40)], [f"v{i}" for i in range(40)]
     rows = [(i, " ".join(x for _ in range(rng.randint(0, 12)) for x in (rng.choice(nouns), rng.choice(verbs)))) for i in range(300)] + [(7, "N1\tv1"), (7, "N1\tv1"), (None, "n1 unseenword v2"), (301, None)]

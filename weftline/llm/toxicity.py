@@ -2,32 +2,37 @@
 
 Kernel. Two words are compared by the ordered letter triples they share, adjacent or
 with gaps: a triple that spans s letters weighs DECAY ** s, up to SPAN letters. Letters
-put between those of a word or left out change only some triples; marks and digits
-among them are passed over, so "i-d-i-o-t" is read as "idiot". Runs of three or more
-single-letter words are read as one word as well. The kernel is scaled by each word's
-own weight and sharpened by a power.
+put between those of a word or left out change only some triples. Letters are code
+points: the forms of a to z count as these (wide, mathematical), letters with accents and of
+other scripts fall into OTHERS classes by their number, and what is no letter (marks,
+digits, white space without width) is passed over, so "i-d-i-o-t" and "i·d·i·o·t" are read as
+"idiot". Runs of three or more words of one
+letter are read as one word as well. The kernel is scaled by each word's own weight
+and sharpened by a power, which leaves it a kernel.
 
 Landmarks are words of the training texts: those that mark toxic ones best and do not
-resemble each other too much, and a few ordinary ones. A sentence holds, for each landmark, the largest kernel value among its
-words (every text has an empty sentence besides); the Nystrom map (inverse root of the landmarks' own kernel matrix) turns this
-into coordinates, and a linear SVM separates sentences. Only texts are labelled, so a
-toxic text is trained on through its worst sentence, chosen anew in every round, and
-a clean text through its worst sentence likewise. A text's score is a logistic
-function of its worst sentence's margin, fitted on the training texts.
+resemble each other too much, and a few ordinary ones. The Nystrom map of a word is its
+kernel values with the landmarks times the inverse root of the landmarks' own kernel
+matrix; a linear SVM separates words in these coordinates. Only texts are labelled, so a
+toxic text is trained on through its worst word, chosen anew in every round, and
+a clean text through its worst word likewise (every text has an empty word besides). A
+text's score is a logistic function of its worst word's margin, fitted on the training texts.
 
 Training reads a bounded sample: about PER_CLASS texts of each label, drawn by hash, of
-LONGEST characters at most. Scoring reads every text whole.
+LONGEST characters at most. Scoring reads every text whole, however long.
 
-Null and empty texts score as a sentence without words. Null labels and null ids are not
+Null and empty texts score as a text without words. Null labels and null ids are not
 learned from; of several labels of an id the largest counts. Repeated rows get equal
 scores. Without both labels every text gets the share of toxic labels (0 with no
-labels). Other columns are ignored.
+labels). An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,22 +43,50 @@ from weftline.llm.arrowtext import pieces, words
 from weftline.runtime import small_batches
 
 SPAN, DECAY, POWER = 5, 0.75, 3
-FLOOR = 0.4
 LANDMARKS, PLAIN = 40, 8
-LEAST_LIFT, ALIKE = 1.0, 0.9
+LEAST_LIFT, LEAST_SIGMAS, ALIKE = 1.0, 2.5, 0.9
 PER_CLASS, LONGEST = 1200, 20_000
 ROUNDS, STEPS, COST = 4, 1500, 200.0
 THRESHOLD = 0.3
 PIECE = 2 << 20
 TRAIN_TEXTS = 200
 
+OTHERS = 14
+LETTERS = 26 + OTHERS
+
 _SPACE = b" \t\n\x0b\x0c\r"
 _IN_WORD = np.array([b not in _SPACE for b in range(256)])
-_LETTER = np.full(256, 26, dtype=np.int64)
-_LETTER[97:123] = np.arange(26)
-_LETTER[65:91] = np.arange(26)
-_HEARD = (_LETTER < 26) | (np.arange(256) > 127)  # ASCII marks and digits are passed over, other bytes stand for a foreign letter
-_ENDS = np.array([chr(b) in ".!?\n" for b in range(256)])
+_UNHEARD = -1
+
+
+@cache
+def letter_table() -> np.ndarray:
+    """The letter of each code point up to 0x20000, or _UNHEARD."""
+    out = np.full(0x20000, _UNHEARD, dtype=np.int8)
+    for c in range(len(out)):
+        x = unicodedata.normalize("NFKD", chr(c)).lower() if not 0xD800 <= c < 0xE000 else ""
+        if len(x) == 1 and "a" <= x <= "z":
+            out[c] = ord(x) - 97
+        elif x and unicodedata.category(x[0])[0] == "L":
+            out[c] = 26 + (ord(chr(c).lower()[0]) * 0x9E3779B1 >> 16) % OTHERS
+    return out
+
+
+def heard(raw: np.ndarray) -> np.ndarray:
+    """The letter of the code point that starts at each byte of UTF-8 text; _UNHEARD at all other bytes."""
+    table = letter_table()
+    out = table[:128][np.minimum(raw, 127)]
+    out[raw > 127] = _UNHEARD
+    for low, high, size, bits in ((0xC0, 0xE0, 2, 31), (0xE0, 0xF0, 3, 15), (0xF0, 0xF8, 4, 7)):
+        at = np.flatnonzero((raw >= low) & (raw < high))
+        at = at[at + size <= len(raw)]
+        point = (raw[at] & bits).astype(np.int64)
+        for k in range(1, size):
+            point = point << 6 | raw[at + k] & 63
+        out[at] = np.where(point < len(table), table[np.minimum(point, len(table) - 1)], np.int8(26))
+    return out
+
+
 _GAPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 
 
@@ -62,14 +95,15 @@ def _triples(letters: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray
     n = len(letters)
     for i, j in _GAPS:
         m = max(0, n - j)
-        at, a, b, c = np.arange(m), letters[:m], letters[i : i + m], letters[j : j + m]
-        good = (at + j < stop[:m]) & (a < 26) & (b < 26) & (c < 26)
-        yield at[good], (a[good] * 26 + b[good]) * 26 + c[good], DECAY ** (j + 1)
+        at = np.arange(m)
+        good = at + j < stop[:m]
+        at = at[good]
+        yield at, (letters[at] * LETTERS + letters[at + i]) * LETTERS + letters[at + j], DECAY ** (j + 1)
 
 
 def _heard(word: bytes) -> np.ndarray:
-    own = np.frombuffer(word, np.uint8)
-    return _LETTER[own[_HEARD[own]]]
+    own = heard(np.frombuffer(word, np.uint8))
+    return own[own != _UNHEARD].astype(np.int64)
 
 
 def features(word: bytes) -> dict[int, float]:
@@ -94,28 +128,24 @@ def _likeness(a: bytes, b: bytes) -> float:
 class Landmarks:
     def __init__(self, chosen: list[bytes]) -> None:
         self.words = chosen
-        self.columns = np.zeros((26**3, len(chosen)), np.float32)
-        for k, word in enumerate(chosen):
-            for x, v in features(word).items():
-                self.columns[x, k] = v / own_weight(word)
-        self.known = self.columns.any(axis=1)
+        entries = sorted((x, k, v / own_weight(word)) for k, word in enumerate(chosen) for x, v in features(word).items())
+        triples = np.array([e[0] for e in entries], dtype=np.int64)
+        self.first = np.r_[0, np.cumsum(np.bincount(triples, minlength=LETTERS**3))].astype(np.int32)
+        self.marks, self.values = np.array([e[1] for e in entries], dtype=np.int64), np.array([e[2] for e in entries])
+        self.known = self.first[1:] > self.first[:-1]
         square = np.array([self.of_words(w, np.array([0]), np.array([len(w)]))[1][0] for w in chosen], dtype=float)
         values, vectors = np.linalg.eigh((square + square.T) / 2 + 1e-3 * np.eye(len(chosen)))
         self.root = (vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
 
     def of_words(self, raw: bytes | np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers of the words that count, their kernel values by landmark); words are byte ranges in order that do not overlap.
-
-        The share of a word's weight that lies in triples of any landmark bounds its
-        kernel; words below FLOOR count as unlike all landmarks.
-        """
+        """(numbers of the words with a triple of some landmark, their kernel values by landmark); words are byte ranges in order that do not overlap."""
         raw = np.frombuffer(raw, np.uint8) if isinstance(raw, bytes) else raw
         size = end - start
         owner = np.repeat(np.arange(len(size)), size)
         offset = np.cumsum(size) - size
-        own = raw[np.arange(len(owner)) + np.repeat(start - offset, size)]
-        heard = _HEARD[own]
-        letters, owner = _LETTER[own[heard]], owner[heard]
+        letters = heard(raw[np.arange(len(owner)) + np.repeat(start - offset, size)])
+        there = letters != _UNHEARD
+        letters, owner = letters[there].astype(np.int64), owner[there]
         stop = np.cumsum(np.bincount(owner, minlength=len(size)))[owner]
         weight, shared, hits = np.zeros(len(size)), np.zeros(len(size)), []
         for at, numbers, w in _triples(letters, stop):
@@ -124,62 +154,70 @@ class Landmarks:
             weight += np.bincount(owner[at], minlength=len(size)) * (w * w)
             shared += np.bincount(word, minlength=len(size)) * (w * w)
             hits.append((word, numbers[some], w))
-        live = np.flatnonzero(shared >= FLOOR * FLOOR * np.maximum(weight, 1e-18))
-        place = np.full(len(size), -1)
+        live = np.flatnonzero(shared > 0)
+        place = np.zeros(len(size), np.int64)
         place[live] = np.arange(len(live))
-        sums = np.zeros((len(live), len(self.words)), np.float32)
-        for word, numbers, w in hits:
-            own = place[word]
-            numbers, own = numbers[own >= 0], own[own >= 0]
-            if len(own):
-                heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                sums[own[heads]] += np.float32(w) * np.add.reduceat(self.columns[numbers], heads, axis=0)
-        return live, np.minimum(sums / np.sqrt(weight[live]).astype(np.float32)[:, None], np.float32(1)) ** POWER
+        width = len(self.words)
+        sums = np.zeros(len(live) * width)
+        for word, numbers, w in hits:  # a triple is in few landmarks, so they are added one by one
+            low = self.first[numbers]
+            each = self.first[numbers + 1] - low
+            entry = np.repeat(low - (np.cumsum(each) - each), each) + np.arange(each.sum())
+            sums += np.bincount(np.repeat(place[word], each) * width + self.marks[entry], self.values[entry] * w, len(sums))
+        kernel = sums.reshape(-1, width) / np.sqrt(weight[live])[:, None]
+        return live, np.minimum(kernel, 1).astype(np.float32) ** POWER
 
 
 def _spelled(start: np.ndarray, end: np.ndarray, bound: np.ndarray, raw: np.ndarray) -> list[tuple[int, bytes]]:
-    """(first word's number, letters) of runs of three or more single-letter words."""
-    single = (end - start == 1) & (_LETTER[raw[np.minimum(start, max(len(raw) - 1, 0))]] < 26) if len(start) else np.zeros(0, bool)
-    single = np.r_[False, single, False]
-    edges = np.flatnonzero(single[1:] != single[:-1])
+    """(first word's number, letters) of runs of three or more words of a single letter."""
+    if not len(start):
+        return []
+    lead = raw[start]
+    size = 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0).astype(np.int64)
+    single = end - start == size
+    some = np.flatnonzero(single)
+    first = np.cumsum(size[some]) - size[some]
+    own = raw[np.repeat(start[some] - first, size[some]) + np.arange(size[some].sum())]
+    single[some] = heard(own)[first] != _UNHEARD
+    edges = np.flatnonzero(np.diff(np.r_[False, single, False]))
     found = []
     for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-        cuts = [a, *bound[(bound > a) & (bound < b)].tolist(), b]
-        found += [(x, raw[start[x:y]].tobytes()) for x, y in zip(cuts, cuts[1:]) if y - x >= 3]
+        if b - a >= 3:
+            cuts = [a, *bound[(bound > a) & (bound < b)].tolist(), b]
+            found += [(x, b"".join(raw[s:e].tobytes() for s, e in zip(start[x:y].tolist(), end[x:y].tolist()))) for x, y in zip(cuts, cuts[1:]) if y - x >= 3]
     return found
 
 
-def sentence_values(at: np.ndarray, raw: np.ndarray, marks: Landmarks) -> tuple[np.ndarray, np.ndarray]:
-    """(row, landmark values) of the sentences with a word like some landmark, and of an empty sentence for each row."""
+def word_values(at: np.ndarray, raw: np.ndarray, marks: Landmarks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number, values by number): which different words each row holds, of those with a triple of some
+    landmark, and their kernel values; number 0 is the empty word, which every row holds."""
     n, width = len(at) - 1, len(marks.words)
-    rows, parts = [np.arange(n)], [np.zeros((n, width), np.float32)]
+    rows, numbers, parts = [np.arange(n)], [np.zeros(n, np.int64)], [np.zeros((1, width), np.float32)]
     start, end, hashes, bound = words(at, raw, _IN_WORD)
     if len(start):
         _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
         order = np.argsort(first, kind="stable")
         live, values = marks.of_words(raw, start[first[order]], end[first[order]])
         place = np.full(len(first), -1)
-        place[order[live]] = np.arange(len(live))
+        place[order[live]] = 1 + np.arange(len(live))
         own = place[number]
         token = np.flatnonzero(own >= 0)
-        if len(token):
-            closes = np.zeros(len(start), dtype=np.int64)
-            closes[1:] = _ENDS[raw[end[:-1] - 1]]
-            closes[bound[:-1][np.diff(bound) > 0]] = 1
-            sentence = np.cumsum(closes)[token]
-            cut = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
-            rows.append(np.searchsorted(bound, token[cut], "right") - 1)
-            parts.append(np.maximum.reduceat(values[own[token]], cut, axis=0))
+        rows.append(np.searchsorted(bound, token, "right") - 1)
+        numbers.append(own[token])
+        parts.append(values)
+        total = 1 + len(live)
         for k, letters in _spelled(start, end, bound, raw):
-            found, value = marks.of_words(letters, np.array([0]), np.array([len(letters)]))
-            if len(found):
+            live, value = marks.of_words(letters, np.array([0]), np.array([len(letters)]))
+            if len(live):
                 rows.append(np.searchsorted(bound, [k], "right") - 1)
+                numbers.append(np.array([total]))
                 parts.append(value)
-    return np.concatenate(rows), np.concatenate(parts)
+                total += 1
+    return np.concatenate(rows), np.concatenate(numbers), np.concatenate(parts)
 
 
 def _worst(row: np.ndarray, margin: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(largest margin, its sentence) of each row."""
+    """(largest margin, its word) of each row."""
     order = np.lexsort((-margin, row))
     first = order[np.r_[True, row[order][1:] != row[order][:-1]]]
     return margin[first], first
@@ -222,8 +260,9 @@ class ToxicityModel:
     def scores(self, at: np.ndarray, raw: np.ndarray) -> np.ndarray:
         if self.marks is None:
             return np.full(len(at) - 1, self.prior)
-        row, values = sentence_values(at, raw, self.marks)
-        margin, _ = _worst(row, values @ (self.marks.root @ self.weights[:-1]) + self.weights[-1], len(at) - 1)
+        row, number, values = word_values(at, raw, self.marks)
+        margin = np.full(len(at) - 1, -np.inf)
+        np.maximum.at(margin, row, (values @ (self.marks.root @ self.weights[:-1]) + self.weights[-1])[number])
         return 1 / (1 + np.exp(-np.clip(self.link[0] * margin + self.link[1], -30, 30)))
 
 
@@ -235,6 +274,8 @@ def _choose_landmarks(texts: list[bytes], y: np.ndarray) -> list[bytes]:
     pos, neg = max((y > 0).sum(), 1), max((y <= 0).sum(), 1)
     lift = {w: np.log(((n + 0.5) / pos) / ((outside[w] + 0.5) / neg)) for w, n in inside.items() if n > 1 and own_weight(w) > 0}
     worth = {w: inside[w] * x for w, x in lift.items() if x > LEAST_LIFT}
+    sure = {w: v for w, v in worth.items() if lift[w] > LEAST_SIGMAS * (1 / (inside[w] + 0.5) + 1 / (outside[w] + 0.5)) ** 0.5}
+    worth = sure or worth  # with few labels nothing is sure
     marking: list[bytes] = []
     for w in sorted(worth, key=lambda w: (-worth[w], w))[: 20 * LANDMARKS]:
         if len(marking) < LANDMARKS and all(_likeness(w, x) < ALIKE for x in marking):
@@ -249,19 +290,21 @@ def train(texts: list[bytes], y: np.ndarray, share: float | None = None) -> Toxi
     if not 0 < prior < 1 or not (chosen := _choose_landmarks(texts, y)):
         return ToxicityModel(prior)
     marks = Landmarks(chosen)
-    rows, parts = [], []
+    rows, numbers, parts, held = [], [], [], 0
     for a in range(0, len(texts), TRAIN_TEXTS):
         some = texts[a : a + TRAIN_TEXTS]
-        own, part = sentence_values(np.r_[0, np.cumsum([len(t) for t in some])], np.frombuffer(b"".join(some), np.uint8), marks)
+        own, number, part = word_values(np.r_[0, np.cumsum([len(t) for t in some])], np.frombuffer(b"".join(some), np.uint8), marks)
         rows.append(own + a)
+        numbers.append(number + held)
         parts.append(part)
-    row, values = np.concatenate(rows), np.concatenate(parts)
-    x = values @ marks.root
-    margin = values[:, : max(1, len(chosen) - PLAIN)].max(axis=1)
+        held += len(part)
+    row, number, values = np.concatenate(rows), np.concatenate(numbers), np.concatenate(parts)
+    mapped = values @ marks.root
+    margin = values[:, : max(1, len(chosen) - PLAIN)].max(axis=1)[number]
     for _ in range(ROUNDS):
         _, worst = _worst(row, margin, len(texts))
-        weights = svm(x[worst], y)
-        margin = x @ weights[:-1] + weights[-1]
+        weights = svm(mapped[number[worst]], y)
+        margin = (mapped @ weights[:-1] + weights[-1])[number]
     best, _ = _worst(row, margin, len(texts))
     slope, offset = logistic(best, y)
     if share and 0 < share < 1:
@@ -276,7 +319,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     counts = {r[0]: r[1] for r in labels.groupBy("toxic").count().collect()}  # two rows
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     share = F.when(F.col("toxic") == 1, F.lit(PER_CLASS / max(counts.get(1, 1), 1))).otherwise(F.lit(PER_CLASS / max(counts.get(0, 1), 1)))
-    drawn = labels.filter(h < share * (1 << 20)).orderBy("doc_id").limit(3 * PER_CLASS)
+    drawn = labels.filter(h < share * (1 << 20)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(3 * PER_CLASS)
     few = F.broadcast(drawn)  # 3 * PER_CLASS ids at most
     rows = docs.select("doc_id", "text").filter(F.length("text") <= LONGEST).join(few, "doc_id").select("doc_id", F.lower("text"), "toxic")
     rows = sorted(rows.limit(6 * PER_CLASS).collect(), key=lambda r: (r[0], r[1]))
