@@ -142,10 +142,10 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame) -> ByteNetwork | None:
     """A network from labelled(text, lang); None without labelled text."""
     rows = labelled.select("text", "lang").filter("lang is not null and text is not null and text <> ''")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row per language
+    h = F.xxhash64("text")
+    counts = {r[0]: r[1] for r in rows.select("lang", h.alias("h")).distinct().groupBy("lang").count().collect()}  # one row per language
     if not counts:
         return None
-    h = F.xxhash64("text")
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, PER_LANG / n))]), F.col("lang"))
     drawn = rows.withColumn("h", h).filter(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
     place = F.pmod(F.shiftright("h", 20), F.greatest(F.length("text") - TAKEN, F.lit(1))).cast("int") + 1

@@ -5,9 +5,9 @@ Patterns find e-mail addresses, IPv4 addresses, card numbers and phone numbers (
 
 The tagger is trained on labelled spans: those of `labelled_lines`, which writes all
 kinds in the usual ways into made-up prose, beside numbers of other kinds, and those that
-the patterns find in a bounded sample of the texts themselves, as they stand and with the
-marks altered that patterns rely on (`altered`), so that it learns the kinds in the
-prose at hand. It adds what patterns miss: the four kinds in other spellings, and
+the patterns (and the plainest form of a secret) find in a bounded sample of the texts
+themselves, as they stand and with the marks altered that patterns rely on (`altered`), so
+that it learns the kinds in the prose at hand. It adds what patterns miss: the four kinds in other spellings, and
 secrets (tokens, keys and passwords).
 
 It reads windows of WINDOW characters that overlap by LAP. Where windows overlap, their
@@ -44,7 +44,7 @@ from weftline.runtime import small_batches
 KINDS = ("email", "ip", "card", "phone")
 TAGGED = (*KINDS, "secret")
 WINDOW, LAP, REACH = 96, 32, 40
-TRAIN_LINES, STEPS, SEED = 1500, 260, 9
+TRAIN_LINES, STEPS, SEED = 2500, 400, 9
 FIT_TEXTS, FIT_SPANS = 20_000, 2  # texts that the sample draws, and spans that it takes of each
 DECODED = 256
 
@@ -54,6 +54,7 @@ _IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN, _TOKEN_LEFT, LONGEST_TOKEN = re.compile(r"[A-Za-z0-9_+/=-]*"), re.compile(r"[A-Za-z0-9_+/-]*\Z"), 512
+_SECRET = re.compile(r"(?i)\b(?:token|api_?key|secret|password)\w* ?[:=] ?[\"']([A-Za-z0-9_+/=-]{16,80})[\"']")  # the plainest form, to learn others from
 _AROUND = " \t\n.,;:!?"
 _TRIGGER = np.array([chr(b) in "0123456789@([" for b in range(256)])
 
@@ -168,7 +169,9 @@ def labelled_lines(n: int = TRAIN_LINES, seed: int = SEED) -> list[tuple[str, li
 
 
 def altered(kind: str, body: str, rng: random.Random) -> str:
-    """A pattern's span in a spelling that the pattern does not know."""
+    """A pattern's span in a spelling that the pattern does not know; a secret has no other."""
+    if kind == "secret":
+        return body
     if kind == "email":
         at, dot = rng.choice([(" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), ("[at]", "[dot]"), (" @ ", ".")])
         name, host = body.rsplit("@", 1)
@@ -183,7 +186,7 @@ def altered(kind: str, body: str, rng: random.Random) -> str:
 
 def snippets(text: str, most: int = FIT_SPANS) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """Stretches of a window's length with the patterns' spans in them, around `most` spans that the text itself picks."""
-    spans = sorted(pattern_spans(text), key=lambda s: s[1:])
+    spans = sorted([*pattern_spans(text), *(("secret", *m.span(1)) for m in _SECRET.finditer(text))], key=lambda s: s[1:])
     if not spans:
         return []
     rng = random.Random(len(text) * 31 + spans[0][1])
