@@ -1,4 +1,4 @@
-"""The thin queries op1 to op10 and the pipeline, with their SQL where SQL can say it."""
+"""The thin queries op1 to op13, with their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -126,5 +126,23 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminations(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op5_decontamination": op5_decontamination, "op10_mixing": op10_mixing, "op2_pii": op2_pii, "op3_licenses": op3_licenses, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op7_brown": op7_brown, "op8_suffix_repeats": op8_suffix_repeats, "op9_simhash": op9_simhash}
-ORACLE_SQL: dict[str, str] = {"op1_quality": _op1_sql()}
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm import infill
+
+    made = infill.infilled(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = infill.original(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+_OP11_SQL = """
+with t as (select doc_id, coalesce(text, '') as text, sha256(concat('1:', coalesce(cast(doc_id as varchar), ''))) as h from documents),
+u as (select doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') as w, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2, cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4 from t),
+c as (select *, len(w) as n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) as a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) as b,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from u),
+p as (select *, coalesce(array_to_string(w[:a], ''), '') as pre, coalesce(array_to_string(w[a + 1:b], ''), '') as mid, coalesce(array_to_string(w[b + 1:], ''), '') as suf from c)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then concat('<P>', pre, '<S>', suf, '<M>', mid) else concat('<S>', suf, '<P>', pre, '<M>', mid) end) as output_sha256, sha256(text) as restored_sha256 from p"""
+
+
+QUERIES = {"op1_quality": op1_quality, "op5_decontamination": op5_decontamination, "op10_mixing": op10_mixing, "op2_pii": op2_pii, "op3_licenses": op3_licenses, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op7_brown": op7_brown, "op8_suffix_repeats": op8_suffix_repeats, "op9_simhash": op9_simhash, "op11_infill": op11_infill}
+ORACLE_SQL: dict[str, str] = {"op1_quality": _op1_sql(), "op11_infill": _OP11_SQL}
