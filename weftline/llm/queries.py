@@ -144,5 +144,19 @@ select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix
   sha256(case form when 'plain' then text when 'psm' then concat('<P>', pre, '<S>', suf, '<M>', mid) else concat('<S>', suf, '<P>', pre, '<M>', mid) end) as output_sha256, sha256(text) as restored_sha256 from p"""
 
 
-QUERIES = {"op1_quality": op1_quality, "op5_decontamination": op5_decontamination, "op10_mixing": op10_mixing, "op2_pii": op2_pii, "op3_licenses": op3_licenses, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op7_brown": op7_brown, "op8_suffix_repeats": op8_suffix_repeats, "op9_simhash": op9_simhash, "op11_infill": op11_infill}
+OLD_SHARDS, NEW_SHARDS = 12, 16
+
+
+def op12_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 12 shards by source, as ingestion left them, to 16 of nearly equal bytes."""
+    from weftline.llm import shards
+
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", shards.text_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), shards.old_shard(F.col("source"), OLD_SHARDS).alias("old_shard"))
+    rows = rows.withColumn("__h", F.xxhash64("doc_id", "size", "text_crc32"))
+    placed, _ = shards.layout(rows, "old_shard", "size", ["__h", "doc_id", "text_crc32"], NEW_SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+QUERIES = {"op1_quality": op1_quality, "op5_decontamination": op5_decontamination, "op10_mixing": op10_mixing, "op2_pii": op2_pii, "op3_licenses": op3_licenses, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op7_brown": op7_brown, "op8_suffix_repeats": op8_suffix_repeats, "op9_simhash": op9_simhash, "op11_infill": op11_infill, "op12_resharding": op12_resharding}
 ORACLE_SQL: dict[str, str] = {"op1_quality": _op1_sql(), "op11_infill": _OP11_SQL}
