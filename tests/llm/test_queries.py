@@ -51,7 +51,7 @@ def folder(spark, rows, tmp_path_factory):
 @pytest.fixture(scope="module")
 def bare(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("bare"))
-    for name, schema in (("documents", SCHEMA), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):
+    for name, schema in (("documents", SCHEMA), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int"), ("conversations", "conv_id long, turn long, role string, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{at}/{name}.parquet")
     return at
 

@@ -158,5 +158,46 @@ def op12_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
-QUERIES = {"op1_quality": op1_quality, "op5_decontamination": op5_decontamination, "op10_mixing": op10_mixing, "op2_pii": op2_pii, "op3_licenses": op3_licenses, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op7_brown": op7_brown, "op8_suffix_repeats": op8_suffix_repeats, "op9_simhash": op9_simhash, "op11_infill": op11_infill, "op12_resharding": op12_resharding}
-ORACLE_SQL: dict[str, str] = {"op1_quality": _op1_sql(), "op11_infill": _OP11_SQL}
+def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm import turns
+
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = turns.digests(turns.damaged(conversations)).withColumnRenamed("conv_id", "__id")
+    every = conversations.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("__id")), "left")
+    none = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    return every.select("conv_id", *[x.alias(c) for c, x in none.items()], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def _op13_sql() -> str:
+    """Costs, audits and lines of each state, from the last row to the first; the least of each by cost, then audit."""
+    fitting = (3, 3, 4, 3)  # places in the list of states
+    kept = {1: "case initial when 's' then 2 when 'u' then 3 end", 2: "case initial when 'u' then 3 end", 3: "case initial when 'a' then 4 end", 4: "case initial when 'u' then 3 end"}
+    made = {3: "user:", 4: "assistant:"}
+    item = lambda cost, letter, lines, v: f"{{'c': {cost} + ({v}).c, 'a': '{letter}' || ({v}).a, 'r': list_concat({lines}, ({v}).r)}}"
+    row, put = [], []
+    for q, to in zip(range(1, 5), fitting):
+        delete, keep, rerole = item(3, "D", "[]::varchar[]", f"v[{q}]"), item("cut", "K", "[line]", f"v[{kept[q]}]"), item("2 + cut", "R", f"['{made[to]}' || text]", f"v[{to}]")
+        row.append(f"list_min([{delete}, case when not gone and ({kept[q]}) is not null then {keep} end, case when not gone then {rerole} end])")
+        then = fitting[to - 1]
+        one, two = item(2, "I", f"['{made[to]}']", f"w[{to}]"), item(4, "II", f"['{made[to]}', '{made[then]}']", f"w[{then}]")
+        put.append(f"list_min([w[{q}], {one}, {two}])")
+    return rf"""
+with recursive crc as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)) as t),
+k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, concat(coalesce(cast(conv_id as varchar), ' '), ':', coalesce(cast(turn as varchar), ' ')) as key from conversations),
+c as (select k.*, xor(list_reduce(list_concat([4294967295], list_transform(string_split(key, ''), lambda x: cast(ascii(x) as bigint))), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 20 as case_ from k cross join crc),
+d as (select conv_id, turn, case when case_ = 4 then 'user' else role end as role, case case_ when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case when case_ = 3 then 2 else 1 end)) as copy from c where case_ <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), copy) as i, regexp_replace(text, '[\x20\x09-\x0D]+$', '') as body, substr(role, 1, 1) as initial from d),
+f as (select *, body = '' as blank, body <> '' and row_number() over (partition by conv_id, role, text order by i) > 1 as duplicate, lag(initial) over (partition by conv_id order by i) as before from o),
+r as materialized (select *, blank or duplicate as gone, not blank and not duplicate and right(body, 1) not in ('.', '!', '?') as truncated, cast(not blank and not duplicate and right(body, 1) not in ('.', '!', '?') as int) as cut, role || ':' || text as line from f),
+n as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate, count(*) filter (truncated) as truncated, count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal from r group by conv_id),
+s(conv_id, i, v) as (
+  select conv_id, n + 1, [{{'c': 0, 'a': '', 'r': []::varchar[]}}, {{'c': 4, 'a': 'II', 'r': ['user:', 'assistant:']}}, {{'c': 2, 'a': 'I', 'r': ['assistant:']}}, {{'c': 0, 'a': '', 'r': []::varchar[]}}] from n
+  union all
+  select conv_id, i, [{', '.join(put)}] from (select s.conv_id, r.i, [{', '.join(row)}] as w from s join r on r.conv_id is not distinct from s.conv_id and r.i = s.i - 1)),
+e as (select conv_id, cast(v[1].c as bigint) as cost, v[1].a as audit, sha256(array_to_string(v[1].r, chr(10))) as repaired_sha256 from s where i = 1)
+select x.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost, coalesce(audit, '') as audit, coalesce(repaired_sha256, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) x left join n on n.conv_id is not distinct from x.conv_id left join e on e.conv_id is not distinct from x.conv_id"""
+
+
+QUERIES = {"op1_quality": op1_quality, "op5_decontamination": op5_decontamination, "op10_mixing": op10_mixing, "op2_pii": op2_pii, "op3_licenses": op3_licenses, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op7_brown": op7_brown, "op8_suffix_repeats": op8_suffix_repeats, "op9_simhash": op9_simhash, "op11_infill": op11_infill, "op12_resharding": op12_resharding, "op13_turns": op13_turns}
+ORACLE_SQL: dict[str, str] = {"op1_quality": _op1_sql(), "op11_infill": _OP11_SQL, "op13_turns": _op13_sql()}
