@@ -1,5 +1,6 @@
 import itertools
 import random
+from collections import Counter
 
 import pytest
 
@@ -22,7 +23,38 @@ def members(spark, clusters):
     ],
 )
 def test_id_matching(spark, old, new, threshold, expected):
-    assert identity.match_ids(members(spark, new), members(spark, old), 99, threshold) == expected
+    assert {r.new_id: r.stable_id for r in identity.match_ids(members(spark, new), members(spark, old), 99, threshold).collect()} == expected
+
+
+def test_ties_and_fresh_ids(spark):
+    new, old = members(spark, {3: "ab", 4: "cd", 9: "xy", 8: "pq"}), members(spark, {7: "abcd"})
+    assert {r.new_id: r.stable_id for r in identity.match_ids(new, old, 50).collect()} == {3: 7, 4: 50, 8: 51, 9: 52}
+
+
+def test_twenty_thousand_clusters(spark):
+    rng = random.Random(4)
+    now, then = [], []
+    for c in range(20_000):  # most lose or gain a member, some are halved, some join the next one
+        own = [f"m{c}-{i}" for i in range(rng.randint(2, 6))]
+        then += [(m, c) for m in own]
+        kind = rng.random()
+        now += [(m, 3 * c + (kind < 0.1 and i % 2) - 3 * (kind > 0.95 and c > 0)) for i, m in enumerate(own)] + [(f"n{c}", 3 * c)]
+    schema = "locality string, cluster_id int"
+    got = {r.new_id: r.stable_id for r in identity.match_ids(spark.createDataFrame(now, schema), spark.createDataFrame(then, schema), 10**6).collect()}
+    size, before, shared = Counter(c for _, c in now), Counter(c for _, c in then), Counter()
+    home = dict(then)
+    for m, c in now:
+        if m in home:
+            shared[c, home[m]] += 1
+    pairs = sorted(((n * 10**9 // (size[c] + before[o] - n), c, o) for (c, o), n in shared.items() if 2 * n >= size[c] + before[o] - n), key=lambda x: (-x[0], x[1:]))
+    expected, used = {}, set()
+    for _, c, o in pairs:  # groups are stars: the heaviest pair first is best
+        if c not in expected and o not in used:
+            expected[c] = o
+            used.add(o)
+    for k, c in enumerate(sorted(set(size) - set(expected))):
+        expected[c] = 10**6 + k
+    assert got == expected
 
 
 def test_matching_has_the_largest_weight():

@@ -84,35 +84,6 @@ def token_sort_ratio(a: str, b: str) -> float:
     return 100.0 if not a and not b else 200.0 * common_length(a, b) / (len(a) + len(b))
 
 
-def canonical_names(raw_in_order: list[str], threshold: float = FUZZY_THRESHOLD) -> dict[str, str]:
-    """Canonical name of each distinct raw name, in order of first sight.
-
-    Sequential by its nature: what is canonical depends on what came before. A length
-    ratio under threshold / (200 - threshold) rules a pair out before it is compared.
-    """
-    plain = lambda x: re.sub(DIACRITICS, "", re.sub(r"\s+", " ", unicodedata.normalize("NFC", x.strip()))).translate(str.maketrans(*LETTER_VARIANTS))
-    known: dict[str, str] = {}
-    out: dict[str, str] = {}
-    least = threshold / (200 - threshold)
-    for raw in raw_in_order:
-        if raw in out:
-            continue
-        key = plain(raw)
-        if key in known:
-            out[raw] = known[key]
-            continue
-        best, score = None, threshold
-        for other in known:
-            if min(len(key), len(other)) >= least * max(len(key), len(other), 1):
-                s = token_sort_ratio(key, other)
-                if s > score or s == score and best is None:
-                    best, score = other, s
-        out[raw] = known[best] if best is not None else raw
-        if best is None:
-            known[key] = raw
-    return out
-
-
 def cleaned_zone(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(line, r"^[\s\-–—ـ]+", ""), r"\s+$", "")
 

@@ -13,9 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pyspark.sql.window import Window
-
 from weftline.operators.components import connected_components
+from weftline.operators.ranks import running
 from weftline.runtime import materialize
 
 
@@ -87,5 +86,5 @@ def cluster_replicates(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def clusters_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(locality, cluster_id): communities numbered by their least member."""
     found = cluster_replicates(edges.withColumn("replicate", F.lit(0)), nodes.select(F.lit(0).alias("replicate"), "locality"))
-    ids = found.select("cluster").distinct().withColumn("cluster_id", F.rank().over(Window.orderBy("cluster")) - 1)  # one row per community
-    return found.join(ids, "cluster").select("locality", F.col("cluster_id").cast("long").alias("cluster_id"))
+    ids = running(found.select("cluster").distinct(), [F.col("cluster")])
+    return found.join(ids, "cluster").select("locality", (F.col("rank") - 1).alias("cluster_id"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.config import CONFIG, JACCARD_SCALE, STABILITY_LOOKBACK_DAYS
+from weftline.operators.components import connected_components
+from weftline.operators.ranks import running
+from weftline.runtime import materialize
 
 
 def recent_days(history: DataFrame, n: int) -> list[str]:
@@ -81,25 +85,37 @@ def best_matching(weights: list[list[int]]) -> list[int]:
     return out
 
 
-def match_ids(new: DataFrame, old: DataFrame, next_id: int, threshold: float = CONFIG.min_id_inheritance_jaccard) -> dict[int, int]:
-    """Stable id of each new cluster: inherited by the matching of most weight among eligible pairs, else the next free id.
-
-    The eligible pairs come to the driver; with a threshold of one half a cluster has
-    two at most, so they are as few as the clusters.
-    """
-    eligible = [(r.new_id, r.old_id, r.weight) for r in overlaps(new, old).filter(F.col("similarity") >= threshold).collect()]
-    news = sorted(r[0] for r in new.select("cluster_id").distinct().collect())
-    olds = sorted({o for _, o, _ in eligible})
-    table = [[0] * len(olds) for _ in news]
-    for n, o, w in eligible:
-        table[news.index(n)][olds.index(o)] = w
-    ids = {}
-    for n, j in zip(news, best_matching(table)):
-        if j >= 0:
-            ids[n] = olds[j]
-        else:
-            ids[n], next_id = next_id, next_id + 1
-    return ids
+def matched(eligible: DataFrame) -> DataFrame:
+    """(new_id, old_id) of the matching of most weight in eligible(new_id, old_id, weight); of several of
+    equal weight the one with the first pairs, in order of new_id and old_id.
+
+    Pairs that share no cluster, directly or through others, do not concern each other: each connected group
+    is matched by itself. From a threshold of one half on, a group has three clusters at most,
+    since both of a cluster's partners are then halves of it."""
+    nodes = eligible.select((F.col("new_id") * 2).cast("long").alias("u"), (F.col("old_id") * 2 + 1).cast("long").alias("v"))
+    parts = connected_components(nodes)
+    grouped = eligible.select("new_id", "old_id", "weight", (F.col("new_id") * 2).cast("long").alias("node")).join(parts, "node")
+
+    def solve(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["new_id", "old_id"])
+        news, olds = sorted(set(own.new_id)), sorted(set(own.old_id))
+        row, column = {n: i for i, n in enumerate(news)}, {o: j for j, o in enumerate(olds)}
+        table = [[0] * len(olds) for _ in news]
+        for k, (n, o, w) in enumerate(zip(own.new_id, own.old_id, own.weight)):
+            table[row[n]][column[o]] = (int(w) << len(own)) + (1 << (len(own) - 1 - k))  # the earlier pair outweighs all later ones
+        found = [(n, olds[j]) for n, j in zip(news, best_matching(table)) if j >= 0]
+        return pd.DataFrame(found, columns=["new_id", "old_id"])
+
+    kinds = dict(eligible.dtypes)
+    return grouped.groupBy("component").applyInPandas(solve, f"new_id {kinds['new_id']}, old_id {kinds['old_id']}")
+
+
+def match_ids(new: DataFrame, old: DataFrame, next_id: int, threshold: float = CONFIG.min_id_inheritance_jaccard) -> DataFrame:
+    """(new_id, stable_id): each new cluster's id is inherited by the matching of most weight among eligible pairs, else the next free one in order of new_id."""
+    inherited = materialize(matched(overlaps(new, old).filter(F.col("similarity") >= threshold).select("new_id", "old_id", "weight")), "matched")
+    rest = new.select(F.col("cluster_id").alias("new_id")).distinct().join(inherited, "new_id", "left_anti")
+    fresh = running(rest, [F.col("new_id")]).select("new_id", (F.col("rank") + (next_id - 1)).cast("long").alias("stable_id"))
+    return inherited.select("new_id", F.col("old_id").cast("long").alias("stable_id")).unionByName(fresh)
 
 
 def lineage(new: DataFrame, old: DataFrame, inherited: DataFrame, threshold: float = CONFIG.min_id_inheritance_jaccard) -> DataFrame:

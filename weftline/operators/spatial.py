@@ -8,10 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.window import Window
 
 from weftline.config import CANDIDATE_RADIUS_KM, CANDIDATE_WEIGHTS, CONFIG, COUNTRY_LATITUDES, COUNTRY_LONGITUDES, EARTH_RADIUS_KM, MIN_CANDIDATE_COMPLETENESS, PERTURBATION_FACTORS, PILOT_BOX
 from weftline.operators.components import connected_components
+from weftline.operators.ranks import running
 from weftline.runtime import materialize
 
 KM_PER_DEGREE = math.pi * EARTH_RADIUS_KM / 180
@@ -112,7 +112,7 @@ def topology_components(assets: DataFrame, lines: DataFrame) -> DataFrame:
 
 def numbered(components: DataFrame) -> DataFrame:
     """Components numbered by their least member."""
-    order = components.select("root").distinct().withColumn("component", (F.row_number().over(Window.orderBy("root")) - 1).cast("long"))
+    order = running(components.select("root").distinct(), [F.col("root")]).select("root", (F.col("rank") - 1).alias("component"))
     return components.join(order, "root").select("element", "component")
 
 
@@ -154,22 +154,13 @@ def score(weights: dict[str, float] = CANDIDATE_WEIGHTS) -> Column:
     return first
 
 
-def _shared_ranks(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """Rank by (-score, asset_id). Scores are counted by value first, so only the distinct
-    scores of a key are ordered together, and rows only within their score."""
-    scored = materialize(scored, "scored")
-    values = scored.groupBy(*keys, "score").agg(F.count("*").alias("k"))
-    above = F.sum("k").over(Window.partitionBy(*keys).orderBy(F.desc("score"))) - F.col("k")
-    own = F.row_number().over(Window.partitionBy(*keys, "score").orderBy("asset_id"))
-    return scored.withColumn("own", own).join(values.withColumn("above", above), [*keys, "score"]).withColumn("rank", (F.col("above") + F.col("own")).cast("long")).drop("own", "above", "k")
-
-
 def ranked(features: DataFrame) -> DataFrame:
-    return _shared_ranks(features.withColumn("score", F.round(score(), 9)).withColumn("p", F.lit(0)), ["p"]).drop("p")
+    """features with score and rank, by (-score, asset_id)."""
+    return running(features.withColumn("score", F.round(score(), 9)), [F.desc("score"), F.col("asset_id")])
 
 
 def rank_sensitivity(features: DataFrame) -> DataFrame:
     """(asset_id, best_rank, worst_rank) over all perturbations of the weights."""
     scores = F.array(*[F.struct(F.lit(i).alias("p"), F.round(score(w), 9).alias("score")) for i, (_, w) in enumerate(perturbations())])
-    every = features.select("asset_id", F.inline(scores))
-    return _shared_ranks(every, ["p"]).groupBy("asset_id").agg(F.min("rank").alias("best_rank"), F.max("rank").alias("worst_rank"))
+    every = running(features.select("asset_id", F.inline(scores)), [F.desc("score"), F.col("asset_id")], group=["p"])
+    return every.groupBy("asset_id").agg(F.min("rank").alias("best_rank"), F.max("rank").alias("worst_rank"))

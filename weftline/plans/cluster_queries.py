@@ -2,9 +2,9 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from weftline.operators import identity, validation
+from weftline.operators.ranks import running
 from weftline.plans.registry import query
 from weftline.sources.views import Views
 
@@ -69,18 +69,21 @@ def lineage(v: Views) -> DataFrame:
     return identity.lineage(new, old, own).withColumn("similarity", F.round("similarity", 8))
 
 
-@query("q_id_matching")
+# two eligible partners of a cluster are its halves, so groups are stars and a pair is matched if it comes first on both sides
+_MATCHED = f"{_OVER}, w as (select *, (shared * 1000000000) // either as weight from ov where similarity >= 0.5), mm as (select new_id, old_id from (select *, row_number() over (partition by new_id order by weight desc, old_id) as i, row_number() over (partition by old_id order by weight desc, new_id) as j from w) where i = 1 and j = 1)"
+
+
+@query("q_id_matching", f"with {_MATCHED}, top as (select max(cluster_id) as top from fx_hist) select new_id, old_id as stable_id from mm union all select cluster_id, top + row_number() over (order by cluster_id) from (select distinct cluster_id from cur where cluster_id not in (select new_id from mm)) cross join top")
 def id_matching(v: Views) -> DataFrame:
     new, old = identity.day(v.history), identity.day(v.history, 1)
-    ids = identity.match_ids(new, old, 1 + (v.history.agg(F.max("cluster_id")).first()[0] or 0))
-    return v.spark.createDataFrame(sorted(ids.items()), "new_id int, stable_id long")
+    return identity.match_ids(new, old, 1 + (v.history.agg(F.max("cluster_id")).first()[0] or 0))
 
 
 @query("q_allocate_ids", f"with {_DAYS} select cluster_id, (select max(cluster_id) from fx_hist) + row_number() over (order by cluster_id) as allocated from (select distinct cluster_id from cur)")
 def allocate_ids(v: Views) -> DataFrame:
     top = v.history.agg(F.max("cluster_id").alias("top"))
-    new = identity.day(v.history).select("cluster_id").distinct().crossJoin(top)  # one row
-    return new.select("cluster_id", (F.col("top") + F.row_number().over(Window.orderBy("cluster_id"))).cast("long").alias("allocated"))  # one row per cluster
+    new = running(identity.day(v.history).select("cluster_id").distinct(), [F.col("cluster_id")]).crossJoin(top)  # one row
+    return new.select("cluster_id", (F.col("top") + F.col("rank")).cast("long").alias("allocated"))
 
 
 @query("q_cluster_points", f"with {_DAYS}, p as (select 'u' || cast(k as varchar) as locality, lat, lng from fx_locality_xy) select c.locality, c.cluster_id, round(lat, 6) as lat, round(lng, 6) as lng from cur c join p using (locality)")

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
+from weftline.operators.names import canonical_names
 from weftline.plans.registry import query
 from weftline.sources.views import Views
 
@@ -105,13 +106,25 @@ def exact_canonical(v: Views) -> DataFrame:
     return keyed.join(first, "key").select("p_partkey", "canonical")
 
 
-@query("q_fuzzy_canonical")
+_NORMAL = "translate(regexp_replace(regexp_replace(trim(nfc_normalize({}), ' ' || chr(9) || chr(10) || chr(13)), '[ \\t\\n\\r]+', ' ', 'g'), '[ؐ-ًؚ-ْٰۖ-ۭـ]', '', 'g'), 'أإآة', 'اااه')"
+#: names in order, linked by the Indel ratio of their sorted tokens (common subsequences by bits), decided one after the other
+_CANONICAL = f"""n as (select p_name, min(p_partkey) as first, {_NORMAL.format('p_name')} as key from part where p_name is not null group by p_name),
+k as materialized (select *, row_number() over (order by first) as id, length(t) as len, (1::hugeint << length(t)) - 1 as full_ from (select key, min(first) as first, arg_min(p_name, first) as raw, array_to_string(list_sort(string_split(trim(key), ' ')), ' ') as t from n group by key)),
+c as materialized (select a.id as u, b.id as v, a.t as tu, b.t as tv, a.full_ as full_, a.len + b.len as both_ from k a join k b on a.id < b.id where levenshtein(a.t, b.t) <= 0.1 * (a.len + b.len) + 1e-9),
+m as (select *, list_reduce(list_concat([full_], list_transform(string_split(tv, ''), lambda x: list_sum(list_transform(range(1, length(tu) + 1), lambda j: case when tu[j] = x then 1::hugeint << (j - 1) else 0::hugeint end))::hugeint)), lambda r, h: (((r + (r & h)) | (r - (r & h))) & full_)) as bits from c),
+links as materialized (select u, v, score from (select u, v, 200.0::double * (length(tu) - bit_count(bits)) / both_ as score from m) where score >= 90),
+near as (select v, list(u) as us, row_number() over (order by v) as s from links group by v),
+decided(s, gone) as (select 0::bigint, []::bigint[] union all select near.s, case when len(list_filter(us, lambda x: not list_contains(gone, x))) > 0 then list_append(gone, near.v) else gone end from decided join near on near.s = decided.s + 1),
+gone as (select unnest(arg_max(gone, s)) as id from decided),
+ends as (select u, v, score from links union all select v, u, score from links),
+chosen as (select n.p_name, arg_max(o.raw, {{'s': score, 'i': -o.id}}) as canonical from n join k on k.key = n.key join ends on ends.v = k.id join k o on o.id = ends.u where k.id in (select id from gone) and o.id not in (select id from gone) and o.first < n.first group by n.p_name)"""
+
+
+@query("q_fuzzy_canonical", f"with recursive {_CANONICAL} select p_partkey, p.p_name, coalesce(chosen.canonical, k.raw) as canonical from part p join n on n.p_name = p.p_name join k on k.key = n.key left join chosen on chosen.p_name = p.p_name")
 def fuzzy_canonical(v: Views) -> DataFrame:
-    """Distinct names come to the driver in order of first sight; they are a vocabulary, not the facts."""
-    names = v.raw("part").groupBy("p_name").agg(F.min("p_partkey").alias("first")).orderBy("first")
-    found = tx.canonical_names([r[0] for r in names.collect()])
-    alias = v.spark.createDataFrame(sorted(found.items()), "p_name string, canonical string")
-    return v.raw("part").join(alias, "p_name").select("p_partkey", "p_name", "canonical")
+    names = v.raw("part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("first"))
+    found = canonical_names(names).withColumnRenamed("name", "p_name")
+    return v.raw("part").join(found, "p_name").select("p_partkey", "p_name", "canonical")
 
 
 @query("q_date_normalize", "select notice_id, outage_date as iso from fx_parses")
