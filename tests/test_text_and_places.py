@@ -1,5 +1,6 @@
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,38 @@ def test_polygons_hold_their_boundary(spark):
     assert found == {"edge": (None, True), "in": ("sq", False), "both": (None, True), "out": (None, False)}
 
 
+def test_polygons_equal_a_walk_around_them(spark):
+    rng = random.Random(8)
+    areas = {}
+    for k in range(9):  # many sides, holes, a ring that is closed and one that is not
+        x, y = rng.randint(0, 30) / 10, rng.randint(0, 30) / 10
+        turn = sorted(rng.random() * 6.283 for _ in range(rng.randint(3, 70)))
+        shell = [[round(x + math.cos(t) * rng.choice([0.5, 1.0, 1.3]), 1), round(y + math.sin(t) * rng.choice([0.5, 1.0, 1.3]), 1)] for t in turn]
+        hole = [[x - 0.2, y - 0.2], [x + 0.2, y - 0.2], [x + 0.2, y + 0.2], [x - 0.2, y + 0.2]]
+        areas[f"a{k}"] = [shell + shell[:1] if k % 2 else shell, hole][: 1 + k % 3]
+    areas["flat"] = [[[0.0, 1.0], [2.0, 1.0], [1.0, 1.0]]]
+    areas["none"] = [[[0.0, 0.0]]]
+    points = [(f"p{i}", i % 61 / 10 - 1, i // 61 / 10 - 1) for i in range(61 * 61)] + [("twice", 0.5, 0.5), ("twice", 0.5, 0.5), ("nowhere", None, 1.0)]
+
+    def inside(rings, x, y):
+        odd = False
+        for ring in rings:
+            for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+                if (x - x1) * (y2 - y1) == (y - y1) * (x2 - x1) and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+                    return True
+                if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                    odd = not odd
+        return odd
+
+    df = spark.createDataFrame(list(areas.items()), "area_id string, rings array<array<array<double>>>")
+    got = sorted(repr(tuple(r)) for r in sp.containing_area(spark.createDataFrame(points, "locality string, lat double, lng double"), df).collect())
+    expected = []
+    for name, lat, lng in points:
+        found = [] if lat is None else [k for k, r in areas.items() if sum(map(len, r)) > 2 and inside(r, lng, lat)]
+        expected.append(repr((name, lat, lng, found[0] if len(found) == 1 else None, len(found) > 1)))
+    assert got == sorted(expected)
+
+
 def test_perturbations():
     all_ = sp.perturbations()
     assert len(all_) == 13 and all(math.isclose(sum(w.values()), 1) for _, w in all_)

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
 from weftline.config import CANDIDATE_RADIUS_KM, CANDIDATE_WEIGHTS, CONFIG, COUNTRY_LATITUDES, COUNTRY_LONGITUDES, EARTH_RADIUS_KM, MIN_CANDIDATE_COMPLETENESS, PERTURBATION_FACTORS, PILOT_BOX
 from weftline.operators.components import connected_components
@@ -53,40 +51,54 @@ def nearest_within(points: DataFrame, targets: DataFrame, key: str, order: str)
     return own.agg(F.min(F.struct(d.alias("d"), F.col(f"t_{order}").alias(order))).alias("x")).select(*points.columns, f"x.{order}", "x.d")
 
 
-def covers(rings: Column, lng: Column, lat: Column) -> Column:
-    """Whether a polygon (rings of (lng, lat), the first its shell) holds a point; its boundary counts."""
-
-    def inside(own: list, x: float, y: float) -> bool:
-        odd = False
-        for ring in own:
-            for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
-                if (x - x1) * (y2 - y1) == (y - y1) * (x2 - x1) and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
-                    return True
-                if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
-                    odd = not odd
-        return odd
-
-    @arrow_udf("boolean")
-    def of(r: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([None if a is None or b is None or c is None else inside(a, b, c) for a, b, c in zip(r.to_pylist(), x.to_pylist(), y.to_pylist())], pa.bool_())
-
-    return of(rings, lng, lat)
+def banded_edges(areas: DataFrame, per_band: int = 8, most_bands: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(boxes, edges) of areas(area_id, rings), rings as lists of (lng, lat), the first a shell, the others holes.
+
+    A box is cut into bands of latitude, the more the more edges it has; an edge stands in each band that it
+    touches, so a point meets the edges of its own band only, and each of them once. Rings are
+    closed if they are not. Ids are unique; areas of fewer than three points hold nothing."""
+    ring = areas.select("area_id", F.explode("rings").alias("ring"))
+    following = F.concat(F.slice("ring", F.lit(2), F.greatest(F.size("ring") - 1, F.lit(0))), F.slice("ring", 1, 1))
+    sides = ring.select("area_id", F.explode(F.arrays_zip(F.col("ring").alias("p"), following.alias("q"))).alias("e"))
+    xy = lambda end, i: F.get(F.col(f"e.{end}"), F.lit(i))
+    sides = sides.select("area_id", xy("p", 0).alias("x1"), xy("p", 1).alias("y1"), xy("q", 0).alias("x2"), xy("q", 1).alias("y2"))
+    ends = [F.min("x1").alias("west"), F.max("x1").alias("east"), F.min("y1").alias("south"), F.max("y1").alias("north")]
+    bands = F.least(F.greatest(F.ceil(F.col("n") / per_band), F.lit(1)), F.lit(most_bands)).cast("int")
+    boxes = sides.groupBy("area_id").agg(*ends, F.count("*").alias("n")).filter("n > 2").withColumn("bands", bands).drop("n")
+    spread = sides.join(boxes.select("area_id", "south", "north", "bands"), "area_id")
+    spread = spread.withColumn("band", F.explode(F.sequence(_band(F.least("y1", "y2")), _band(F.greatest("y1", "y2")))))
+    return boxes, spread.select("area_id", "band", "x1", "y1", "x2", "y2")
+
+
+def _band(lat: Column) -> Column:
+    """The band of a latitude inside a box; it never falls as the latitude rises."""
+    own = F.floor(F.try_divide((lat - F.col("south")) * F.col("bands"), F.col("north") - F.col("south")))
+    return F.least(F.greatest(F.coalesce(own, F.lit(0)), F.lit(0)), F.col("bands") - 1).cast("int")
+
+
+def held(points: DataFrame, areas: DataFrame) -> DataFrame:
+    """(lng, lat, area_id) of the distinct places of points and the areas that hold them; a boundary counts, of holes too.
+
+    Boxes are dealt to whole-degree cells, so that only boxes near a point are tried; then the edges of the point's band are
+    joined by area and band. A point is on an edge, or inside where an odd number of edges lies to its east."""
+    boxes, edges = banded_edges(areas)
+    cells = lambda a, b: F.explode(F.sequence(F.floor(a).cast("int"), F.floor(b).cast("int")))
+    dealt = boxes.withColumn("cx", cells("west", "east")).withColumn("cy", cells("south", "north"))
+    spots = points.select("lng", "lat").filter("lng is not null and lat is not null").distinct()
+    near = spots.withColumns({"cx": F.floor("lng").cast("int"), "cy": F.floor("lat").cast("int")}).join(dealt, ["cx", "cy"])
+    near = near.filter(F.col("lng").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north")))
+    met = near.select("lng", "lat", "area_id", _band(F.col("lat")).alias("band")).join(edges, ["area_id", "band"])
+    x, y, x1, y1, x2, y2 = map(F.col, ("lng", "lat", "x1", "y1", "x2", "y2"))
+    on = ((x - x1) * (y2 - y1) == (y - y1) * (x2 - x1)) & x.between(F.least(x1, x2), F.greatest(x1, x2)) & y.between(F.least(y1, y2), F.greatest(y1, y2))
+    crossed = ((y1 > y) != (y2 > y)) & (x < F.try_divide((x2 - x1) * (y - y1), y2 - y1) + x1)
+    found = met.groupBy("lng", "lat", "area_id").agg(F.bool_or(on).alias("on"), F.count_if(crossed).alias("crossed"))
+    return found.filter(F.col("on") | (F.col("crossed") % 2 == 1)).select("lng", "lat", "area_id")
 
 
 def containing_area(points: DataFrame, areas: DataFrame) -> DataFrame:
-    """(point columns, area_id, ambiguous): the only area that holds a point, null if none or several do.
-
-    areas(area_id, rings) is a list of administrative areas; its boxes are dealt to whole-degree
-    cells, so that only boxes near a point are tried.
-    """
-    flat, xs = F.flatten("rings"), lambda i: F.transform(F.flatten("rings"), lambda p: F.get(p, F.lit(i)))
-    boxed = areas.withColumns({"x1": F.array_min(xs(0)), "x2": F.array_max(xs(0)), "y1": F.array_min(xs(1)), "y2": F.array_max(xs(1))}).filter(F.size(flat) > 2)
-    cells = lambda a, b: F.sequence(F.floor(a).cast("int"), F.floor(b).cast("int"))
-    boxed = boxed.withColumn("cx", F.explode(cells("x1", "x2"))).withColumn("cy", F.explode(cells("y1", "y2")))
-    joined = points.withColumns({"cx": F.floor("lng").cast("int"), "cy": F.floor("lat").cast("int")}).join(boxed, ["cx", "cy"])
-    held = joined.filter(F.col("lng").between(F.col("x1"), F.col("x2")) & F.col("lat").between(F.col("y1"), F.col("y2"))).filter(covers(F.col("rings"), F.col("lng"), F.col("lat")))
-    found = held.groupBy("locality").agg(F.min("area_id").alias("area"), F.count("*").alias("n"))
-    return points.join(found, "locality", "left").select(*points.columns, F.when(F.col("n") == 1, F.col("area")).alias("area_id"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("ambiguous"))
+    """(point columns, area_id, ambiguous): the only area that holds a point, null if none or several do, or a coordinate is missing."""
+    found = held(points, areas).groupBy("lng", "lat").agg(F.min("area_id").alias("area"), F.count("*").alias("n"))
+    return points.join(found, ["lng", "lat"], "left").select(*points.columns, F.when(F.col("n") == 1, F.col("area")).alias("area_id"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("ambiguous"))
 
 
 def unit_quarantine(units: DataFrame) -> DataFrame:

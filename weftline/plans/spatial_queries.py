@@ -36,6 +36,37 @@ def point_in_bbox(v: Views) -> DataFrame:
     return sp.containing_area(v.assets.select(F.col("asset_id").alias("locality"), "lat", "lng"), areas).select("locality", "area_id", "ambiguous")
 
 
+#: a comb with two notches and a square hole, in hundredths of a degree from its corner
+_COMB = [[(0, 0), (60, 0), (60, 50), (45, 50), (45, 20), (35, 30), (25, 50), (10, 50), (10, 25), (0, 40)], [(15, 5), (30, 5), (30, 15), (15, 15)]]
+_CORNER = "34.1::double + (n_nationkey * 17 % 90) / 100", "9.85::double + (n_nationkey * 29 % 120) / 100"
+
+
+def _combs(v: Views) -> DataFrame:
+    """One polygon for each nation; some reach into each other."""
+    k = F.col("n_nationkey")
+    south, west = 34.1 + (k * 17 % 90) / 100, 9.85 + (k * 29 % 120) / 100
+    rings = F.array(*[F.array(*[F.array(west + F.lit(x) / 100, south + F.lit(y) / 100) for x, y in ring]) for ring in _COMB])
+    return v.raw("nation").select(F.concat(F.lit("area-"), k.cast("string")).alias("area_id"), rings.alias("rings"))
+
+
+_SIDES = ", ".join(f"({x1}, {y1}, {x2}, {y2})" for ring in _COMB for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]))
+_HELD = f"""side as (select concat('area-', cast(n_nationkey as varchar)) as area_id, {_CORNER[1]}::double + a / 100::double as x1, {_CORNER[0]}::double + b / 100::double as y1, {_CORNER[1]}::double + c / 100::double as x2, {_CORNER[0]}::double + d / 100::double as y2 from nation cross join (values {_SIDES}) s(a, b, c, d)),
+held as (select asset_id, area_id from (select asset_id, area_id, bool_or((lng - x1) * (y2 - y1) = (lat - y1) * (x2 - x1) and lng between least(x1, x2) and greatest(x1, x2) and lat between least(y1, y2) and greatest(y1, y2)) as edge,
+  count(*) filter ((y1 > lat) <> (y2 > lat) and lng < (x2 - x1) * (lat - y1) / (y2 - y1) + x1) as crossed from fx_assets cross join side group by asset_id, area_id) where edge or crossed % 2 = 1)"""
+
+
+@query("q_points_in_polygons", f"with {_HELD} select a.asset_id as locality, case when count(area_id) = 1 then min(area_id) end as area_id, count(area_id) > 1 as ambiguous from fx_assets a left join held h on h.asset_id = a.asset_id group by a.asset_id")
+def points_in_polygons(v: Views) -> DataFrame:
+    """Assets in areas that are not convex and have holes; many lie on a boundary."""
+    return sp.containing_area(v.assets.select(F.col("asset_id").alias("locality"), "lat", "lng"), _combs(v)).select("locality", "area_id", "ambiguous")
+
+
+@query("q_area_counts", f"with {_HELD} select area_id, count(*) as assets from held group by area_id")
+def area_counts(v: Views) -> DataFrame:
+    spots = v.assets.select("asset_id", "lat", "lng")
+    return spots.join(sp.held(spots, _combs(v)), ["lng", "lat"]).groupBy("area_id").agg(F.count("*").alias("assets"))
+
+
 @query("q_nearest_unit", "select locality, unit_id from (select locality, unit_id, row_number() over (partition by locality order by sqrt(pow(l.lat - u.lat, 2) + pow(l.lng - u.lng, 2)), unit_id) as i from fx_locality_xy l join fx_units u on u.governorate = l.governorate where u.lat is not null) where i = 1")
 def nearest_unit(v: Views) -> DataFrame:
     return sp.nearest_within(v.places.select("locality", "governorate", "lat", "lng"), v.units, "governorate", "unit_id").select("locality", "unit_id")
