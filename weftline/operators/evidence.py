@@ -36,17 +36,17 @@ def geographic_confidence(unit_a: Column, unit_b: Column, conf_a: Column, conf_b
 
 
 def pair_observations(obs: DataFrame, parses: DataFrame, context: DataFrame, config: ModelConfig = CONFIG) -> DataFrame:
-    a, b = obs.alias("a"), obs.alias("b")
+    """Pairs within a scope. Units and parses are joined to the observations, before there are pairs, so pairs are not shuffled."""
+    place = context.select(F.col("locality").alias("canonical_name"), F.col("service_unit_id").alias("unit"), F.col("spatial_confidence").alias("conf"))
+    placed = obs.join(place, "canonical_name", "left")
+    a, b = placed.join(parses, "notice_id").alias("a"), placed.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in SCOPE]
     pairs = a.join(b, [*same, F.col("a.canonical_name") < F.col("b.canonical_name")])
-    pairs = pairs.select(*[F.col(f"a.{c}") for c in (*SCOPE, "scope_name")], F.col("a.canonical_name").alias("locality_a"), F.col("b.canonical_name").alias("locality_b"))
-    pairs = pairs.join(parses, "notice_id")
-    for side in "ab":
-        pairs = pairs.join(context.select(F.col("locality").alias(f"locality_{side}"), F.col("service_unit_id").alias(f"unit_{side}"), F.col("spatial_confidence").alias(f"conf_{side}")), f"locality_{side}", "left")
     return pairs.select(
-        *SCOPE, "scope_name", "outage_date", "locality_a", "locality_b", parse_confidence(F.col("parse_status"), config).alias("parse_c"), scope_confidence(F.col("scope_kind"), config).alias("scope_c"),
-        F.lit(config.canonicalization_confidence).alias("canon_c"), F.when(F.col("outage_date").isNotNull(), 1.0).alias("temporal_c"),
-        geographic_confidence(*map(F.col, ("unit_a", "unit_b", "conf_a", "conf_b"))).alias("geo_c"),
+        *[F.col(f"a.{c}") for c in (*SCOPE, "scope_name", "outage_date")], F.col("a.canonical_name").alias("locality_a"), F.col("b.canonical_name").alias("locality_b"),
+        parse_confidence(F.col("a.parse_status"), config).alias("parse_c"), scope_confidence(F.col("a.scope_kind"), config).alias("scope_c"),
+        F.lit(config.canonicalization_confidence).alias("canon_c"), F.when(F.col("a.outage_date").isNotNull(), 1.0).alias("temporal_c"),
+        geographic_confidence(*map(F.col, ("a.unit", "b.unit", "a.conf", "b.conf"))).alias("geo_c"),
     )
 
 

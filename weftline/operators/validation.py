@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.config import CONFIG, ModelConfig
+from weftline.operators import delta
 from weftline.operators import evidence as ev
 from weftline.operators.community import cluster_replicates, clusters_of
 from weftline.runtime import materialize
@@ -31,14 +32,19 @@ def without_largest(df: DataFrame, pairs: DataFrame) -> DataFrame:
     return df.join(largest_notice(pairs).select("notice_id"), "notice_id", "left_anti")
 
 
-def ablations(obs: DataFrame, pairs: DataFrame) -> dict[str, DataFrame]:
-    """Edges of the three ablations, built by the one edge builder."""
-    edges, marg, total = ev.edge_inputs(pairs), ev.marginals(obs), ev.notice_total(obs)
-    less_obs, less_pairs = without_largest(obs, pairs), without_largest(pairs, pairs)
+def ablations(obs: DataFrame, pairs: DataFrame) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """(edges, marginals) of the three ablations. Pairs are read once, for the sums by notice; what the largest notice
+    brought to them is subtracted."""
+    means = materialize(delta.notice_means(pairs), "means")
+    whole = delta.sums_of_means(obs, means)
+    whole = delta.Sums(materialize(whole.daily, "daily"), materialize(whole.marginals, "marginals"), whole.total)  # read by all three
+    largest = means.groupBy("notice_id").agg(F.sum("observations").alias("n")).orderBy(F.desc("n"), "notice_id").limit(1).select("notice_id")
+    own = [df.join(F.broadcast(largest), "notice_id", "left_semi") for df in (obs, means)]  # one row
+    less = delta.together(whole, delta.sums_of_means(*own, sign=-1))
     return {
-        "raw": ev.gated(ev.weighted_edges(edges, marg, total, plain=True)),
-        "min_dates_plus_one": ev.gated(ev.weighted_edges(edges, marg, total), CONFIG.min_edge_distinct_dates + 1),
-        "largest_notice_removed": ev.gated(ev.weighted_edges(ev.edge_inputs(less_pairs), ev.marginals(less_obs), ev.notice_total(less_obs))),
+        "raw": (ev.gated(delta.weighted(whole, plain=True)), whole.marginals),
+        "min_dates_plus_one": (ev.gated(delta.weighted(whole), CONFIG.min_edge_distinct_dates + 1), whole.marginals),
+        "largest_notice_removed": (ev.gated(delta.weighted(less)), less.marginals),
     }
 
 
@@ -150,8 +156,7 @@ def validation_report(obs: DataFrame, pairs: DataFrame, parses: DataFrame, build
     trained = clustered(ev.gated(ev.weighted_edges(ev.edge_inputs(early), ev.marginals(seen), ev.notice_total(seen))), ev.marginals(seen))
     row = row.crossJoin(holdout_recall(trained, late.select("locality_a", "locality_b").distinct()).select(F.col("recall").alias("held_out_edge_recall")))  # single rows from here
     names = {"raw": "raw_cooccurrence_baseline", "largest_notice_removed": "largest_notice_removed_agreement", "min_dates_plus_one": "config_sensitivity_agreement"}
-    for variant, own in ablations(obs, pairs).items():
-        others = ev.marginals(without_largest(obs, pairs)) if variant == "largest_notice_removed" else marg
+    for variant, (own, others) in ablations(obs, pairs).items():
         row = row.crossJoin(rand_index(member(full), member(clustered(own, others))).select(F.col("agreement").alias(names[variant])))
     figures = ["mean_membership_agreement", "held_out_edge_recall", *names.values()]
     row = row.select(F.lit(build).alias("build_id"), F.lit(config.version).alias("config_version"), F.lit(config.random_seed).alias("random_seed"), F.lit(config.bootstrap_runs).alias("bootstrap_runs"), *[F.round(c, 8).alias(c) for c in figures], F.lit(None).cast("double").alias("geography_baseline"), F.lit(None).cast("double").alias("service_unit_baseline"))

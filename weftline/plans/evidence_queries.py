@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.functions import text as tx
+from weftline.operators import delta
 from weftline.operators import evidence as ev
 from weftline.operators import readiness, validation
 from weftline.plans import sqlviews
@@ -21,6 +22,18 @@ def weighted_edges(v: Views) -> DataFrame:
     return rounded(ev.gated(v.weighted), "ppmi", "weight").select("locality_a", "locality_b", "notice_count", F.col("dd").alias("distinct_dates"), "ppmi", "weight")
 
 
+@query("q_incremental_edges", "select locality_a, locality_b, notice_count, dd, round(ppmi, 8) as ppmi, round(weight, 8) as weight from fx_w")
+def incremental_edges(v: Views) -> DataFrame:
+    """Today's edges, from an earlier build that lacked some notices and some lines of others, and the changes since."""
+    key = F.col("notice_id") % 20
+    earlier = ev.observations(v.localities.filter((key != 1) & ~((key == 0) & (F.col("line") == 1))))
+    paired = lambda obs: (obs, ev.pair_observations(obs, v.parses, v.context))
+    changed = lambda obs: obs.filter(key.isin(0, 1))
+    before, held = changed(earlier), delta.sums(*paired(earlier))
+    own = delta.together(held, delta.sums(*paired(before), sign=-1), delta.sums(*paired(changed(v.observations))))
+    return rounded(delta.weighted(own), "ppmi", "weight").select("locality_a", "locality_b", "notice_count", "dd", "ppmi", "weight")
+
+
 @query("q_unweighted_edges", f"select locality_a, locality_b, round(weight, 8) as weight from ({sqlviews.weighted('fx_edges', 'fx_marg', 'fx_n', True)}) where dd >= 2 and weight > 0")
 def unweighted_edges(v: Views) -> DataFrame:
     plain = ev.weighted_edges(v.edges, v.marginals, ev.notice_total(v.observations), plain=True)
@@ -134,9 +147,8 @@ def exclude_notice(v: Views) -> DataFrame:
     f" union all select 'largest_notice_removed', locality_a, locality_b, round(weight, 8) from ({_ABLATED}) where dd >= 2 and weight > 0",
 )
 def ablation_edges(v: Views) -> DataFrame:
-    parts = validation.ablations(v.observations, v.settled_pairs)
     out = None
-    for name, edges in parts.items():
+    for name, (edges, _) in validation.ablations(v.observations, v.pairs).items():
         own = rounded(edges, "weight").select(F.lit(name).alias("variant"), "locality_a", "locality_b", "weight")
         out = own if out is None else out.unionByName(own)
     return out
