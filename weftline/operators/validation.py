@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql.window import Window
 from weftline.config import CONFIG, ModelConfig
 from weftline.operators import delta
 from weftline.operators import evidence as ev
-from weftline.operators.community import cluster_replicates, clusters_of
+from weftline.operators.community import cluster_replicates, modularity
 from weftline.runtime import materialize
 
 
@@ -141,26 +142,41 @@ DEFINITIONS = {
 }
 
 
+#: figures of a clustering that need no draws, and what they are called in a report
+_ABLATED = {"raw": "raw_cooccurrence_baseline", "largest_notice_removed": "largest_notice_removed_agreement", "min_dates_plus_one": "config_sensitivity_agreement"}
+
+
+def cluster_readings(obs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row: clusters, modularity, held_out_edge_recall of the clusters of the training dates, and the agreement of all dates' clusters with those of each ablation.
+
+    All graphs are clustered together, as replicates."""
+    edges, marg = materialize(ev.gated(ev.weighted_edges(ev.edge_inputs(pairs), ev.marginals(obs), ev.notice_total(obs))), "edges"), ev.marginals(obs)
+    days = temporal_split(pairs.select("outage_date"))
+    early, late = (ev.restricted(pairs, days.filter(F.col("part") == p)) for p in ("train", "holdout"))
+    seen = obs.join(early.select("notice_id").distinct(), "notice_id", "left_semi")
+    seen_marg = ev.marginals(seen)
+    graphs = {"full": (edges, marg), "train": (ev.gated(ev.weighted_edges(ev.edge_inputs(early), seen_marg, ev.notice_total(seen))), seen_marg), **ablations(obs, pairs)}
+    numbered = [(F.lit(k).alias("replicate"), *g) for k, g in enumerate(graphs.values())]
+    both = [reduce(DataFrame.unionByName, dfs) for dfs in ([e.select(k, "locality_a", "locality_b", "weight") for k, e, _ in numbered], [m.select(k, "locality") for k, _, m in numbered])]
+    parts = materialize(cluster_replicates(*both), "parts")
+    part = {name: parts.filter(F.col("replicate") == k).select("locality", "cluster") for k, name in enumerate(graphs)}
+    member = lambda name: part[name].withColumnRenamed("locality", "member")
+    row = part["full"].agg(F.countDistinct("cluster").alias("clusters")).crossJoin(modularity(edges, part["full"]))  # single rows from here
+    row = row.crossJoin(holdout_recall(part["train"], late.select("locality_a", "locality_b").distinct()).select(F.col("recall").alias("held_out_edge_recall")))
+    for variant, name in _ABLATED.items():
+        row = row.crossJoin(rand_index(member("full"), member(variant)).select(F.col("agreement").alias(name)))
+    return row
+
+
 def validation_report(obs: DataFrame, pairs: DataFrame, parses: DataFrame, build: str, config: ModelConfig = CONFIG) -> DataFrame:
     """One row: the figures of a build's clustering, why a figure is missing, and all of it as JSON.
 
     Baselines of geography and of service units are not measured, by definition of the report."""
-    clustered = lambda edges, marg: clusters_of(edges, marg.select("locality")).withColumnRenamed("cluster_id", "cluster")
-    edges, marg, total = ev.edge_inputs(pairs), ev.marginals(obs), ev.notice_total(obs)
-    full = materialize(clustered(ev.gated(ev.weighted_edges(edges, marg, total)), marg), "full")
-    member = lambda p: p.select(F.col("locality").alias("member"), "cluster")
-    row = bootstrap(obs, pairs, parses, config.bootstrap_runs, config.random_seed).agg(F.avg("agreement").alias("mean_membership_agreement"))
-    train = temporal_split(pairs.select("outage_date"))
-    early, late = (ev.restricted(pairs, train.filter(F.col("part") == p)) for p in ("train", "holdout"))
-    seen = obs.join(early.select("notice_id").distinct(), "notice_id", "left_semi")
-    trained = clustered(ev.gated(ev.weighted_edges(ev.edge_inputs(early), ev.marginals(seen), ev.notice_total(seen))), ev.marginals(seen))
-    row = row.crossJoin(holdout_recall(trained, late.select("locality_a", "locality_b").distinct()).select(F.col("recall").alias("held_out_edge_recall")))  # single rows from here
-    names = {"raw": "raw_cooccurrence_baseline", "largest_notice_removed": "largest_notice_removed_agreement", "min_dates_plus_one": "config_sensitivity_agreement"}
-    for variant, (own, others) in ablations(obs, pairs).items():
-        row = row.crossJoin(rand_index(member(full), member(clustered(own, others))).select(F.col("agreement").alias(names[variant])))
-    figures = ["mean_membership_agreement", "held_out_edge_recall", *names.values()]
+    drawn = bootstrap(obs, pairs, parses, config.bootstrap_runs, config.random_seed).agg(F.avg("agreement").alias("mean_membership_agreement"))
+    row = drawn.crossJoin(cluster_readings(obs, pairs))  # single rows
+    figures = ["mean_membership_agreement", "held_out_edge_recall", *_ABLATED.values()]
     row = row.select(F.lit(build).alias("build_id"), F.lit(config.version).alias("config_version"), F.lit(config.random_seed).alias("random_seed"), F.lit(config.bootstrap_runs).alias("bootstrap_runs"), *[F.round(c, 8).alias(c) for c in figures], F.lit(None).cast("double").alias("geography_baseline"), F.lit(None).cast("double").alias("service_unit_baseline"))
-    why = {"mean_membership_agreement": "no replicate shared two localities with the full partition", "held_out_edge_recall": "no held-out pair has both localities in training", **dict.fromkeys(names.values(), "fewer than two shared localities")}
+    why = {"mean_membership_agreement": "no replicate shared two localities with the full partition", "held_out_edge_recall": "no held-out pair has both localities in training", **dict.fromkeys(_ABLATED.values(), "fewer than two shared localities")}
     row = row.withColumn("unmeasured", F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(f"{c}: {why[c]}")) for c in figures])))
     told = F.create_map(*[F.lit(x) for item in sorted(DEFINITIONS.items()) for x in item])
     return row.withColumn("report", F.to_json(F.struct(*sorted(row.columns), told.alias("definitions"))))

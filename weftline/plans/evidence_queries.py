@@ -263,7 +263,54 @@ def activation_guards(v: Views) -> DataFrame:
     return readiness.activation_guards(v.parses, v.observations, v.settled_pairs, ev.edge_inputs(v.settled_pairs))
 
 
-@query("q_clusters")
+def _components(name: str, edges: str, nodes: str) -> str:
+    """CTEs that end in name(locality, cluster): localities and the least of those they are linked to.
+
+    On the given tables each community is all of a component, so SQL can follow the links; communities inside one
+    are held to a plain version in tests/test_community.py."""
+    return (
+        f"{name}_l as (select locality_a as u, locality_b as v from ({edges}) union select locality_b, locality_a from ({edges})), "
+        f"{name}_r(u, v) as (select locality, locality from ({nodes}) union select r.u, l.v from {name}_r r join {name}_l l on l.u = r.v), {name} as (select u as locality, min(v) as cluster from {name}_r group by u)"
+    )
+
+
+_GATED = "select locality_a, locality_b, weight from {} where dd >= 2 and weight > 0"
+_TRAINED = f"(select * from fx_obs where notice_id in (select notice_id from fx_pairs where outage_date in {_EARLY}))"
+_TRAINED_MARG = f"(select canonical_name as locality, count(distinct notice_id) as n from {_TRAINED} group by canonical_name)"
+_TRAINED_W = sqlviews.weighted(f"({sqlviews.edges('(select * from fx_pairs where outage_date in ' + _EARLY + ')')})", _TRAINED_MARG, f"(select count(distinct notice_id) as n_total from {_TRAINED})")
+_READINGS = ", ".join([
+    f"full_w as materialized ({_GATED.format('fx_w')})", _components("whole", "select * from full_w", "select locality from fx_marg"),
+    _components("plain", _GATED.format(f"({sqlviews.weighted('fx_edges', 'fx_marg', 'fx_n', True)})"), "select locality from fx_marg"), _components("fewer", "select locality_a, locality_b from fx_w where dd >= 3 and weight > 0", "select locality from fx_marg"),
+    f"less_w as materialized ({_GATED.format(f'({_ABLATED})')})", _components("less", "select * from less_w", f"select distinct canonical_name as locality from {_WITHOUT['fx_obs']}"),
+    f"trained_w as materialized ({_GATED.format(f'({_TRAINED_W})')})", _components("trained", "select * from trained_w", f"select distinct canonical_name as locality from {_TRAINED}"),
+    f"held as (select distinct locality_a, locality_b from fx_pairs where outage_date is not null and outage_date not in {_EARLY})",
+    "ends as (select c.cluster, sum(weight) as d from (select locality_a as locality, weight from full_w union all select locality_b, weight from full_w) join whole c using (locality) group by c.cluster)",
+])
+_AGREE = "(select round(avg(case when (a.cluster = b.cluster) = (x.cluster = y.cluster) then 1.0::double else 0.0::double end), 8) from whole a join whole b on a.locality < b.locality join {0} x on x.locality = a.locality join {0} y on y.locality = b.locality)"
+
+
+@query(
+    "q_cluster_readings",
+    f"with recursive {_READINGS} select (select count(distinct cluster) from whole) as clusters, (select round(sum(case when a.cluster = b.cluster then weight else 0 end) / sum(weight) - (select sum(d * d) from ends) / (4 * sum(weight) * sum(weight)), 8) from full_w join whole a on a.locality = locality_a join whole b on b.locality = locality_b) as modularity, "
+    "(select round(count(*) filter (a.cluster = b.cluster) / count(*)::double, 8) from held join trained a on a.locality = locality_a join trained b on b.locality = locality_b) as held_out_edge_recall, "
+    f"{_AGREE.format('plain')} as raw_cooccurrence_baseline, {_AGREE.format('less')} as largest_notice_removed_agreement, {_AGREE.format('fewer')} as config_sensitivity_agreement",
+)
+def cluster_readings(v: Views) -> DataFrame:
+    found = validation.cluster_readings(v.observations, v.settled_pairs)
+    return rounded(found, *[c for c in found.columns if c != "clusters"])
+
+
+@query("q_planted_inconsistencies", "select locality_a, locality_b, planted from (select case when k = 3 then locality_b else locality_a end as locality_a, case when k = 3 then locality_a else locality_b end as locality_b, case k when 0 then n_total + 1 when 1 then 0 else notice_count end as planted, n_total from (select *, cast(substr(locality_a, 7) as int) % 5 as k from fx_edges cross join fx_n)) left join fx_marg ma on ma.locality = locality_a left join fx_marg mb on mb.locality = locality_b where planted > least(ma.n, mb.n) or planted <= 0 or locality_a >= locality_b")
+def planted_inconsistencies(v: Views) -> DataFrame:
+    """Edges some of which were given too many notices, none, or their ends the wrong way round."""
+    k = F.substring("locality_a", 7, 9).cast("int") % 5
+    total = ev.notice_total(v.observations)
+    edges = v.edges.withColumn("k", k).crossJoin(total.withColumnRenamed("n_total", "top"))  # one row
+    turned = edges.select(F.when(F.col("k") == 3, F.col("locality_b")).otherwise(F.col("locality_a")).alias("locality_a"), F.when(F.col("k") == 3, F.col("locality_a")).otherwise(F.col("locality_b")).alias("locality_b"), F.when(F.col("k") == 0, F.col("top") + 1).when(F.col("k") == 1, 0).otherwise(F.col("notice_count")).alias("notice_count"))
+    return ev.inconsistencies(turned, v.marginals, total).select("locality_a", "locality_b", F.col("notice_count").alias("planted"))
+
+
+@query("q_clusters", f"with recursive {_components('whole', _GATED.format('fx_w'), 'select locality from fx_marg')} select locality, dense_rank() over (order by cluster) - 1 as cluster_id from whole")
 def clusters(v: Views) -> DataFrame:
     from weftline.operators.community import clusters_of
 
