@@ -1,13 +1,12 @@
 """Rollbacks, runs, builds, imports, contracts, fetching and outputs."""
 
 import json
-import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from weftline import runtime
-from weftline.operators import contracts, lifecycle, readiness, state, validation
+from weftline.operators import contracts, lifecycle, readiness, serving, state, validation
 from weftline.sources import fetch, loaders, sinks
 
 
@@ -113,15 +112,6 @@ def test_retries_and_isolated_failures(spark):
     assert sorted(r.html for r in came.collect()) == ["aa", "cc"] and [r.url for r in failed.collect()] == ["bad"]
 
 
-def test_crawl_ends_where_nothing_is_new():
-    shown = {1: ["a", "b"], 2: ["b", "c", "k"], 3: ["k"], 4: ["d"]}
-    asked = []
-    assert list(fetch.crawl(lambda p: asked.append(p) or shown.get(p, []), {"k"})) == ["a", "b", "c"] and asked == [1, 2, 3]
-    assert len(list(fetch.crawl(lambda p: [f"x{p}"], set()))) == fetch.MOST_PAGES
-    waits = []
-    assert fetch.geocoded(["p", "q", "p"], {"p": (1.0, 2.0)}.get, sleep=waits.append) == [("p", 1.0, 2.0)] and waits == [1.0]
-
-
 def test_outputs(spark, tmp_path):
     a, b = frame(spark, "k long, v string", (1, "é"), (2, "y")), frame(spark, "k long, v string", (2, "z"))
     sinks.json_document(str(tmp_path / "x.json"), rows=a.orderBy("k"), name="n")
@@ -141,19 +131,6 @@ def test_listing_and_manifest(spark, tmp_path):
     assert sources.count() == 1 and artifacts.count() == 2 and [r.path for r in unknown.collect()] == ["b.csv"]
 
 
-def test_ids_and_locks_under_many_callers(tmp_path):
-    ids, taken = state.IdAllocator(str(tmp_path / "ids"), 5), []
-    work = [threading.Thread(target=lambda: taken.append(ids.reserve(3))) for _ in range(20)]
-    [t.start() for t in work]
-    [t.join() for t in work]
-    assert sorted(taken) == list(range(5, 65, 3))
-    lock, won = str(tmp_path / "lock"), []
-    assert state.JobLock(lock).acquire("old", 10, now=0.0)
-    work = [threading.Thread(target=lambda k=k: won.append(k) if state.JobLock(lock).acquire(f"o{k}", 10, now=100.0) else None) for k in range(20)]
-    [t.start() for t in work]
-    [t.join() for t in work]
-    assert len(won) == 1 and not state.JobLock(lock).acquire("late", 10, now=105.0)
-
 
 def test_a_cluster_needs_a_shared_folder(monkeypatch):
     class Conf:
@@ -192,3 +169,25 @@ def test_builds_from_the_shell(spark, tmp_path, capsys):
     main(["recluster", root, data, "2026-07-01"])
     said = capsys.readouterr().out.split("\n")
     assert said[0] == "dry run: active build none" and said[1].startswith("activated ") and said[2:4] == ["activated", "present"]
+
+
+def test_registered_artifacts_do_not_change(spark):
+    schema = "source_id string, path string, sha256 string, size_bytes long"
+    before = frame(spark, schema, ("s", "a", "1", 1), ("s", "b", "2", 2), ("s", "c", "3", 3), ("s", "d", None, None), (None, None, "4", 4))
+    now = frame(spark, schema, ("s", "a", "1", 1), ("s", "b", "9", 2), ("s", "c", "3", 9), ("s", "new", "5", 5), (None, None, "4", 4))
+    assert {(r.path, r.reason) for r in contracts.artifact_changes(before, now).collect()} == {("b", "checksum_changed"), ("c", "size_changed"), ("d", "artifact_removed")}
+
+
+def test_cleaning_goes_in_batches_and_does_not_fail(spark):
+    rows = frame(spark, "id long, at long", *[(i, i // 3) for i in range(11)])
+    batches = serving.deletion_batches(rows, "at", "id", 4)
+    gone = []
+    assert serving.clean(batches, lambda df: gone.append(sorted(r.id for r in df.collect()))) == (3, None) and gone == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 10]]
+    calls = []
+
+    def broken(df):
+        calls.append(df.count())
+        if len(calls) == 2:
+            raise OSError("locked")
+
+    assert serving.clean(batches, broken) == (1, "OSError: locked") and serving.clean(batches.limit(0), broken) == (0, None)

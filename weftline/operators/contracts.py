@@ -63,3 +63,13 @@ def transitions(states: DataFrame) -> DataFrame:
 def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """Children whose parent does not exist."""
     return children.join(parents.select(key).distinct(), key, "left_anti")
+
+
+def artifact_changes(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(source_id, path, reason) of artifacts(source_id, path, sha256, size_bytes) that were registered and are not as they were.
+
+    A registered artifact is never changed: other content takes another path. New ones have no row. Null paths and sources compare as equal."""
+    there = now.select(F.col("source_id").alias("__s"), F.col("path").alias("__p"), F.col("sha256").alias("__h"), F.col("size_bytes").alias("__b"), F.lit(True).alias("__there"))
+    both = before.join(there, F.col("source_id").eqNullSafe(F.col("__s")) & F.col("path").eqNullSafe(F.col("__p")), "left")
+    rules = ((F.col("__there").isNull(), "artifact_removed"), (~F.col("sha256").eqNullSafe(F.col("__h")), "checksum_changed"), (~F.col("size_bytes").eqNullSafe(F.col("__b")), "size_changed"))
+    return both.withColumn("reason", first_reason(*rules)).filter("reason is not null").select("source_id", "path", "reason")

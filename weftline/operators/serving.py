@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import base64
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.config import GOVERNORATES, RETAIN_EVENT_DAYS, RETAIN_JOB_DAYS
+from weftline.config import CONFIG, GOVERNORATES, RETAIN_EVENT_DAYS, RETAIN_JOB_DAYS, RETENTION_BATCH, ModelConfig
+from weftline.operators.ranks import running
+from weftline.runtime import materialize
 
 #: fixed values
 EVENT_TYPES = ("job_started", "page_started", "page_completed", "notice_imported", "job_failed")
@@ -86,6 +89,32 @@ def retained(jobs: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return jobs.crossJoin(job_now).filter(~old).drop("__now"), kept.drop("__now")  # single rows
 
 
+def deletion_batches(expired: DataFrame, time: str, key: str, size: int = RETENTION_BATCH) -> DataFrame:
+    """expired with `batch`, from 0, of `size` rows at most, oldest first."""
+    return running(expired, [F.col(time).asc_nulls_first(), F.col(key)]).withColumn("batch", F.floor((F.col("rank") - 1) / size)).drop("rank")
+
+
+def clean(batches: DataFrame, delete: Callable[[DataFrame], None]) -> tuple[int, str | None]:
+    """Delete the batches one after the other: (batches deleted, why it stopped). The job that cleans up does not fail with
+    it; what is left is found expired again by the next one. Batches are not collected, only their count is."""
+    batches = materialize(batches, "expired", ("batch",))
+    last = batches.agg(F.max("batch")).first()[0]
+    for number in range(0 if last is None else last + 1):
+        try:
+            delete(batches.filter(F.col("batch") == number).drop("batch"))
+        except Exception as e:  # whatever the caller's store raises
+            return number, f"{type(e).__name__}: {e}"
+    return 0 if last is None else last + 1, None
+
+
+def data_floor(notices: Column, localities: Column, config: ModelConfig = CONFIG) -> Column:
+    """How far the evidence is from what a first model needs."""
+    met = (notices >= config.min_total_notices) & (localities >= config.min_localities)
+    return F.struct(
+        notices.alias("notices_so_far"), F.lit(config.min_total_notices).alias("notices_needed"), localities.alias("localities_so_far"), F.lit(config.min_localities).alias("localities_needed"), met.alias("data_floor_met")
+    )
+
+
 def timelines(events: DataFrame) -> DataFrame:
     """(job_id, events, timeline) of the known event types."""
     known = events.filter(F.col("event_type").isin(*EVENT_TYPES))

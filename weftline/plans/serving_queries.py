@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.config import GOVERNORATES, RETAIN_EVENT_DAYS, RETAIN_JOB_DAYS
-from weftline.operators import readiness, serving
+from weftline.config import GOVERNORATES, RETAIN_EVENT_DAYS, RETAIN_JOB_DAYS, RETENTION_BATCH
+from weftline.operators import contracts, readiness, serving
 from weftline.plans.registry import query
 from weftline.sources.views import Views
 
@@ -128,6 +128,30 @@ def retention(v: Views) -> DataFrame:
     return jobs.agg(F.count("*").alias("kept")).select(F.lit("jobs").alias("kind"), "kept").unionByName(events.agg(F.count("*").alias("kept")).select(F.lit("events").alias("kind"), "kept"))
 
 
+@query("q_retention_batches", f"select batch, count(*) as rows, min(id) as first_id from (select id, (row_number() over (order by occurred_at, id) - 1) // {RETENTION_BATCH} as batch from fx_job_events where occurred_at < (select max(occurred_at) from fx_job_events) - interval 10 day) group by batch")
+def retention_batches(v: Views) -> DataFrame:
+    """Batches in which events of more than ten days would go, oldest first."""
+    now = v.job_events.agg(F.max("occurred_at").alias("now"))
+    old = v.job_events.crossJoin(now).filter(F.col("occurred_at") < F.col("now") - F.expr("interval 10 days")).drop("now")  # one row
+    return serving.deletion_batches(old, "occurred_at", "id").groupBy("batch").agg(F.count("*").alias("rows"), F.min("id").alias("first_id"))
+
+
+@query("q_data_floor", "select (select count(distinct notice_id) from fx_obs) as notices_so_far, 30 as notices_needed, (select count(*) from fx_marg) as localities_so_far, 10 as localities_needed, (select count(distinct notice_id) from fx_obs) >= 30 and (select count(*) from fx_marg) >= 10 as data_floor_met")
+def data_floor(v: Views) -> DataFrame:
+    one = v.observations.agg(F.countDistinct("notice_id").alias("n"), F.countDistinct("canonical_name").alias("l"))
+    return one.select(serving.data_floor(F.col("n"), F.col("l")).alias("x")).select("x.*")
+
+
+@query("q_artifact_changes", "with b as (select l_orderkey as source_id, cast(l_linenumber as varchar) as path, sha256(max(l_comment)) as sha256, count(*) as size_bytes from (select l_orderkey, l_linenumber, concat(l_returnflag, l_shipdate) as l_comment from lineitem) group by 1, 2) select source_id, path, case when source_id % 7 = 0 then 'artifact_removed' when source_id % 11 = 0 then 'checksum_changed' else 'size_changed' end as reason from b where source_id % 7 = 0 or source_id % 11 = 0 or source_id % 13 = 0")
+def artifact_changes(v: Views) -> DataFrame:
+    """Registered artifacts of which some were removed, rewritten or cut since."""
+    lines = v.raw("lineitem").select(F.col("l_orderkey").alias("source_id"), F.col("l_linenumber").cast("string").alias("path"), F.concat("l_returnflag", F.col("l_shipdate").cast("string")).alias("body"))
+    before = lines.groupBy("source_id", "path").agg(F.sha2(F.max("body"), 256).alias("sha256"), F.count("*").alias("size_bytes"))
+    s = F.col("source_id")
+    now = before.filter(s % 7 != 0).withColumns({"sha256": F.when(s % 11 == 0, F.sha2("sha256", 256)).otherwise(F.col("sha256")), "size_bytes": F.when(s % 13 == 0, F.col("size_bytes") - 1).otherwise(F.col("size_bytes"))})
+    return contracts.artifact_changes(before, now)
+
+
 @query("q_job_timeline", "select job_id, count(*) as events, string_agg(event_type, '>' order by occurred_at, id) as timeline from fx_job_events where event_type in ('job_started', 'page_started', 'page_completed', 'notice_imported', 'job_failed') group by job_id")
 def job_timeline(v: Views) -> DataFrame:
     return serving.timelines(v.job_events)

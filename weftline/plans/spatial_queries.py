@@ -7,6 +7,7 @@ from weftline.config import CANDIDATE_WEIGHTS, PILOT_BOX
 from weftline.operators import spatial as sp
 from weftline.operators.lifecycle import candidate_status
 from weftline.plans.registry import query
+from weftline.sources.fetch import misses
 from weftline.sources.views import Views
 
 _KM = "2 * 6371.0088::double * asin(least(1.0::double, sqrt(pow(sin((radians(l.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(l.lat)) * pow(sin((radians(l.lng) - radians(a.lng)) / 2), 2))))"
@@ -153,3 +154,10 @@ def pending_geocode(v: Views) -> DataFrame:
     """Localities that the cache of found positions does not hold; what was looked up in vain is not in it."""
     cache = v.places.filter("k % 2 = 0 and spatial_confidence > 0").select("locality")
     return v.places.select("locality").join(cache, "locality", "left_anti")
+
+
+@query("q_geocode_misses", "select distinct s_name as name from lineitem join supplier on s_suppkey = l_suppkey where s_name not in (select s_name from supplier join lineitem on l_suppkey = s_suppkey where l_orderkey % 400 = 0)")
+def geocode_misses(v: Views) -> DataFrame:
+    """Names that lines mention and the cache, filled by earlier lookups for a few of the lines, does not hold."""
+    named = v.raw("lineitem").join(v.raw("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return misses(named.select(F.col("s_name").alias("name")), named.filter("l_orderkey % 400 = 0").select(F.col("s_name").alias("name")).distinct())

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as tx
 from weftline.operators.names import canonical_names
 from weftline.plans.registry import query
+from weftline.sources.fetch import crawl
 from weftline.sources.views import Views
 
 
@@ -30,6 +31,27 @@ def crawl_fresh_links(v: Views) -> DataFrame:
     return split.filter("page_id > mid").join(known, "slug", "left_anti").groupBy("slug").agg(F.min("page_id").alias("first_page"))
 
 
+_LINKS = """regexp_extract_all(html, 'href="([^"]*)"', 1)"""
+
+
+@query(
+    "q_crawl",
+    f"with s as (select page, link, min(i) as place from (select page_id as page, unnest({_LINKS}) as link, generate_subscripts({_LINKS}, 1) - 1 as i from pages) group by page, link), f as (select link, min(struct_pack(p := page, i := place)) as w from s group by link), e as (select min(page_id) as ended from pages where page_id not in (select w.p from f)) select w.p as page, w.i as place, link as id from f cross join e where (ended is null or w.p < ended) and link not in (select url from pages)",
+)
+def crawl_links(v: Views) -> DataFrame:
+    """Links that the pages show for the first time, up to the first page that shows none, without those of pages we hold."""
+    shown = v.raw("pages").select(F.col("page_id").alias("page"), tx.page_links(F.col("html")).alias("ids"))
+    return crawl(shown, v.raw("pages").select(F.col("url").alias("id"))).withColumn("place", F.col("place").cast("long"))
+
+
+@query("q_table_zones", "select page_id, scope, header, ordinal, zone from (select page_id, 0 as scope, concat('جهة ', string_split(url, '/')[3]) as header, 0 as ordinal, url as zone from pages where url <> '' union all select page_id, 0, concat('جهة ', string_split(url, '/')[3]), 1, concat('page ', cast(page_id as varchar)) from pages union all select page_id, 1, null, 0, cast(page_id as varchar) from pages)")
+def table_zones(v: Views) -> DataFrame:
+    """Zones of notices whose localities stand in the cells of a table, the first cell under a header."""
+    region = F.get(F.split("url", "/"), F.lit(2))
+    html = F.concat(F.lit("<p>x</p><table><tr><td>جهة "), region, F.lit("<br> - "), "url", F.lit("\n-page "), F.col("page_id").cast("string"), F.lit("</td><td> </td><td>– "), F.col("page_id").cast("string"), F.lit("</td></tr></table><table><td>later</td></table><ul><li>no</li></ul>"))
+    return v.raw("pages").select("page_id", F.inline(tx.zones_column(html)))
+
+
 @query("q_slug", "select page_id, string_split(rtrim(url, '/'), '/')[-1] as slug from pages")
 def slug(v: Views) -> DataFrame:
     return v.raw("pages").select("page_id", tx.slug(F.col("url")).alias("slug"))

@@ -1,4 +1,4 @@
-"""Pages from a fetching function: retries, isolated failures, a crawl to its end.
+"""Pages from a fetching function: retries, isolated failures, a crawl to its end, positions of places.
 
 The function that reaches the network is the caller's; nothing here opens a connection.
 """
@@ -6,7 +6,7 @@ The function that reaches the network is the caller's; nothing here opens a conn
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,24 +53,39 @@ def outcomes(fetched: DataFrame) -> tuple[DataFrame, DataFrame]:
     return fetched.filter(F.col("error").isNull()), fetched.filter(F.col("error").isNotNull())
 
 
-def crawl(listing: Callable[[int], Iterable[str]], known: set[str], most: int = MOST_PAGES) -> Iterator[str]:
-    """Ids that are not known, page by page, until a page shows nothing new to this crawl. Known ids
-    are not given again but count as new the first time they are seen, so they do not end the crawl."""
-    seen: set[str] = set()
-    for page in range(1, most + 1):
-        fresh = [x for x in dict.fromkeys(listing(page)) if x not in seen]
-        if not fresh:
-            return
-        seen.update(fresh)
-        yield from (x for x in fresh if x not in known)
-
-
-def geocoded(pending: Iterable[str], lookup: Callable[[str], tuple[float, float] | None], wait_s: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> list[tuple[str, float, float]]:
-    """Places that lookup finds, one request per wait; what it does not find is not kept, so it is asked again next time."""
-    found = []
-    for i, name in enumerate(dict.fromkeys(pending)):
-        if i:
-            sleep(wait_s)
-        if place := lookup(name):
-            found.append((name, *place))
-    return found
+def crawl(shown: DataFrame, known: DataFrame) -> DataFrame:
+    """(page, place, id) of shown(page, ids) that known(id) lacks, of the pages before the first one that shows nothing
+    new to this crawl. Known ids are not given again but count as new the first time they are seen, so they do not end the crawl.
+
+    Where an id is seen first is an aggregate, so pages may be read in any order and many at once. Null ids are no ids."""
+    seen = shown.select("page", F.posexplode("ids").alias("place", "id")).filter("id is not null")
+    first = seen.groupBy("id").agg(F.min(F.struct("page", "place")).alias("at"))
+    idle = shown.select("page").distinct().join(first.select(F.col("at.page").alias("page")), "page", "left_anti")
+    end = idle.agg(F.min("page").alias("end"))
+    fresh = first.select("at.page", "at.place", "id").crossJoin(end).filter("end is null or page < end")  # one row
+    return fresh.join(known.select("id"), "id", "left_anti").select("page", "place", "id")
+
+
+def geocoded(pending: DataFrame, cache: DataFrame, lookup: Callable[[str], tuple[float, float] | None], per_second: float = 1.0, tasks: int = 1) -> DataFrame:
+    """(name, lat, lng) of the names of pending(name) that cache(name) lacks and lookup finds; what it does not find has no row,
+    so it is asked again next time. All tasks together keep to the rate: each waits so many times longer."""
+    wait_s = tasks / per_second
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for batch in batches:
+            rows = []
+            for name in batch["name"]:
+                if last is not None:
+                    time.sleep(max(0.0, last + wait_s - time.monotonic()))
+                last = time.monotonic()
+                if place := lookup(name):
+                    rows.append((name, *place))
+            yield pd.DataFrame(rows, columns=["name", "lat", "lng"])
+
+    return misses(pending, cache).repartition(tasks).mapInPandas(run, "name string, lat double, lng double")
+
+
+def misses(pending: DataFrame, cache: DataFrame) -> DataFrame:
+    """The distinct names that the cache lacks; a null name is none."""
+    return pending.select("name").filter("name is not null").distinct().join(cache.select("name"), "name", "left_anti")
