@@ -28,13 +28,13 @@ def quality(edges, home):
     return inside / m - sum(d * d for d in degree.values()) / (4 * m * m)
 
 
-@pytest.mark.parametrize("groups, size, inside, across", [(40, 30, 4, 1), (12, 150, 6, 2)])
+@pytest.mark.parametrize("groups, size, inside, across", [(12, 40, 4, 1)])
 def test_great_components_come_near_one_task(spark, groups, size, inside, across):
     edges = planted(groups, groups, size, inside, across)
     one = cm.louvain(edges, 2 * sum(w for *_, w in edges))
     df = spark.createDataFrame([(0, *e) for e in edges] + [(1, "x", "y", 1.0)], "replicate int, locality_a string, locality_b string, weight double")
     nodes = spark.createDataFrame(sorted({(0, x) for a, b, _ in edges for x in (a, b)}) + [(1, "x"), (1, "y"), (1, "alone")], "replicate int, locality string")
-    rows = cm.cluster_replicates(df, nodes, most_edges=500).collect()
+    rows = cm.cluster_replicates(df, nodes, most_edges=300).collect()
     found = {r.locality: r.cluster for r in rows if r.replicate == 0}
     assert len(rows) == nodes.count() and {(r.locality, r.cluster) for r in rows if r.replicate == 1} == {("x", "x"), ("y", "x"), ("alone", "alone")}
     assert quality(edges, found) >= 0.98 * quality(edges, one)

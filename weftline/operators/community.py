@@ -19,7 +19,7 @@ from weftline.operators.ranks import running
 from weftline.runtime import materialize
 
 MOST_EDGES = 200_000  # of a component that one task solves
-MOST_STEPS, LEAST_MOVES, LEAST_SHRINK = 24, 0.01, 0.95
+MOST_STEPS, LEAST_MOVES, LEAST_SHRINK = 12, 0.02, 0.95
 
 
 def _one_level(links: dict, degree: dict, total: float) -> dict:

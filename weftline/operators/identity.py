@@ -89,12 +89,15 @@ def matched(eligible: DataFrame) -> DataFrame:
     """(new_id, old_id) of the matching of most weight in eligible(new_id, old_id, weight); of several of
     equal weight the one with the first pairs, in order of new_id and old_id.
 
-    Pairs that share no cluster, directly or through others, do not concern each other: each connected group
-    is matched by itself. From a threshold of one half on, a group has three clusters at most,
+    A pair without a rival on either side is matched as it is. Pairs that share no cluster, directly or through others, do not
+    concern each other: each connected group is matched by itself. From a threshold of one half on, a group has three clusters at most,
     since both of a cluster's partners are then halves of it."""
-    nodes = eligible.select((F.col("new_id") * 2).cast("long").alias("u"), (F.col("old_id") * 2 + 1).cast("long").alias("v"))
+    partners = lambda c: F.count("*").over(Window.partitionBy(c))
+    counted = materialize(eligible.select("new_id", "old_id", "weight", ((partners("new_id") == 1) & (partners("old_id") == 1)).alias("alone")), "eligible")
+    pairs, contested = counted.filter("alone").select("new_id", "old_id"), counted.filter("not alone")
+    nodes = contested.select((F.col("new_id") * 2).cast("long").alias("u"), (F.col("old_id") * 2 + 1).cast("long").alias("v"))
     parts = connected_components(nodes)
-    grouped = eligible.select("new_id", "old_id", "weight", (F.col("new_id") * 2).cast("long").alias("node")).join(parts, "node")
+    grouped = contested.select("new_id", "old_id", "weight", (F.col("new_id") * 2).cast("long").alias("node")).join(parts, "node")
 
     def solve(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["new_id", "old_id"])
@@ -107,7 +110,7 @@ def matched(eligible: DataFrame) -> DataFrame:
         return pd.DataFrame(found, columns=["new_id", "old_id"])
 
     kinds = dict(eligible.dtypes)
-    return grouped.groupBy("component").applyInPandas(solve, f"new_id {kinds['new_id']}, old_id {kinds['old_id']}")
+    return pairs.unionByName(grouped.groupBy("component").applyInPandas(solve, f"new_id {kinds['new_id']}, old_id {kinds['old_id']}"))
 
 
 def match_ids(new: DataFrame, old: DataFrame, next_id: int, threshold: float = CONFIG.min_id_inheritance_jaccard) -> DataFrame:
