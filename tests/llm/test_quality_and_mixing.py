@@ -122,3 +122,22 @@ def test_overlapping_sources_share_their_documents(spark, table):
     both = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))
     out = mixing.mix(docs, mixing.word_count(F.col("text")), both)
     assert out.columns == [*docs.columns, "__wl_size", "__wl_copies"] and out.filter("__wl_copies between 0 and 3").count() == 40
+
+
+def test_targets_as_a_table_and_groups_apart(spark):
+    rng = random.Random(12)
+    for n in (1, 7, 40):
+        sizes = [rng.choice([0, 1, 5, 60, 3000]) for _ in range(n)]
+        df = spark.createDataFrame([(f"s{i:02d}" if i < n - 1 else None, x) for i, x in enumerate(sizes)], "source string, size long")
+        got = [r.target for r in mixing.target_table(df).orderBy("id").collect()]
+        assert got == pytest.approx(mixing.targets(sizes, [(5, 2, 1)[i % 3] for i in range(n)]))
+    patterns = sorted({tuple(sorted(rng.sample([f"a{g}", f"b{g}", f"c{g}"], rng.randint(1, 3)))) for g in range(6) for _ in range(4)} | {("z",)})
+    sizes = {p: rng.choice([0, 10, 200]) for p in patterns}
+    marked = spark.createDataFrame([(list(p), x) for p, x in sizes.items()], "__wl_pattern array<string>, __wl_size long")
+    names = sorted({x for p in patterns for x in p})
+    totals = [sum(x for p, x in sizes.items() if s in p) for s in names]
+    quotas = [round(t) for t in mixing.targets(totals, [(5, 2, 1)[i % 3] for i in range(len(names))])]
+    whole = mixing.route([[names.index(x) for x in p] for p in patterns], [sizes[p] for p in patterns], quotas)
+    parts = {tuple(r[0]): r.each * sizes[tuple(r[0])] + r.rest for r in mixing._plan(marked, mixing.WEIGHTS, 3).collect()}
+    cost = lambda flow: sum(k * k * max(0, min(f - k * sizes[p], sizes[p])) for p, f in flow.items() for k in range(3))
+    assert set(parts) == set(patterns) and sum(parts.values()) == sum(whole) and cost(parts) == cost(dict(zip(patterns, whole)))

@@ -6,7 +6,8 @@ documents there are. From the origin a pattern can be used once, twice or three
 times over, each use dearer than the last (convex repetition costs); a pattern sends
 words to the sources it belongs to; a source passes on its target. Successive
 shortest paths route the words, so a pattern is repeated only where fresh words are
-used up.
+used up. Sources that share no documents, directly or through others, are routed apart, so no
+task holds the patterns of all; sources and patterns may be as many as they are.
 
 The flow gives the number of words each pattern contributes. Its documents are then
 all taken floor(words / size) times, and some once more: documents are ordered by a
@@ -28,17 +29,19 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.operators.components import connected_components
+from weftline.operators.ranks import running
 from weftline.runtime import materialize
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 SEED = 7
 RANGE_ROWS = 1 << 16  # rows of a range of hashes, near enough; there are 4096 ranges at least
-MOST_PATTERNS = 200_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -170,35 +173,70 @@ def _marked(docs: DataFrame, size: Column, sources: Column, seed: int) -> DataFr
     return marked.withColumn("__wl_hash", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")))
 
 
-def source_totals(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_REPEATS) -> tuple[dict, list, list]:
-    """From docs(__wl_size, __wl_pattern): {source: (size, target)}, patterns and their sizes. One row per pattern comes to the driver, up to MOST_PATTERNS."""
-    rows = docs.groupBy("__wl_pattern").agg(F.sum("__wl_size").cast("long").alias("n")).limit(MOST_PATTERNS + 1).collect()
-    if len(rows) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
-    rows = sorted(rows, key=lambda r: [(x is None, x or "") for x in r[0]])
-    names = sorted({x for r in rows for x in r[0]}, key=lambda x: (x is None, x or ""))
-    totals = {x: sum(r["n"] for r in rows if x in r[0]) for x in names}
-    goal = targets([totals[x] for x in names], [weights[i % len(weights)] for i in range(len(names))], most)
-    return {x: (totals[x], t) for x, t in zip(names, goal)}, [r[0] for r in rows], [r["n"] for r in rows]
+def source_sizes(docs: DataFrame) -> DataFrame:
+    """(source, size) of docs(__wl_size, __wl_pattern); a document counts in each of its sources."""
+    patterns = docs.groupBy("__wl_pattern").agg(F.sum("__wl_size").alias("n"))
+    return patterns.select(F.explode("__wl_pattern").alias("source"), "n").groupBy("source").agg(F.sum("n").cast("long").alias("size"))
+
+
+def target_table(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """(id, source, size, target) of sizes(source, size): the targets() of the sources in order, null last, id from 1.
+
+    A source stops at `most` times its size where its share is above that; the rest's shares then grow, so more
+    stop, until none does. Each round is one sum over the sources; only sums come to the driver."""
+    nth = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("id") - 1) % len(weights) + 1).cast("int"))
+    ranked = materialize(running(sizes, [F.col("source").asc_nulls_last()], rank="id").withColumn("weight", nth), "sources")
+    total, open_weight = ranked.agg(F.sum("size"), F.sum("weight")).first()
+    left, closed, stopped = total or 0, 0, F.lit(False)
+    while True:
+        share = F.lit(float(left)) * F.col("weight") / F.lit(open_weight or 1.0)
+        full = stopped | (share > most * F.col("size"))
+        n, held, weight = ranked.filter(full).agg(F.count("*"), F.coalesce(F.sum(most * F.col("size")), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+        if n == closed:
+            break
+        level = left / open_weight  # those that stopped stay so, as this only grows
+        closed, left, stopped = n, (total or 0) - held, F.lit(level) * F.col("weight") > most * F.col("size")
+        open_weight = ranked.agg(F.sum("weight")).first()[0] - weight
+    target = F.when(full, (most * F.col("size")).cast("double")).otherwise(share)
+    return ranked.select("id", "source", "size", target.alias("target"))
 
 
 def _plan(marked: DataFrame, weights: Sequence[float], most: int) -> DataFrame:
-    """(pattern, each, rest): all documents of a pattern are taken `each` times and `rest` words once more."""
-    totals, patterns, sizes = source_totals(marked, weights, most)
-    place = {x: i for i, x in enumerate(totals)}
-    flow = route([[place[x] for x in p] for p in patterns], sizes, [round(t) for _, t in totals.values()], most)
-    rows = [(p, *(divmod(f, n) if n else (0, 0))) for p, n, f in zip(patterns, sizes, flow)]
-    kind = dict(marked.dtypes)["__wl_pattern"]
-    return marked.sparkSession.createDataFrame(rows, f"__wl_pattern {kind}, each long, rest long")
+    """(pattern, each, rest): all documents of a pattern are taken `each` times and `rest` words once more.
+
+    A pattern of one source that no other pattern has gives what its source wants. Sources that share documents are
+    routed together, each connected group of them in a task of its own, one row per pattern."""
+    patterns = materialize(marked.groupBy("__wl_pattern").agg(F.sum("__wl_size").cast("long").alias("n")), "patterns")
+    goal = materialize(target_table(source_sizes(marked), weights, most), "targets").select("id", "source", F.rint("target").cast("long").alias("quota"))
+    each = patterns.select("__wl_pattern", "n", F.explode("__wl_pattern").alias("s")).join(goal, F.col("s").eqNullSafe(F.col("source")))
+    wanted = materialize(each.groupBy("__wl_pattern").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("id", "quota"))).alias("of")), "wanted")
+    links = wanted.filter(F.size("of") > 1).select(F.col("of")[0]["id"].alias("u"), F.explode(F.slice("of", F.lit(2), F.size("of") - 1)).alias("x")).select("u", F.col("x.id").alias("v"))
+    groups = materialize(connected_components(links), "groups")
+    placed = wanted.withColumn("node", F.col("of")[0]["id"]).join(groups, "node", "left")
+    flow = F.least(F.col("of")[0]["quota"], most * F.col("n"))
+    alone = placed.filter("component is null").select("__wl_pattern", "n", flow.alias("flow"))
+
+    def routed(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("order")
+        quotas = {int(x["id"]): int(x["quota"]) for of in own["of"] for x in of}
+        place = {s: i for i, s in enumerate(sorted(quotas))}
+        found = route([[place[int(x["id"])] for x in of] for of in own["of"]], [int(n) for n in own["n"]], [quotas[s] for s in sorted(quotas)], most)
+        return pd.DataFrame({"order": own["order"], "flow": found})
+
+    # patterns travel as numbers: arrays with null names do not survive pandas
+    shared_ = materialize(running(placed.filter("component is not null"), [F.col("of.id")], rank="order"), "shared")
+    flows = shared_.select("component", "order", "n", "of").groupBy("component").applyInPandas(routed, "order long, flow long")
+    every = alone.unionByName(shared_.join(flows, "order").select("__wl_pattern", "n", "flow"))
+    return every.select("__wl_pattern", F.when(F.col("n") > 0, F.expr("flow div n")).otherwise(0).alias("each"), F.when(F.col("n") > 0, F.col("flow") % F.col("n")).otherwise(0).alias("rest"))
 
 
 def _choose(marked: DataFrame, sizes: DataFrame, weights: Sequence[float], most: int) -> DataFrame:
     """Seeded order by hash: whole ranges by sums over ranges, then rows within the range where the words run out."""
-    plan = _plan(sizes, weights, most)
+    plan = materialize(_plan(sizes, weights, most), "plan")  # small or not, it is joined as its size allows
     shift = 64 - max(12, (sizes.count() // RANGE_ROWS).bit_length())
     key, zone = ["__wl_pattern"], F.shiftrightunsigned("__wl_hash", shift).alias("zone")
     narrow = sizes.filter("__wl_size > 0").groupBy("__wl_pattern", "__wl_hash").agg(F.sum("__wl_size").alias("n"))
-    narrow = narrow.withColumn("zone", zone).join(F.broadcast(plan.filter("rest > 0")), key)  # one row per pattern, MOST_PATTERNS at most
+    narrow = narrow.withColumn("zone", zone).join(plan.filter("rest > 0"), key)
     zones = narrow.groupBy(*key, "zone", "rest").agg(F.sum("n").alias("n"))
     through = F.sum("n").over(Window.partitionBy(*key).orderBy("zone"))
     edge = zones.withColumn("before", through - F.col("n")).filter("before <= rest and before + n > rest").select(*key, "zone", "before")
@@ -218,7 +256,7 @@ def _choose(marked: DataFrame, sizes: DataFrame, weights: Sequence[float], most:
     final = materialize(final.select(*key, *(F.col(c).alias(f"__wl_{c}") for c in plain)), "choices")
     own, zone, last = F.shiftrightunsigned("__wl_hash", shift), F.col("__wl_zone"), F.col("__wl_last")
     more = F.when(F.col("__wl_rest") > 0, (own < zone) | ((own == zone) & (F.col("__wl_hash") <= last)) | F.coalesce(F.array_contains("__wl_extra", F.col("__wl_hash")), F.lit(False)))
-    out = marked.join(F.broadcast(final), key, "left")  # one row per pattern
+    out = marked.join(final, key, "left")
     copies = F.when(F.col("__wl_size") > 0, F.col("__wl_each") + F.coalesce(more, F.lit(False)).cast("long")).otherwise(0)
     return out.withColumn("__wl_copies", copies.cast("long")).drop(*(f"__wl_{c}" for c in plain), "__wl_pattern", "__wl_hash")
 
@@ -232,5 +270,4 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: i
 
 def source_table(mixed: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """(source, source_size, target) of what mixed_documents returned."""
-    totals, _, _ = source_totals(mixed.withColumn("__wl_pattern", F.array("source")), weights, most)
-    return mixed.sparkSession.createDataFrame([(k, n, t) for k, (n, t) in totals.items()], "source string, source_size long, target double")
+    return target_table(source_sizes(mixed.withColumn("__wl_pattern", F.array("source"))), weights, most).withColumnRenamed("size", "source_size").drop("id")

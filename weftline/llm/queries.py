@@ -115,8 +115,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm import mixing
 
     mixed = materialize(mixing.mixed_documents(table(spark, sf_dir, "documents")), "mixed")
-    sources = mixing.source_table(mixed).withColumnRenamed("source", "s")
-    out = mixed.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("s")))  # one row per source, held under MOST_PATTERNS
+    sources = materialize(mixing.source_table(mixed).withColumnRenamed("source", "s"), "sources")
+    out = mixed.join(sources, F.col("source").eqNullSafe(F.col("s")))
     return out.select("doc_id", F.col("__wl_size").alias("size"), "source_size", "target", (F.col("__wl_size") * F.col("__wl_copies")).alias("taken"))
 
 
