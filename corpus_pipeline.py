@@ -8,7 +8,11 @@ mixing          documents are repeated or left out to meet the sources' targets
 
 Each stage gets what the one before kept, written as Parquet and read again. The first
 four return the columns of documents; the last adds `copies` (how often the mix takes
-the document, 1 to 3) and leaves out what it takes no time. Rows are never expanded.
+the document, 1 to 3; `mix_copies` where that name is taken) and leaves out what it takes no time. Rows are never expanded.
+
+Null and empty texts have no words, so the first stage rejects them; a null source is a source, a null id an id that
+stands last. Texts are read whole by every stage, however long. Of repeated rows and equal texts the near-copy
+stage keeps one. Ids are whole numbers. Empty tables give an empty result; without labels or benchmark items those stages keep what came.
 """
 
 from __future__ import annotations

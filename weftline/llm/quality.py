@@ -15,7 +15,8 @@ and loses nothing to the rules.
 Everything is DataFrame functions. Words are runs of characters other than ASCII
 white space. Null text has no words; a null stratum is a stratum of its own; documents
 with several labels count as good if one of them is; labels of unknown documents
-are not used. Repeated rows are judged alike. Columns of the input other than the
+are not used. Repeated rows are judged alike, and so are ties: a measure equal to a cutoff stays. Texts are measured
+whole, however long. An empty table gives an empty result; without labels nothing is certified. Columns of the input other than the
 text, the id and the stratum are carried along untouched.
 """
 

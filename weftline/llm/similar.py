@@ -17,7 +17,9 @@ others are compared with it. Comparisons are of whole sets, so a link alone remo
 nothing. Those that stay of one component are held in one task, as sets of hashes, with
 an index of the shingles of which two sets of that similarity must share one.
 
-Rows. Null text and text without a word are one node. A null doc_id stands behind all others.
+Rows. Null text and text without a word are one node. A null doc_id stands behind all others. Texts are compared whole,
+however long; repeated rows and equal doc_ids are ties in which one row stays. An empty table gives an empty
+result. Other columns are kept, whatever their names, but for names that start with `__wl_`, which are this module's.
 """
 
 from __future__ import annotations

@@ -18,12 +18,12 @@ toxic text is trained on through its worst word, chosen anew in every round, and
 a clean text through its worst word likewise (every text has an empty word besides). A
 text's score is a logistic function of its worst word's margin, fitted on the training texts.
 
-Training reads a bounded sample: about PER_CLASS texts of each label, drawn by hash, of
-LONGEST characters at most. Scoring reads every text whole, however long.
+Training reads a bounded sample: about PER_CLASS texts of each label, drawn and ordered by hash, of a longer
+text a stretch of LONGEST characters from a place that its hash gives. Scoring reads every text whole, however long.
 
 Null and empty texts score as a text without words. Null labels and null ids are not
 learned from; of several labels of an id the largest counts. Repeated rows get equal
-scores. Without both labels every text gets the share of toxic labels (0 with no
+scores; ties of the draw go by id and text. Without both labels every text gets the share of toxic labels (0 with no
 labels). An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -321,9 +321,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     share = F.when(F.col("toxic") == 1, F.lit(PER_CLASS / max(counts.get(1, 1), 1))).otherwise(F.lit(PER_CLASS / max(counts.get(0, 1), 1)))
     drawn = labels.filter(h < share * (1 << 20)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(3 * PER_CLASS)
     few = F.broadcast(drawn)  # 3 * PER_CLASS ids at most
-    rows = docs.select("doc_id", "text").filter(F.length("text") <= LONGEST).join(few, "doc_id").select("doc_id", F.lower("text"), "toxic")
-    rows = sorted(rows.limit(6 * PER_CLASS).collect(), key=lambda r: (r[0], r[1]))
-    return train([r[1].encode() for r in rows], np.array([r[2] for r in rows], dtype=int), counts.get(1, 0) / max(sum(counts.values()), 1))
+    n, own = F.length("text"), F.xxhash64("doc_id", "text")
+    start = F.pmod(own, F.greatest(n - LONGEST + 1, F.lit(1))).cast("int") + 1  # a longer text is learned from by a stretch of it
+    stretch = F.when(n > LONGEST, F.col("text").substr(start, F.lit(LONGEST))).otherwise(F.col("text"))
+    rows = docs.select("doc_id", "text").filter("text is not null").join(few, "doc_id").select(own.alias("h"), "doc_id", F.lower(stretch).alias("text"), "toxic")
+    rows = sorted(rows.orderBy("h", "doc_id", "text").limit(6 * PER_CLASS).collect(), key=lambda r: (r["doc_id"], r["text"]))
+    return train([r["text"].encode() for r in rows], np.array([r["toxic"] for r in rows], dtype=int), counts.get(1, 0) / max(sum(counts.values()), 1))
 
 
 def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
