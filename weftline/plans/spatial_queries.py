@@ -149,6 +149,23 @@ def candidate_gates(v: Views) -> DataFrame:
     return found.withColumn("status", candidate_status(F.col("candidates"), F.col("dates"), F.col("geography"), F.lit(True)))
 
 
+_REGISTERED = "reg as (select governorate, count(*) as units from fx_units where lat between 30 and 38 and lng between 7 and 12 group by governorate)"
+
+
+@query("q_registered_gates", f"with recursive {_GATES}, {_REGISTERED} select governorate, coalesce(units, 0) as units, case when coalesce(candidates, 0) > 0 and geography and coalesce(dates, 0) >= 2 and coalesce(units, 0) > (select avg(units) from reg) then 'experimental' else 'insufficient_evidence' end as status from g left join n using (governorate) left join d using (governorate) left join reg using (governorate)")
+def registered_gates(v: Views) -> DataFrame:
+    """Gates of governorates of which some have no registered source: those with fewer accepted units than the mean."""
+    near = sp.within_radius(v.assets, v.places).select("asset_id", F.col("p_locality").alias("locality")).join(v.places.select("locality", "governorate"), "locality")
+    rows = near.groupBy("governorate").agg(F.countDistinct("asset_id").alias("candidates"))
+    dates = v.reports.groupBy("governorate").agg(F.countDistinct(F.substring("created_at", 1, 10)).alias("dates"))
+    accepted = sp.unit_quarantine(v.units).filter("reason is null and lat is not null").groupBy("governorate").agg(F.count("*").alias("units"))
+    found = v.places.groupBy("governorate").agg(F.bool_or(F.col("spatial_confidence") > 0).alias("geography"))
+    for df in (rows, dates, accepted):
+        found = found.join(df, "governorate", "left")
+    found = found.na.fill(0, ["candidates", "dates", "units"]).crossJoin(accepted.agg(F.avg("units").alias("mean")))  # one row
+    return found.select("governorate", "units", candidate_status(F.col("candidates"), F.col("dates"), F.col("geography"), F.col("units") > F.col("mean")).alias("status"))
+
+
 @query("q_pending_geocode", "select locality from fx_locality_xy where not (k % 2 = 0 and spatial_confidence > 0)")
 def pending_geocode(v: Views) -> DataFrame:
     """Localities that the cache of found positions does not hold; what was looked up in vain is not in it."""

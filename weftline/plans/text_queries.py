@@ -3,8 +3,10 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.config import GOVERNORATES
 from weftline.functions import text as tx
 from weftline.operators.names import canonical_names
+from weftline.operators.serving import governorates
 from weftline.plans.registry import query
 from weftline.sources.fetch import crawl
 from weftline.sources.views import Views
@@ -161,6 +163,17 @@ def governorate_key(v: Views) -> DataFrame:
     return v.units.groupBy("governorate").agg(F.count("*").alias("units")).select("governorate", tx.governorate_key(F.col("governorate")).alias("key"), "units")
 
 
+_DIMENSION = ", ".join(f"({i}, '{name}')" for i, (name, *_) in enumerate(GOVERNORATES))
+
+
+@query("q_accented_keys", f"select regexp_replace(strip_accents(lower(name)), '\\s+', ' ', 'g') as key, count(*) as units, count(distinct c_nationkey) as nations from customer join (values {_DIMENSION}) d(g, name) on g = c_nationkey % {len(GOVERNORATES)} group by 1")
+def accented_keys(v: Views) -> DataFrame:
+    """Units by the key of their governorate's name as it is written, with accents, capitals and wide spaces."""
+    named = v.raw("customer").withColumn("g", (F.col("c_nationkey") % len(GOVERNORATES)).cast("int")).join(F.broadcast(governorates(v.spark)), "g")  # the fixed dimension
+    written = F.concat(F.lit("  "), F.replace(F.when(F.col("c_custkey") % 2 == 0, F.upper("name")).otherwise(F.col("name")), F.lit(" "), F.lit("   ")), F.lit(" "))
+    return named.groupBy(tx.governorate_key(written).alias("key")).agg(F.count("*").alias("units"), F.countDistinct("c_nationkey").alias("nations"))
+
+
 @query("q_stable_ids", "select unit_id, substr(sha256(concat('region', '|', governorate, '|unit|', cast(unit_id as varchar))), 1, 16) as stable_id from fx_units")
 def stable_ids(v: Views) -> DataFrame:
     text = F.concat_ws("|", F.lit("region"), "governorate", F.lit("unit"), F.col("unit_id").cast("string"))
