@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 import xxhash
 
@@ -117,6 +118,16 @@ def test_op3(spark, folder, rows):
     assert all(set(r["base_labels"].split(",")) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 for r in got)
 
 
+@pytest.mark.parametrize("name", ["license_places", "mix_targets", "op11_infill"])
+def test_queries_equal_their_sql(spark, folder, name):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{folder}/documents.parquet/*.parquet')")
+    got, told = queries.QUERIES[name](spark, folder), con.sql(queries.ORACLE_SQL[name])
+    assert sorted(got.columns) == sorted(told.columns)
+    line = lambda row, names: repr([row[names.index(c)] for c in sorted(names)])
+    assert sorted(line(r, got.columns) for r in got.collect()) == sorted(line(r, told.columns) for r in told.fetchall())
+
+
 @pytest.mark.parametrize("name, of", [("op4_toxicity", 4), ("op6_language", 4), ("op7_brown", 7)])
 def test_held_out_rows_and_scores(spark, folder, rows, name, of):
     got = answer(spark, folder, name)

@@ -199,5 +199,42 @@ select x.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coales
 from (select distinct conv_id from conversations) x left join n on n.conv_id is not distinct from x.conv_id left join e on e.conv_id is not distinct from x.conv_id"""
 
 
-QUERIES = {"op1_quality": op1_quality, "op5_decontamination": op5_decontamination, "op10_mixing": op10_mixing, "op2_pii": op2_pii, "op3_licenses": op3_licenses, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op7_brown": op7_brown, "op8_suffix_repeats": op8_suffix_repeats, "op9_simhash": op9_simhash, "op11_infill": op11_infill, "op12_resharding": op12_resharding, "op13_turns": op13_turns}
-ORACLE_SQL: dict[str, str] = {"op1_quality": _op1_sql(), "op11_infill": _OP11_SQL, "op13_turns": _op13_sql()}
+def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3_licenses that SQL can state."""
+    return op3_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def _license_sql() -> str:
+    from weftline.llm import licenses
+
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    at = lambda phrase: " and ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(phrase.split()))
+    places = [f"list_filter(range(len(w)), lambda i: {at(phrase)})" for phrase, _ in licenses.PHRASES]
+    found = ", ".join(f"case when len(p{i}) > 0 then '{label}' end" for i, (_, label) in enumerate(licenses.PHRASES))
+    every = "flatten([" + ", ".join(f"p{i}" for i in range(len(places))) + "])"
+    return rf"""
+with t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+p as (select doc_id, w, {', '.join(f'{x} as p{i}' for i, x in enumerate(places))} from t)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len({every}) as bigint) as n_base, list_min({every}) as first_word, list_max({every}) as last_word, array_to_string(list_sort(list_distinct(list_filter([{found}], lambda x: x is not null))), ',') as base_labels from p"""
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, source_size, target) of op10_mixing."""
+    from weftline.llm import mixing
+
+    docs = table(spark, sf_dir, "documents").select(mixing.word_count(F.col("text")).alias("__wl_size"), F.array("source").alias("__wl_pattern"))
+    found = mixing.target_table(mixing.source_sizes(materialize(docs, "sizes")))
+    return found.select("source", F.col("size").alias("source_size"), F.round("target", 6).alias("target"))
+
+
+_MIX_SQL = r"""
+with recursive t as (select source, cast(coalesce(sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))), 0) as bigint) as size from documents group by source),
+o as (select *, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as weight from t),
+s as (select list({'n': size, 'w': weight}) as of, sum(size)::double as total from o),
+r(k, level) as (select 0, total / list_sum(list_transform(of, lambda x: x.w)) from s union all
+  select k + 1, (total - coalesce(list_sum(list_transform(list_filter(of, lambda x: level * x.w > 3 * x.n), lambda x: 3 * x.n)), 0)) / list_sum(list_transform(list_filter(of, lambda x: level * x.w <= 3 * x.n), lambda x: x.w)) from r cross join s where k < 60 and len(list_filter(of, lambda x: level * x.w <= 3 * x.n)) > 0)
+select source, size as source_size, round(case when level * weight > 3 * size then cast(3 * size as double) else level * weight end, 6) as target from o cross join (select level from r order by k desc limit 1)"""
+
+
+QUERIES = {"op1_quality": op1_quality, "op5_decontamination": op5_decontamination, "op10_mixing": op10_mixing, "op2_pii": op2_pii, "op3_licenses": op3_licenses, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op7_brown": op7_brown, "op8_suffix_repeats": op8_suffix_repeats, "op9_simhash": op9_simhash, "op11_infill": op11_infill, "op12_resharding": op12_resharding, "op13_turns": op13_turns, "license_places": license_places, "mix_targets": mix_targets}
+ORACLE_SQL: dict[str, str] = {"op1_quality": _op1_sql(), "op11_infill": _OP11_SQL, "op13_turns": _op13_sql(), "license_places": _license_sql(), "mix_targets": _MIX_SQL}
