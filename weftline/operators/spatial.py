@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftline.config import CANDIDATE_RADIUS_KM, CANDIDATE_WEIGHTS, CONFIG, COUNTRY_LATITUDES, COUNTRY_LONGITUDES, EARTH_RADIUS_KM, MIN_CANDIDATE_COMPLETENESS, PERTURBATION_FACTORS, PILOT_BOX
 from weftline.operators.components import connected_components
@@ -43,12 +44,51 @@ def within_radius(assets: DataFrame, places: DataFrame, radius_km: float = CANDI
     return far.filter(F.col("km") <= radius_km).drop("cy", "cx", "ky", "kx")
 
 
-def nearest_within(points: DataFrame, targets: DataFrame, key: str, order: str) -> DataFrame:
-    """Each point with the nearest target of its key, by degrees; the first in order of ties."""
-    there = targets.filter("lat is not null and lng is not null").select(F.col(key), *[F.col(c).alias(f"t_{c}") for c in targets.columns if c != key])
-    d = F.hypot(F.col("lat") - F.col("t_lat"), F.col("lng") - F.col("t_lng"))
-    own = points.join(there, key).groupBy(*points.columns)
-    return own.agg(F.min(F.struct(d.alias("d"), F.col(f"t_{order}").alias(order))).alias("x")).select(*points.columns, f"x.{order}", "x.d")
+_DEPTH, _FEW_SITES = 8, 64  # a step cuts a cell in 8 by 8; a cell of so few sites is not cut again
+
+
+def _cell(c: str, low: float, size: float) -> Column:
+    """The finest cell of a coordinate; three bits fewer give the cell around it one level up."""
+    return F.least(F.greatest(F.floor((F.col(c) - low) / size * 8**_DEPTH), F.lit(0)), F.lit(8**_DEPTH - 1)).cast("int")
+
+
+def _settled(c: str) -> Column:
+    return F.col(c).isNotNull() & ~F.isnan(c)
+
+
+def nearest_within(points: DataFrame, targets: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """(name, order, d): for each name of points the nearest target of its key, by degrees; the first in order of ties.
+
+    Distances are those between distinct places. Places descend a tree of the targets' cells, 64 to a cell, and keep the cells whose
+    box may hold the nearest one: those no farther than the farthest corner of some box. What is left is compared
+    exactly. Points without coordinates come last among those of their name, and get the first target in order."""
+    there = targets.filter(_settled("lat") & _settled("lng")).groupBy(key, F.col("lat").alias("t_lat"), F.col("lng").alias("t_lng")).agg(F.min(order).alias(order))
+    there = materialize(there, "sites")
+    box = there.agg(F.min("t_lat"), F.min("t_lng"), F.max("t_lat"), F.max("t_lng")).first()
+    south, west, north, east = (0.0 if x is None else x for x in box)
+    there = there.withColumns({"cy": _cell("t_lat", south, north - south or 1.0), "cx": _cell("t_lng", west, east - west or 1.0)})
+    spots = points.filter(_settled("lat") & _settled("lng")).select(key, "lat", "lng").distinct()
+    open_ = materialize(spots, "spots").withColumns({"by": F.lit(0), "bx": F.lit(0)})  # the cell that holds all
+
+    def up(level: int) -> list[Column]:
+        return [F.shiftright(c, 3 * (_DEPTH - level)).alias(b) for c, b in (("cy", "by"), ("cx", "bx"))]
+
+    for level in range(1, _DEPTH + 1):
+        cells = there.groupBy(key, *up(level)).agg(F.min("t_lat").alias("y1"), F.max("t_lat").alias("y2"), F.min("t_lng").alias("x1"), F.max("t_lng").alias("x2"), F.count("*").alias("n"))
+        inner = cells.select(key, F.shiftright("by", 3).alias("by"), F.shiftright("bx", 3).alias("bx"), F.col("by").alias("iy"), F.col("bx").alias("ix"), "y1", "y2", "x1", "x2")
+        near = lambda c, a, b: F.pow(F.greatest(F.col(a) - F.col(c), F.col(c) - F.col(b), F.lit(0.0)), F.lit(2.0))
+        far = lambda c, a, b: F.pow(F.greatest(F.abs(F.col(a) - F.col(c)), F.abs(F.col(c) - F.col(b))), F.lit(2.0))
+        met = open_.join(inner, [key, "by", "bx"]).select(key, "lat", "lng", F.col("iy").alias("by"), F.col("ix").alias("bx"), (near("lat", "y1", "y2") + near("lng", "x1", "x2")).alias("low"), (far("lat", "y1", "y2") + far("lng", "x1", "x2")).alias("high"))
+        kept = met.withColumn("high", F.min("high").over(Window.partitionBy(key, "lat", "lng"))).filter(F.col("low") <= F.col("high") * (1 + 1e-9))
+        open_ = materialize(kept.select(key, "lat", "lng", "by", "bx"), "cells")
+        if (cells.agg(F.max("n")).first()[0] or 0) <= _FEW_SITES:
+            break
+    degrees = F.sqrt(F.pow(F.col("lat") - F.col("t_lat"), F.lit(2.0)) + F.pow(F.col("lng") - F.col("t_lng"), F.lit(2.0)))
+    best = lambda d: F.struct(d.isNull().alias("lost"), d.alias("d"), F.col(order).isNull().alias("unnamed"), F.col(order).alias("first"))
+    tried = open_.join(there.select(key, *up(level), "t_lat", "t_lng", order), [key, "by", "bx"]).groupBy(key, "lat", "lng").agg(F.min(best(degrees)).alias("x"))
+    found = points.select(name, key, "lat", "lng").join(tried, [key, "lat", "lng"]).select(name, "x")
+    lost = points.filter(~(_settled("lat") & _settled("lng"))).select(name, key).join(there.groupBy(key).agg(F.min(order).alias(order)), key).select(name, best(F.lit(None).cast("double")).alias("x"))
+    return found.unionByName(lost).groupBy(name).agg(F.min("x").alias("x")).select(name, F.col("x.first").alias(order), "x.d")
 
 
 def banded_edges(areas: DataFrame, per_band: int = 8, most_bands: int = 4096) -> tuple[DataFrame, DataFrame]:

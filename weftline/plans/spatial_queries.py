@@ -70,7 +70,7 @@ def area_counts(v: Views) -> DataFrame:
 
 @query("q_nearest_unit", "select locality, unit_id from (select locality, unit_id, row_number() over (partition by locality order by sqrt(pow(l.lat - u.lat, 2) + pow(l.lng - u.lng, 2)), unit_id) as i from fx_locality_xy l join fx_units u on u.governorate = l.governorate where u.lat is not null) where i = 1")
 def nearest_unit(v: Views) -> DataFrame:
-    return sp.nearest_within(v.places.select("locality", "governorate", "lat", "lng"), v.units, "governorate", "unit_id").select("locality", "unit_id")
+    return sp.nearest_within(v.places, v.units, "governorate", "unit_id", "locality").select("locality", "unit_id")
 
 
 @query("q_range_join_haversine", f"select asset_id, locality, round(km, 6) as km from ({_NEAR})")
