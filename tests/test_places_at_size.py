@@ -1,7 +1,11 @@
 """Queries over places on tables with many rows at one spot and names that come again, and against plain counts."""
 
+import math
+import random
+
 import pytest
 
+from weftline.operators import spatial as sp
 from weftline.plans import catalogue
 
 from test_oracles import rows
@@ -33,3 +37,27 @@ def same_as_sql(spark, folder, name):
 
 def test_nearest_unit_of_names_that_come_again(spark, folder):
     same_as_sql(spark, folder, "q_nearest_unit")
+
+
+@pytest.mark.parametrize("spread", [1.0, 1e-6])
+def test_nearest_equals_brute_force(spark, spread):
+    rng = random.Random(5)
+    near = lambda: (round(34 + rng.random() * spread, 9), round(10 + rng.random() * spread, 9))
+    # half of the targets within a millionth of a degree, others on a coarse grid with ties, one without a position
+    targets = [(i, "g" if i % 3 else "h", *near()) for i in range(600)] + [(600 + i, "g", 33.0 + i % 5, 9.0 + i % 4) for i in range(60)] + [(-1, "g", None, None)]
+    points = [(f"p{i}", "gh"[i % 2], *near()) for i in range(80)] + [(f"p{i}", "g", 33.5 + i % 5, 9.5 + i % 3) for i in range(40, 120)]
+    points += [("far", "g", -80.0, 170.0), ("lost", "h", None, 1.0), ("p1", "g", None, None), ("alone", "k", 34.0, 10.0)]
+    expected = {}
+    for name, key, lat, lng in points:
+        for i, k, y, x in targets:
+            if k == key and y is not None:
+                d = math.inf if lat is None or lng is None else math.sqrt((lat - y) ** 2 + (lng - x) ** 2)
+                expected[name] = min(expected.get(name, (math.inf, math.inf)), (d, i))
+    got = sp.nearest_within(spark.createDataFrame(points, "p string, g string, lat double, lng double"), spark.createDataFrame(targets, "id long, g string, lat double, lng double"), "g", "id", "p")
+    assert {r.p: (math.inf if r.d is None else r.d, r.id) for r in got.collect()} == expected
+
+
+def test_nearest_of_nothing(spark):
+    none = spark.createDataFrame([], "id long, g string, lat double, lng double")
+    points = spark.createDataFrame([("p", "g", 1.0, 1.0)], "p string, g string, lat double, lng double")
+    assert sp.nearest_within(points, none, "g", "id", "p").collect() == []
