@@ -61,3 +61,34 @@ def test_nearest_of_nothing(spark):
     none = spark.createDataFrame([], "id long, g string, lat double, lng double")
     points = spark.createDataFrame([("p", "g", 1.0, 1.0)], "p string, g string, lat double, lng double")
     assert sp.nearest_within(points, none, "g", "id", "p").collect() == []
+
+
+@pytest.mark.parametrize("name", ["q_service_purity", "q_candidate_gates", "q_registered_gates", "q_component_reach", "q_candidate_features", "q_candidate_rank", "q_rank_sensitivity", "q_range_join_haversine"])
+def test_rows_at_the_same_spots(spark, folder, name):
+    same_as_sql(spark, folder, name)
+
+
+def test_pairs_are_of_positions(spark):
+    """As many rows at the same two positions as there may be, one pair is compared."""
+    assets = spark.createDataFrame([(f"a{i}", 34.0, 10.0) for i in range(200)], "asset_id string, lat double, lng double")
+    places = spark.createDataFrame([(f"p{i}", 34.01, 10.0, "u" if i % 4 else None) for i in range(200)], "locality string, lat double, lng double, service_unit_id string")
+    assert sp.near_spots(assets, places).count() == 1
+    assert sp.within_radius(assets, places).count() == 40_000
+    assert {r.purity for r in sp.purity(assets, places).collect()} == {0.75} and sp.purity(assets, places).count() == 200
+
+
+def test_alike(spark):
+    rows = [("a", 1.0, 2.0), ("a", 3.0, 4.0), ("b", 3.0, 4.0), ("b", 1.0, 2.0), ("c", 1.0, 2.0), ("d", 1.0, 2.0), ("d", 1.0, 2.0), ("e", 2.0, 1.0), (None, 1.0, 2.0)]
+    named, held = sp.alike(spark.createDataFrame(rows, "k string, x double, y double"), "k", ["x", "y"])
+    assert {r.k: r.like for r in named.collect()} == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e"}
+    assert sorted(map(tuple, held.collect())) == [("a", 1.0, 2.0, 1), ("a", 3.0, 4.0, 1), ("c", 1.0, 2.0, 1), ("d", 1.0, 2.0, 2), ("e", 2.0, 1.0, 1)]
+
+
+def test_an_asset_of_several_positions(spark):
+    """Its places count as often as it stands near them; a locality of several positions counts once."""
+    assets = spark.createDataFrame([("a", 34.0, 10.0), ("a", 34.0, 10.0), ("a", 34.5, 10.0), ("b", 34.5, 10.0), ("c", None, 10.0)], "asset_id string, lat double, lng double")
+    places = spark.createDataFrame([("p", 34.0, 10.0, "u", "g"), ("p", 34.5, 10.0, "v", "h"), ("q", 34.5, 10.0, None, "g")], "locality string, lat double, lng double, service_unit_id string, gov string")
+    assert {r.asset_id: r.purity for r in sp.purity(assets, places).collect()} == {"a": 0.5, "b": 0.5}
+    parts = spark.createDataFrame([("a", "r"), ("b", "s"), ("c", "t")], "element string, root string")
+    assert {r.root: r.reach for r in sp.reach(assets, parts, places, sp.near_spots(assets, places)).collect()} == {"r": 2, "s": 2}
+    assert {r.gov: r.candidates for r in sp.candidates_by(assets, places, "gov").collect()} == {"g": 2, "h": 2}

@@ -26,8 +26,8 @@ def in_box(lat: Column, lng: Column, box: tuple[float, float, float, float] = PI
     return lat.between(box[0], box[2]) & lng.between(box[1], box[3])
 
 
-def within_radius(assets: DataFrame, places: DataFrame, radius_km: float = CANDIDATE_RADIUS_KM) -> DataFrame:
-    """Pairs within the radius (inclusive), by a join on grid cells and an exact filter.
+def near_spots(assets: DataFrame, places: DataFrame, radius_km: float = CANDIDATE_RADIUS_KM) -> DataFrame:
+    """(lat, lng, p_lat, p_lng, km): pairs of distinct positions within the radius (inclusive), by a join on grid cells and an exact filter.
 
     Cells are a radius high and, at the highest latitude served, a radius wide; a place
     is put into its own and the eight cells around it, so each pair meets once.
@@ -36,12 +36,84 @@ def within_radius(assets: DataFrame, places: DataFrame, radius_km: float = CANDI
     wide = high / math.cos(math.radians(max(abs(x) for x in COUNTRY_LATITUDES)))
     cell = lambda lat, lng: (F.floor(F.col(lat) / high).alias("cy"), F.floor(F.col(lng) / wide).alias("cx"))
     around = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)])
-    spread = places.select("*", *cell("lat", "lng"), F.explode(around).alias("step")).select("*", (F.col("cy") + F.col("step.y")).alias("ky"), (F.col("cx") + F.col("step.x")).alias("kx"))
-    right = spread.select(*[F.col(c).alias(f"p_{c}") for c in places.columns], "ky", "kx")
-    left = assets.select("*", *cell("lat", "lng"))
-    joined = left.join(right, (F.col("cy") == F.col("ky")) & (F.col("cx") == F.col("kx")))
-    far = joined.withColumn("km", haversine_km(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng")))
-    return far.filter(F.col("km") <= radius_km).drop("cy", "cx", "ky", "kx")
+    spread = _spots(places).select("*", *cell("lat", "lng"), F.explode(around).alias("step"))
+    right = spread.select(F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"), (F.col("cy") + F.col("step.y")).alias("cy"), (F.col("cx") + F.col("step.x")).alias("cx"))
+    joined = _spots(assets).select("*", *cell("lat", "lng")).join(right, ["cy", "cx"])
+    far = joined.select("lat", "lng", "p_lat", "p_lng", haversine_km(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng")).alias("km"))
+    return far.filter(F.col("km") <= radius_km)
+
+
+def _spots(rows: DataFrame) -> DataFrame:
+    return rows.select("lat", "lng").filter("lat is not null and lng is not null").distinct()
+
+
+def _p(places: DataFrame) -> DataFrame:
+    return places.select(*[F.col(c).alias(f"p_{c}") for c in places.columns])
+
+
+def within_radius(assets: DataFrame, places: DataFrame, radius_km: float = CANDIDATE_RADIUS_KM) -> DataFrame:
+    """Pairs of rows within the radius (inclusive): pairs of positions, then the rows that stand there.
+
+    The rows of assets are dealt evenly first, as each meets many places however few bytes it has."""
+    n = max(int(assets.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    spots = materialize(near_spots(assets, places, radius_km), "spots")
+    joined = assets.repartition(n).join(spots, ["lat", "lng"]).join(_p(places), ["p_lat", "p_lng"])
+    return joined.select(*assets.columns, *[f"p_{c}" for c in places.columns], "km")
+
+
+def alike(members: DataFrame, key: str, of: list[str]) -> tuple[DataFrame, DataFrame]:
+    """((key, like), (like, *of, n)) of members(key, *of): keys with the same rows, as often, are alike and are called by the least of them.
+
+    Rows are told by their number and two sums of 64-bit hashes, so a key with many rows needs no list of them."""
+    counted = materialize(members.filter(F.col(key).isNotNull()).groupBy(key, *of).agg(F.count("*").alias("n")), "members")
+    sums = [F.sum(F.xxhash64(*c).cast("decimal(38,0)")).alias(a) for a, c in (("ha", [*of, "n"]), ("hb", ["n", *reversed(of), F.lit(7)]))]
+    digests = counted.groupBy(key).agg(F.count("*").alias("rows"), *sums)
+    by = ["rows", "ha", "hb"]
+    named = materialize(digests.join(digests.groupBy(*by).agg(F.min(key).alias("like")), by).select(key, "like"), "alike")
+    return named, counted.join(named.filter(F.col(key) == F.col("like")), key).select("like", *of, "n")
+
+
+def near_units(sites: DataFrame, spots: DataFrame, places: DataFrame) -> DataFrame:
+    """(like, service_unit_id, k, km): number and summed distance of the places near, of sites(like, lat, lng, n) and pairs of positions."""
+    there = _p(places.groupBy("lat", "lng", "service_unit_id").agg(F.count("*").alias("m")))
+    weight = F.col("n") * F.col("p_m")
+    pairs = sites.join(spots, ["lat", "lng"]).join(there, ["p_lat", "p_lng"])
+    return pairs.groupBy("like", F.col("p_service_unit_id").alias("service_unit_id")).agg(F.sum(weight).alias("k"), F.sum(weight * F.col("km")).alias("km"))
+
+
+def near_shares(by_unit: DataFrame) -> DataFrame:
+    """(like, n, top, known, km): places near, those of the unit with most, those with a unit."""
+    own = F.when(F.col("service_unit_id").isNotNull(), F.col("k"))
+    return by_unit.groupBy("like").agg(F.sum("k").alias("n"), F.max(own).alias("top"), F.sum(F.coalesce(own, F.lit(0))).alias("known"), F.sum("km").alias("km"))
+
+
+def purity(assets: DataFrame, places: DataFrame, radius_km: float = CANDIDATE_RADIUS_KM) -> DataFrame:
+    """(asset_id, purity): the share that the unit with most places has among the places near an asset."""
+    named, sites = alike(assets.filter("lat is not null and lng is not null"), "asset_id", ["lat", "lng"])
+    shares = near_shares(near_units(sites, near_spots(assets, places, radius_km), places))
+    return named.join(shares.select("like", (F.col("top") / F.col("n")).alias("purity")), "like").select("asset_id", "purity")
+
+
+def reach(assets: DataFrame, parts: DataFrame, places: DataFrame, spots: DataFrame) -> DataFrame:
+    """(root, reach): the distinct localities near the assets of each component.
+
+    Components with assets at the same positions are counted once, and localities at the same positions together."""
+    at = assets.filter("lat is not null and lng is not null").select(F.col("asset_id").alias("element"), "lat", "lng")
+    roots, sites = alike(parts.join(at, "element").select("root", "lat", "lng").distinct(), "root", ["lat", "lng"])
+    names, stand = alike(places.filter("lat is not null and lng is not null").select("locality", "lat", "lng").distinct(), "locality", ["lat", "lng"])
+    stand = stand.select(F.col("like").alias("names"), F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"))
+    met = sites.join(spots, ["lat", "lng"]).select("like", "p_lat", "p_lng").distinct().join(stand, ["p_lat", "p_lng"]).select("like", "names").distinct()
+    size = names.groupBy(F.col("like").alias("names")).agg(F.count("*").alias("size"))
+    return roots.join(met.join(size, "names").groupBy("like").agg(F.sum("size").alias("reach")), "like").select("root", "reach")
+
+
+def candidates_by(assets: DataFrame, places: DataFrame, key: str, radius_km: float = CANDIDATE_RADIUS_KM) -> DataFrame:
+    """(key, candidates): the distinct assets near a locality, by a column of the places of that name."""
+    named, sites = alike(assets.filter("lat is not null and lng is not null"), "asset_id", ["lat", "lng"])
+    at = places.select("locality", F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng")).distinct().join(places.select("locality", key).distinct(), "locality").select("p_lat", "p_lng", key).distinct()
+    met = sites.join(near_spots(assets, places, radius_km), ["lat", "lng"]).select("like", "p_lat", "p_lng").distinct().join(at, ["p_lat", "p_lng"]).select("like", key).distinct()
+    size = named.groupBy("like").agg(F.count("*").alias("size"))
+    return met.join(size, "like").groupBy(key).agg(F.sum("size").alias("candidates"))
 
 
 _DEPTH, _FEW_SITES = 8, 64  # a step cuts a cell in 8 by 8; a cell of so few sites is not cut again
@@ -171,15 +243,14 @@ def numbered(components: DataFrame) -> DataFrame:
 def candidate_features(assets: DataFrame, lines: DataFrame, places: DataFrame, independent_dates: int, radius_km: float = CANDIDATE_RADIUS_KM) -> DataFrame:
     """Features of the assets near some accepted locality that have a signal and are complete enough."""
     accepted = places.filter("spatial_confidence > 0")
-    near = materialize(within_radius(assets, accepted, radius_km), "near")  # both are read several times below
+    spots = materialize(near_spots(assets, accepted, radius_km), "spots")  # both are read several times below
     parts = materialize(topology_components(assets, lines), "components")
     wired = parts.join(lines.select(F.col("edge_id").alias("element")), "element", "left_semi").select("root").distinct().withColumn("connected", F.lit(True))
     home = parts.select(F.col("element").alias("asset_id"), "root").join(wired, "root", "left")
-    reach = near.join(home, "asset_id").groupBy("root").agg(F.countDistinct("p_locality").alias("reach"))
-    by_unit = near.groupBy("asset_id", "p_service_unit_id").agg(F.count("*").alias("k"), F.sum("km").alias("km"))
-    own = by_unit.groupBy("asset_id").agg(F.sum("k").alias("n"), F.max(F.when(F.col("p_service_unit_id").isNotNull(), F.col("k"))).alias("top"), F.sum(F.when(F.col("p_service_unit_id").isNotNull(), F.col("k")).otherwise(0)).alias("known"), F.sum("km").alias("km"))
+    named, sites = alike(assets.filter("lat is not null and lng is not null"), "asset_id", ["lat", "lng"])
+    own = named.join(near_shares(near_units(sites, spots, accepted)), "like").drop("like")
     total = accepted.agg(F.count("*").alias("total"))
-    rows = own.join(assets.select("asset_id", "voltage"), "asset_id").join(home, "asset_id").join(reach, "root", "left").crossJoin(total)  # one row
+    rows = own.join(assets.select("asset_id", "voltage"), "asset_id").join(home, "asset_id").join(reach(assets, parts, accepted, spots), "root", "left").crossJoin(total)  # one row
     connected, yes = F.coalesce("connected", F.lit(False)), lambda c: c.cast("int")
     out = rows.select(
         "asset_id", (F.col("n") / F.col("total")).alias("outage_fit"), F.when(connected, F.col("reach") / F.col("total")).otherwise(0.0).alias("topology_consistency"), (F.coalesce("top", F.lit(0)) / F.col("n")).alias("service_prior"),
