@@ -142,8 +142,7 @@ _GATES = f"{_REACH}, near as ({_NEAR}), d as (select governorate, count(distinct
 
 @query("q_candidate_gates", f"with recursive {_GATES} select governorate, coalesce(candidates, 0) as candidates, coalesce(dates, 0) as dates, geography, case when coalesce(candidates, 0) > 0 and geography and coalesce(dates, 0) >= 2 then 'experimental' else 'insufficient_evidence' end as status from g left join n using (governorate) left join d using (governorate)")
 def candidate_gates(v: Views) -> DataFrame:
-    near = sp.within_radius(v.assets, v.places).select("asset_id", F.col("p_locality").alias("locality")).join(v.places.select("locality", "governorate"), "locality")
-    rows = near.groupBy("governorate").agg(F.countDistinct("asset_id").alias("candidates"))
+    rows = sp.candidates_by(v.assets, v.places, "governorate")
     dates = v.reports.groupBy("governorate").agg(F.countDistinct(F.substring("created_at", 1, 10)).alias("dates"))
     found = v.places.groupBy("governorate").agg(F.bool_or(F.col("spatial_confidence") > 0).alias("geography")).join(rows, "governorate", "left").join(dates, "governorate", "left").na.fill(0, ["candidates", "dates"])
     return found.withColumn("status", candidate_status(F.col("candidates"), F.col("dates"), F.col("geography"), F.lit(True)))
