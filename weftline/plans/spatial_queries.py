@@ -96,8 +96,7 @@ def components(v: Views) -> DataFrame:
 
 @query("q_component_reach", f"with recursive {_REACH} select root, count(distinct locality) as reach from ({_NEAR}) join comp on element = asset_id group by root")
 def component_reach(v: Views) -> DataFrame:
-    near = sp.within_radius(v.assets, v.places).select(F.col("asset_id").alias("element"), "p_locality")
-    return near.join(sp.topology_components(v.assets, v.lines), "element").groupBy("root").agg(F.countDistinct("p_locality").alias("reach"))
+    return sp.reach(v.assets, sp.topology_components(v.assets, v.lines), v.places, sp.near_spots(v.assets, v.places))
 
 
 @query("q_way_centroid", "select edge_id, round(avg(lat), 8) as lat, round(avg(lng), 8) as lng, count(*) as nodes from (select edge_id, ref1 as r from fx_lines union select edge_id, ref2 from fx_lines) join fx_assets on node_ref = r where lat between 34.20::double and 35.25::double and lng between 9.95::double and 11.40::double group by edge_id")
