@@ -80,8 +80,7 @@ def range_join(v: Views) -> DataFrame:
 
 @query("q_service_purity", f"select asset_id, max(k) filter (service_unit_id is not null)::double / sum(k) as purity from (select asset_id, service_unit_id, count(*) as k from ({_NEAR}) group by 1, 2) group by asset_id")
 def service_purity(v: Views) -> DataFrame:
-    counts = sp.within_radius(v.assets, v.places).groupBy("asset_id", "p_service_unit_id").agg(F.count("*").alias("k"))
-    return counts.groupBy("asset_id").agg((F.max(F.when(F.col("p_service_unit_id").isNotNull(), F.col("k"))) / F.sum("k")).alias("purity"))
+    return sp.purity(v.assets, v.places)
 
 
 @query("q_element_union", "select element, count(*) as refs from (select asset_id as element, node_ref from fx_assets union select edge_id, ref1 from fx_lines union select edge_id, ref2 from fx_lines) group by element")
