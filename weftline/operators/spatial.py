@@ -279,11 +279,13 @@ def score(weights: dict[str, float] = CANDIDATE_WEIGHTS) -> Column:
 
 def ranked(features: DataFrame) -> DataFrame:
     """features with score and rank, by (-score, asset_id)."""
-    return running(features.withColumn("score", F.round(score(), 9)), [F.desc("score"), F.col("asset_id")])
+    scored = materialize(features.withColumn("score", F.round(score(), 9)), "scored")  # dealing to ranges reads it twice
+    return running(scored, [F.desc("score"), F.col("asset_id")])
 
 
 def rank_sensitivity(features: DataFrame) -> DataFrame:
     """(asset_id, best_rank, worst_rank) over all perturbations of the weights."""
     scores = F.array(*[F.struct(F.lit(i).alias("p"), F.round(score(w), 9).alias("score")) for i, (_, w) in enumerate(perturbations())])
-    every = running(features.select("asset_id", F.inline(scores)), [F.desc("score"), F.col("asset_id")], group=["p"])
+    scored = materialize(features.select("asset_id", scores.alias("scores")), "scored")  # dealing to ranges reads it twice
+    every = running(scored.select("asset_id", F.inline("scores")), [F.desc("score"), F.col("asset_id")], group=["p"])
     return every.groupBy("asset_id").agg(F.min("rank").alias("best_rank"), F.max("rank").alias("worst_rank"))
