@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from weftline.operators import components
 from weftline.operators import spatial as sp
 from weftline.plans import catalogue
 
@@ -92,3 +93,35 @@ def test_an_asset_of_several_positions(spark):
     parts = spark.createDataFrame([("a", "r"), ("b", "s"), ("c", "t")], "element string, root string")
     assert {r.root: r.reach for r in sp.reach(assets, parts, places, sp.near_spots(assets, places)).collect()} == {"r": 2, "s": 2}
     assert {r.gov: r.candidates for r in sp.candidates_by(assets, places, "gov").collect()} == {"g": 2, "h": 2}
+
+
+def test_links_are_of_nodes(spark, monkeypatch):
+    """As many elements at a node as there may be, they make no links; a line makes one."""
+    made = []
+    monkeypatch.setattr(sp, "connected_components", lambda edges, **k: made.append(edges.filter("u <> v").count()) or components.connected_components(edges, **k))
+    assets = spark.createDataFrame([(f"a{i}", i % 2) for i in range(300)], "asset_id string, node_ref long")
+    lines = spark.createDataFrame([("l", 0, 7), ("loop", 1, 1)], "edge_id string, ref1 long, ref2 long")
+    got = {r.element: r.root for r in sp.topology_components(assets, lines).collect()}
+    assert made == [1] and len(got) == 302
+    assert {x for e, x in got.items() if e == "l" or e[0] == "a" and int(e[1:]) % 2 == 0} == {"a0"} and {x for e, x in got.items() if e == "loop" or e[0] == "a" and int(e[1:]) % 2} == {"a1"}
+
+
+def test_components_equal_brute_force(spark):
+    """Elements of several rows, names of assets that lines have too, missing names and nodes."""
+    rng = random.Random(8)
+    node = lambda: None if rng.random() < 0.1 else rng.randrange(150)
+    name = lambda kind: None if rng.random() < 0.05 else f"{rng.choice([kind, 'both'])}{rng.randrange(60)}"
+    assets, lines = [(name("a"), node()) for _ in range(40)], [(name("l"), node(), node()) for _ in range(40)]
+    refs = assets + [(e, x) for e, *ends in lines for x in ends]
+    root = {e: e for e, _ in refs if e}
+    for _ in root:  # as often as the longest chain may need
+        least = {}
+        for e, x in refs:
+            if e and x is not None:
+                least[x] = min(least.get(x, root[e]), root[e])
+        for e, x in refs:
+            if e and x is not None:
+                root[e] = min(root[e], least[x])
+    got = sp.topology_components(spark.createDataFrame(assets, "asset_id string, node_ref long"), spark.createDataFrame(lines, "edge_id string, ref1 long, ref2 long")).collect()
+    assert len(got) == len(root) + 1 and {r.element: r.root for r in got} == root | {None: None}
+    assert 3 < len(set(root.values())) < len(root) - 10

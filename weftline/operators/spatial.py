@@ -51,13 +51,17 @@ def _p(places: DataFrame) -> DataFrame:
     return places.select(*[F.col(c).alias(f"p_{c}") for c in places.columns])
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows in as many parts as a shuffle has, where few bytes would be a part or two and a join makes much of them."""
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1))
+
+
 def within_radius(assets: DataFrame, places: DataFrame, radius_km: float = CANDIDATE_RADIUS_KM) -> DataFrame:
     """Pairs of rows within the radius (inclusive): pairs of positions, then the rows that stand there.
 
     The rows of assets are dealt evenly first, as each meets many places however few bytes it has."""
-    n = max(int(assets.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     spots = materialize(near_spots(assets, places, radius_km), "spots")
-    joined = assets.repartition(n).join(spots, ["lat", "lng"]).join(_p(places), ["p_lat", "p_lng"])
+    joined = _dealt(assets).join(spots, ["lat", "lng"]).join(_p(places), ["p_lat", "p_lng"])
     return joined.select(*assets.columns, *[f"p_{c}" for c in places.columns], "km")
 
 
@@ -68,7 +72,7 @@ def alike(members: DataFrame, key: str, of: list[str]) -> tuple[DataFrame, DataF
     counted = materialize(members.filter(F.col(key).isNotNull()).groupBy(key, *of).agg(F.count("*").alias("n")), "members")
     sums = [F.sum(F.xxhash64(*c).cast("decimal(38,0)")).alias(a) for a, c in (("ha", [*of, "n"]), ("hb", ["n", *reversed(of), F.lit(7)]))]
     digests = counted.groupBy(key).agg(F.count("*").alias("rows"), *sums)
-    by = ["rows", "ha", "hb"]
+    by = ["ha", "hb", "rows"]  # sorted by what tells most of them apart
     named = materialize(digests.join(digests.groupBy(*by).agg(F.min(key).alias("like")), by).select(key, "like"), "alike")
     return named, counted.join(named.filter(F.col(key) == F.col("like")), key).select("like", *of, "n")
 
@@ -77,7 +81,7 @@ def near_units(sites: DataFrame, spots: DataFrame, places: DataFrame) -> DataFra
     """(like, service_unit_id, k, km): number and summed distance of the places near, of sites(like, lat, lng, n) and pairs of positions."""
     there = _p(places.groupBy("lat", "lng", "service_unit_id").agg(F.count("*").alias("m")))
     weight = F.col("n") * F.col("p_m")
-    pairs = sites.join(spots, ["lat", "lng"]).join(there, ["p_lat", "p_lng"])
+    pairs = _dealt(sites).join(spots, ["lat", "lng"]).join(there, ["p_lat", "p_lng"])
     return pairs.groupBy("like", F.col("p_service_unit_id").alias("service_unit_id")).agg(F.sum(weight).alias("k"), F.sum(weight * F.col("km")).alias("km"))
 
 
@@ -102,7 +106,7 @@ def reach(assets: DataFrame, parts: DataFrame, places: DataFrame, spots: DataFra
     roots, sites = alike(parts.join(at, "element").select("root", "lat", "lng").distinct(), "root", ["lat", "lng"])
     names, stand = alike(places.filter("lat is not null and lng is not null").select("locality", "lat", "lng").distinct(), "locality", ["lat", "lng"])
     stand = stand.select(F.col("like").alias("names"), F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"))
-    met = sites.join(spots, ["lat", "lng"]).select("like", "p_lat", "p_lng").distinct().join(stand, ["p_lat", "p_lng"]).select("like", "names").distinct()
+    met = _dealt(sites).join(spots, ["lat", "lng"]).select("like", "p_lat", "p_lng").distinct().join(stand, ["p_lat", "p_lng"]).select("like", "names").distinct()
     size = names.groupBy(F.col("like").alias("names")).agg(F.count("*").alias("size"))
     return roots.join(met.join(size, "names").groupBy("like").agg(F.sum("size").alias("reach")), "like").select("root", "reach")
 
@@ -227,11 +231,21 @@ def element_refs(assets: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def topology_components(assets: DataFrame, lines: DataFrame) -> DataFrame:
-    """(element, root): elements that share a node, followed to components; the root is the least element."""
-    refs = element_refs(assets, lines)
-    hub = refs.groupBy("node").agg(F.min("element").alias("v"))
-    found = connected_components(refs.join(hub, "node").select(F.col("element").alias("u"), "v"))
-    return refs.select("element").distinct().join(found, F.col("element") == F.col("node"), "left").select("element", F.coalesce("component", "element").alias("root"))
+    """(element, root): elements that share a node, followed to components; the root is the least element.
+
+    Components are those of nodes, so elements at one node make no links of their own: a line links its two nodes, an
+    element of several rows the least nodes of each. An element then stands in the component of its least node;
+    one without a name or a node is its own root."""
+    rows = assets.select(F.col("asset_id").alias("element"), F.col("node_ref").alias("v")).unionByName(lines.select(F.col("edge_id").alias("element"), F.least("ref1", "ref2").alias("v")))
+    own = materialize(rows.groupBy("element").agg(F.min("v").alias("least"), F.max("v").alias("most")), "elements")
+    links = lines.filter("edge_id is not null").select(F.col("ref1").alias("u"), F.col("ref2").alias("v"))
+    several = own.filter("element is not null and least <> most").select("element", "least")
+    if not several.isEmpty():
+        links = links.unionByName(rows.join(several, "element").select(F.col("v").alias("u"), F.col("least").alias("v")))
+    found = connected_components(links)
+    placed = own.join(found, F.col("least") == F.col("node"), "left").select("element", F.when(F.col("element").isNotNull(), F.coalesce("component", "least")).alias("part"))
+    roots = placed.filter("part is not null").groupBy("part").agg(F.min("element").alias("root"))
+    return placed.join(roots, "part", "left").select("element", F.coalesce("root", "element").alias("root"))
 
 
 def numbered(components: DataFrame) -> DataFrame:
