@@ -125,3 +125,20 @@ def test_components_equal_brute_force(spark):
     got = sp.topology_components(spark.createDataFrame(assets, "asset_id string, node_ref long"), spark.createDataFrame(lines, "edge_id string, ref1 long, ref2 long")).collect()
     assert len(got) == len(root) + 1 and {r.element: r.root for r in got} == root | {None: None}
     assert 3 < len(set(root.values())) < len(root) - 10
+
+
+def test_rows_of_a_range_join_are_only_joined(spark, folder):
+    """Distances come and are rounded once for each pair of positions, not for each row."""
+    df = catalogue.QUERIES["q_range_join_haversine"](spark, str(folder[0]))
+    assert "round(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_one_position_are_parted(spark, monkeypatch):
+    monkeypatch.setattr(sp, "_PART_ROWS", 500)
+    assets = [(f"a{i}", 34.0, 10.0) for i in range(100)] + [("b", 34.5, 10.0), ("c", None, 10.0), ("d", 33.0, 9.0)]
+    places = [(f"p{i}", 34.01, 10.0) for i in range(100)] + [("q", 34.5, 10.0), ("r", 34.5, 10.0), ("s", 34.0, None)]
+    got = sp.within_radius(spark.createDataFrame(assets, "asset_id string, lat double, lng double"), spark.createDataFrame(places, "locality string, lat double, lng double"), digits=2)
+    told = [(r.asset_id, r.p_locality, r.km) for r in got.collect()]
+    assert sorted(told) == sorted([(f"a{i}", f"p{j}", 1.11) for i in range(100) for j in range(100)] + [("b", "q", 0.0), ("b", "r", 0.0)])
+    held = [n for n in got.rdd.glom().map(len).collect() if n]
+    assert len(held) > 2 and max(held) < 8000

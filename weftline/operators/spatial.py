@@ -51,17 +51,34 @@ def _p(places: DataFrame) -> DataFrame:
     return places.select(*[F.col(c).alias(f"p_{c}") for c in places.columns])
 
 
+def _parts(rows: DataFrame) -> int:
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
 def _dealt(rows: DataFrame) -> DataFrame:
     """rows in as many parts as a shuffle has, where few bytes would be a part or two and a join makes much of them."""
-    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1))
+    return rows.repartition(_parts(rows))
+
+
+_PART_ROWS = 1 << 21  # the assets of a position are parted where it has more pairs
 
 
-def within_radius(assets: DataFrame, places: DataFrame, radius_km: float = CANDIDATE_RADIUS_KM) -> DataFrame:
-    """Pairs of rows within the radius (inclusive): pairs of positions, then the rows that stand there.
+def within_radius(assets: DataFrame, places: DataFrame, radius_km: float = CANDIDATE_RADIUS_KM, digits: int | None = None) -> DataFrame:
+    """Pairs of rows within the radius (inclusive): pairs of positions, the places that stand there, then the assets.
 
-    The rows of assets are dealt evenly first, as each meets many places however few bytes it has."""
-    spots = materialize(near_spots(assets, places, radius_km), "spots")
-    joined = _dealt(assets).join(spots, ["lat", "lng"]).join(_p(places), ["p_lat", "p_lng"])
+    Distances are rounded to digits before rows are joined. Both sides are dealt by the position of the asset and a part of it:
+    bytes tell nothing of the pairs that a position makes, so their number sets its parts, and no table is broadcast for its few bytes."""
+    spots = near_spots(assets, places, radius_km)
+    spots = materialize(spots if digits is None else spots.withColumn("km", F.round("km", digits)), "spots")
+    here, there = assets.groupBy("lat", "lng").agg(F.count("*").alias("a")), places.groupBy(F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng")).agg(F.count("*").alias("b"))
+    pairs = spots.join(there, ["p_lat", "p_lng"]).groupBy("lat", "lng").agg(F.sum("b").alias("b")).join(here, ["lat", "lng"])
+    parts = pairs.select("lat", "lng", F.least("a", F.ceil(F.col("a") * F.col("b") / _PART_ROWS)).cast("int").alias("__parts"), F.monotonically_increasing_id().alias("__at"))
+    parts = materialize(parts, "parts")  # positions get numbers: rows dealt by fractions would be dealt again to be joined by them
+    by = ["__at", "__part"]
+    left = assets.join(parts, ["lat", "lng"]).withColumn("__part", F.pmod(F.xxhash64(*assets.columns), F.col("__parts")).cast("int")).drop("__parts")
+    right = spots.join(parts, ["lat", "lng"]).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts", "lat", "lng")
+    right = _dealt(right).join(_p(places), ["p_lat", "p_lng"])
+    joined = left.repartition(_parts(assets), *by).hint("merge").join(right.repartition(_parts(assets), *by).hint("merge"), by)
     return joined.select(*assets.columns, *[f"p_{c}" for c in places.columns], "km")
 
 

@@ -75,7 +75,7 @@ def nearest_unit(v: Views) -> DataFrame:
 
 @query("q_range_join_haversine", f"select asset_id, locality, round(km, 6) as km from ({_NEAR})")
 def range_join(v: Views) -> DataFrame:
-    return sp.within_radius(v.assets, v.places).select("asset_id", F.col("p_locality").alias("locality"), F.round("km", 6).alias("km"))
+    return sp.within_radius(v.assets, v.places, digits=6).select("asset_id", F.col("p_locality").alias("locality"), "km")
 
 
 @query("q_service_purity", f"select asset_id, max(k) filter (service_unit_id is not null)::double / sum(k) as purity from (select asset_id, service_unit_id, count(*) as k from ({_NEAR}) group by 1, 2) group by asset_id")
